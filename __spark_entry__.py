@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from bazaarscope.plans import categories, customers, delivery, marketplace, payments  # noqa: E402
-from bazaarscope.plans import reconcile, sellers  # noqa: E402
-from bazaarscope.session import tune  # noqa: E402
-from bazaarscope.sources import bindings  # noqa: E402
-from bazaarscope.sources.bindings import PERIODS  # noqa: E402
-from oracles import reports  # noqa: E402
+from bazaarscope.plans import audit, categories, cleaning, customers, delivery  # noqa: E402
+from bazaarscope.plans import facts, load_checks, marketplace, measures, payments  # noqa: E402
+from bazaarscope.plans import reconcile, register, sellers, star_checks  # noqa: E402
+from bazaarscope.session import scratch_path, tune  # noqa: E402
+from bazaarscope.sources import bindings, raw_csv, sink  # noqa: E402
+from bazaarscope.sources.bindings import PERIODS, SHIPPING_LIMIT_FROM  # noqa: E402
+from bazaarscope.sources.model import SCHEMAS, Marketplace  # noqa: E402
+from oracles import quality, reports, star  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,17 +90,261 @@ def _reports() -> dict[str, Query]:
     }
 
 
+def _on_raw(plan, *args) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _iso(plan(bindings.bind_raw(tune(spark), sf_dir), *args))
+
+    return run
+
+
+def _on_both(plan, *args) -> Query:
+    """Plans over the raw tables and what cleaning makes of them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        raw = bindings.bind_raw(tune(spark), sf_dir)
+        return _iso(plan(raw, cleaning.clean(raw), *args))
+
+    return run
+
+
+def _on_star(plan, *args) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _iso(plan(facts.Star.of(bindings.bind(tune(spark), sf_dir), PERIODS), *args))
+
+    return run
+
+
+def _star() -> dict[str, Query]:
+    return {
+        "fact_orders": _on_clean(facts.fact_orders),
+        "fact_order_categories": _on_clean(facts.fact_order_categories),
+        "fact_seller_orders": _on_clean(facts.fact_seller_orders),
+        "fact_payments": _on_clean(facts.fact_payments),
+        "dim_date": _on_clean(facts.dim_date, PERIODS),
+        "dim_category": _on_clean(facts.dim_category),
+        "dim_seller": _on_clean(facts.dim_seller),
+        "dim_customer_state": _on_clean(facts.dim_customer_state),
+        "star_grain_checks": _on_star(star_checks.grain_checks),
+        "star_link_checks": _on_star(star_checks.link_checks),
+        "star_calendar_check": _on_star(star_checks.calendar_check),
+        "star_fact_reconciliation": _on_star(star_checks.fact_reconciliation),
+    }
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """Money to two and ratios to four digits."""
+    columns = []
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        value = F.col(field.name)
+        if kind == "decimal":
+            value = F.round(value.cast("double"), 2)
+        elif kind == "double":
+            value = F.round(value, 4)
+        columns.append(value.alias(field.name))
+    return df.select(*columns)
+
+
+def _measured(fact: str, names: list[str], by: tuple[str, ...] = (), context=None) -> Query:
+    """Measures by group; ``context`` yields keyword filters once a session exists."""
+
+    def plan(s: facts.Star) -> DataFrame:
+        return _rounded(measures.evaluate(s, names, by, **(context() if context else {})))
+
+    assert all(measures.MEASURES[n].fact == fact for n in names)
+    return _on_star(plan)
+
+
+def _names(fact: str) -> list[str]:
+    return [n for n, m in measures.MEASURES.items() if m.fact == fact]
+
+
+def _purchased(window):
+    return window.contains(F.col("order_purchase_date").cast("timestamp_ntz"))
+
+
+def _seller_measures(s: facts.Star) -> DataFrame:
+    states = F.col("seller_state").isin("NATION_3", "NATION_7", "NATION_15", "NATION_20")
+    rows = measures.sliced(
+        s["fact_seller_orders"], "seller_id", s["dim_seller"], "seller_id", states
+    )
+    star_slice = facts.Star({"fact_seller_orders": rows})
+    return _rounded(measures.evaluate(star_slice, _names("fact_seller_orders")))
+
+
+def _measures() -> dict[str, Query]:
+    orders = _names("fact_orders")
+    by_method = {
+        "orders_using_payment_method", "payment_value_by_method",
+        "payment_method_order_usage_rate", "payment_value_share",
+    }
+    categories_chosen = ["ECONOMY", "SMALL", "__unknown__"]
+    first_year = PERIODS.matched[0][1]
+    return {
+        "measures_marketplace": _measured("fact_orders", orders[:8], ("customer_state",)),
+        "measures_customers": _measured(
+            "persons", _names("persons"), ("customer_state",),
+            lambda: {"where": _purchased(first_year)},
+        ),
+        "measures_delivery_reviews": _measured("fact_orders", orders[8:], ("delay_band",)),
+        "measures_categories": _measured(
+            "fact_order_categories", _names("fact_order_categories"),
+            ("category_key", "category_display_name"),
+            lambda: {
+                "where": _purchased(PERIODS.core),
+                "only": F.col("category_key").isin(categories_chosen),
+            },
+        ),
+        "measures_sellers": _on_star(_seller_measures),
+        "measures_payments": _measured(
+            "fact_payments", [n for n in _names("fact_payments") if n not in by_method]
+        ),
+        "measures_payment_methods": _measured(
+            "fact_payments", [n for n in _names("fact_payments") if n in by_method],
+            ("payment_type",), lambda: {"only": F.col("payment_type") != "voucher"},
+        ),
+        "measures_matched": _on_star(
+            lambda s: _rounded(measures.matched(
+                s, ["completed_orders", "completed_item_sales_value"], PERIODS))
+        ),
+        "measures_matched_customers": _on_star(
+            measures.matched,
+            ["completed_unique_customers", "observed_repeat_customers"], PERIODS,
+        ),
+        "measures_category_matched": _on_star(measures.category_matched, PERIODS),
+    }
+
+
+def _cleaned(table: str) -> Query:
+    return _on_raw(lambda raw: cleaning.clean_table(raw, table))
+
+
+def _id_summary(mk: Marketplace) -> DataFrame:
+    return load_checks.with_surrogate_ids(mk).agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("geolocation_id").alias("distinct_ids"),
+        F.min("geolocation_id").alias("first_id"),
+        F.max("geolocation_id").alias("last_id"),
+    )
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean, write as Parquet in load order, read back and count."""
+    cleaned = cleaning.clean(bindings.bind_raw(tune(spark), sf_dir))
+    return sink.load(cleaned, spark, scratch_path(spark, "load"))
+
+
+def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the raw tables as CSV, ingest the files, clean them and count against Parquet."""
+    raw = bindings.bind_raw(tune(spark), sf_dir)
+    folder = scratch_path(spark, "csv")
+    raw_csv.write_raw(raw, folder)
+    ingested = cleaning.clean(raw_csv.read_raw(spark, folder))
+    return sink.load_counts(cleaning.clean(raw), ingested)
+
+
+def _quality() -> dict[str, Query]:
+    return {
+        **{f"clean_{table}": _cleaned(table) for table in SCHEMAS},
+        "cleaning_changes": _on_raw(cleaning.change_summary),
+        "cleaning_conversion_audit": _on_raw(cleaning.violations),
+        "cleaning_row_counts": _on_both(cleaning.row_counts),
+        "cleaning_duplicate_removal": _on_raw(cleaning.duplicate_removal),
+        "cleaning_retained_values": _on_clean(cleaning.retained_values, SHIPPING_LIMIT_FROM),
+        "cleaning_assertions": _on_both(cleaning.assertions),
+        "audit_inventory": _on_clean(audit.inventory),
+        "audit_structure": _on_clean(audit.structure),
+        "audit_keys": _on_clean(audit.key_checks),
+        "audit_duplicates": _on_clean(audit.duplicates),
+        "audit_duplicates_raw": _on_raw(audit.duplicates),
+        "audit_repeated_ids": _on_clean(audit.repeated_ids),
+        "audit_orphans": _on_clean(audit.relationship_orphans),
+        "audit_parent_coverage": _on_clean(audit.parent_coverage),
+        "audit_cardinality": _on_clean(audit.cardinality),
+        "audit_missing_values": _on_clean(audit.missing_values),
+        "audit_missing_by_table": _on_clean(audit.missing_by_table),
+        "audit_distributions": _on_clean(audit.distributions),
+        "audit_domain_violations_raw": _on_raw(audit.domain_violations),
+        "audit_state_codes": _on_clean(audit.state_codes),
+        "audit_numeric_profile": _on_clean(audit.numeric_profile),
+        "audit_outliers": _on_clean(audit.outliers),
+        "audit_numeric_rules": _on_clean(audit.numeric_rule_checks),
+        "audit_domain_rules": _on_clean(audit.domain_rule_checks),
+        "audit_date_ranges": _on_clean(audit.date_ranges),
+        "audit_order_timeline": _on_clean(audit.order_timeline),
+        "audit_shipping_limits": _on_clean(audit.shipping_limits, SHIPPING_LIMIT_FROM),
+        "audit_review_timeline": _on_clean(audit.review_timeline),
+        "audit_text_fields": _on_raw(audit.text_fields),
+        "audit_numeric_city_names": _on_clean(audit.numeric_city_names),
+        "audit_lookup_coverage": _on_clean(audit.lookup_coverage),
+        "audit_untranslated_categories": _on_clean(audit.untranslated_categories),
+        "audit_zip_coverage": _on_clean(audit.zip_coverage),
+        "audit_geolocation_density": _on_clean(audit.geolocation_density),
+        "audit_findings": _on_both(register.findings, SHIPPING_LIMIT_FROM),
+        "geolocation_surrogate_ids": _on_clean(_id_summary),
+        "join_grain_reference": _on_clean(
+            lambda mk: register.join_grains(mk).select("table_name", "rows")
+        ),
+        "validation_register": _on_both(register.register, SHIPPING_LIMIT_FROM),
+        "validation_summary": _on_both(
+            lambda raw, cleaned: register.summary(
+                register.register(raw, cleaned, SHIPPING_LIMIT_FROM))
+        ),
+        "validation_readiness": _on_both(
+            lambda raw, cleaned: register.readiness(
+                register.register(raw, cleaned, SHIPPING_LIMIT_FROM))
+        ),
+        "load_parquet_counts": _loaded,
+        "load_csv_roundtrip_counts": _csv_roundtrip,
+    }
+
+
+LOAD_SECTIONS = {
+    "rows": load_checks.row_counts,
+    "keys": load_checks.keys,
+    "foreign_keys": load_checks.foreign_keys,
+    "coverage": load_checks.coverage,
+    "cardinality": load_checks.cardinality,
+    "nulls": load_checks.nulls,
+    "numeric_ranges": load_checks.numeric_ranges,
+    "unusual_values": load_checks.unusual_values,
+    "temporal_anomalies": lambda mk: load_checks.temporal_anomalies(mk, SHIPPING_LIMIT_FROM),
+    "categories": load_checks.categories,
+    "geolocation": load_checks.geolocation,
+}
+
+
+def _load_section(name: str) -> Query:
+    expected = load_checks.PUBLISHED.get(name)
+    return _on_clean(lambda mk: load_checks.judged(LOAD_SECTIONS[name](mk), expected))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Monthly marketplace trends on the smallest test tables."""
     return queries()["monthly_trends"](spark, "/root/testdata/sf0.001")
 
 
 def queries() -> dict[str, Query]:
-    return _reports()
+    """Every registered query by name."""
+    return {
+        **_reports(),
+        **_star(),
+        **_measures(),
+        **_quality(),
+        **{f"load_check_{name}": _load_section(name) for name in LOAD_SECTIONS},
+    }
 
 
 def oracle_sql() -> dict[str, str]:
+    """The DuckDB query that must give the same rows, for each registered query."""
     return {
         **reports.SQL,
         "metric_reconciliation": reports.reconciliation(reconcile.PUBLISHED),
+        **star.SQL,
+        "star_fact_reconciliation": star.fact_reconciliation(star_checks.PUBLISHED_TOTALS),
+        **quality.SQL,
+        **{
+            f"load_check_{name}": quality.load_section(name, load_checks.PUBLISHED.get(name))
+            for name in LOAD_SECTIONS
+        },
     }
