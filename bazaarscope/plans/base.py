@@ -23,11 +23,11 @@ def total(column: str) -> Column:
 
 
 def order_item_totals(mk: Marketplace) -> DataFrame:
-    """order_id, item_count, item_sales_value, freight_value."""
+    """Items, sales and freight per order; money in cents."""
     return mk.order_items.groupBy("order_id").agg(
-        F.count("*").alias("item_count"),
-        F.sum("price").alias("item_sales_value"),
-        F.sum("freight_value").alias("freight_value"),
+        F.count("*").alias("items"),
+        M.cents_sum("price").alias("sales"),
+        M.cents_sum("freight_value").alias("freight"),
     )
 
 
@@ -103,7 +103,7 @@ def customer_people(mk: Marketplace) -> DataFrame:
 
 
 def completed_values_per_person(mk: Marketplace) -> DataFrame:
-    """Persons with completed orders that have items: orders, items, value."""
+    """Persons with completed orders that have items: orders, items, sales in cents."""
     per_record = (
         completed_orders(mk)
         .select("order_id", "customer_id")
@@ -111,16 +111,16 @@ def completed_values_per_person(mk: Marketplace) -> DataFrame:
         .groupBy("customer_id")
         .agg(
             F.count("*").alias("orders"),
-            F.sum("item_count").alias("items"),
-            F.sum("item_sales_value").alias("value"),
+            F.sum("items").alias("items"),
+            F.sum("sales").alias("sales"),
         )
     )
     return (
         per_record.join(customer_people(mk), "customer_id")
         .groupBy("customer_unique_id")
         .agg(
-            F.sum("orders").alias("completed_orders"),
-            F.sum("items").alias("completed_items"),
-            F.sum("value").alias("completed_item_sales_value"),
+            F.sum("orders").alias("orders"),
+            F.sum("items").alias("items"),
+            F.sum("sales").alias("sales"),
         )
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bazaarscope.functions import metrics as M
 from bazaarscope.functions.periods import Periods
+from bazaarscope.operators.members import member_counts
 from bazaarscope.operators.ordered import entities_for_shares
 from bazaarscope.operators.topk import top_k_with_total
 from bazaarscope.plans import base as B
@@ -23,7 +24,7 @@ def population(mk: Marketplace) -> DataFrame:
     per_product = (
         B.completed_items(mk, ["product_id", "price"])
         .groupBy("product_id")
-        .agg(F.count("*").alias("items"), F.sum("price").alias("sales"))
+        .agg(F.count("*").alias("items"), M.cents_sum("price").alias("sales"))
     )
     per_source = (
         per_product.join(B.product_categories(mk), "product_id")
@@ -51,12 +52,12 @@ def population(mk: Marketplace) -> DataFrame:
     return row.select(
         c("items").alias("completed_items"),
         c("products").alias("completed_products"),
-        M.r2(c("sales")).alias("completed_item_sales_value"),
+        M.money("sales").alias("completed_item_sales_value"),
         c("missing_items").alias("items_missing_category"),
         M.pct(c("missing_items"), c("items")).alias("items_missing_category_pct"),
-        M.r2(c("missing_sales")).alias("sales_value_missing_category"),
+        M.money("missing_sales").alias("sales_value_missing_category"),
         c("untranslated_items").alias("items_with_untranslated_category"),
-        M.r2(c("untranslated_sales")).alias("sales_value_untranslated_category"),
+        M.money("untranslated_sales").alias("sales_value_untranslated_category"),
         c("sources").alias("represented_source_categories"),
         c("translated").alias("represented_translated_categories"),
     )
@@ -70,26 +71,22 @@ def _categorised_items(
 
 
 def performance(mk: Marketplace) -> DataFrame:
-    per_source = (
-        _categorised_items(mk, ["price"])
-        .groupBy("source_category_name")
-        .agg(
-            F.count_distinct("order_id").alias("completed_orders"),
-            F.count("*").alias("items_sold"),
-            F.count_distinct("product_id").alias("products_sold"),
-            F.sum("price").alias("sales"),
-        )
+    per_source = member_counts(
+        _categorised_items(mk, ["price"]),
+        ["source_category_name"],
+        {"completed_orders": "order_id", "products_sold": "product_id"},
+        {"items_sold": F.count("*"), "sales": M.cents_sum("price")},
     )
     return B.with_category_label(per_source, mk).select(
         "category_name",
         "completed_orders",
         "items_sold",
         "products_sold",
-        M.r2(c("sales")).alias("item_sales_value"),
+        M.money("sales").alias("item_sales_value"),
         M.pct(c("sales"), B.total("sales")).alias("item_sales_value_share_pct"),
         M.pct(c("items_sold"), B.total("items_sold")).alias("item_share_pct"),
-        M.avg2(c("sales"), c("items_sold")).alias("avg_item_price"),
-        M.avg2(c("sales"), c("completed_orders")).alias("avg_category_sales_value_per_order"),
+        M.avg_money("sales", c("items_sold")).alias("avg_item_price"),
+        M.avg_money("sales", c("completed_orders")).alias("avg_category_sales_value_per_order"),
     ).orderBy(c("item_sales_value").desc(), "category_name")
 
 
@@ -103,7 +100,7 @@ def growth(mk: Marketplace, periods: Periods) -> DataFrame:
         .agg(
             F.count("*").alias("items"),
             F.count_distinct("order_id").alias("orders"),
-            F.sum("price").alias("sales"),
+            M.cents_sum("price").alias("sales"),
         )
     )
 
@@ -122,9 +119,9 @@ def growth(mk: Marketplace, periods: Periods) -> DataFrame:
         c(f"orders_{after}").alias(f"completed_orders_{after}"),
         c(f"items_{before}").alias(f"items_sold_{before}"),
         c(f"items_{after}").alias(f"items_sold_{after}"),
-        M.r2(old).alias(f"item_sales_value_{before}"),
-        M.r2(new).alias(f"item_sales_value_{after}"),
-        M.r2(new - old).alias("item_sales_value_change"),
+        M.r2(old / 100).alias(f"item_sales_value_{before}"),
+        M.r2(new / 100).alias(f"item_sales_value_{after}"),
+        M.r2((new - old) / 100).alias("item_sales_value_change"),
         M.pct(new - old, old).alias("item_sales_value_growth_pct"),
         M.pct(old, all_old).alias(f"marketplace_share_{before}_pct"),
         M.pct(new, all_new).alias(f"marketplace_share_{after}_pct"),
@@ -137,7 +134,7 @@ def product_concentration(mk: Marketplace) -> DataFrame:
     values = (
         B.completed_items(mk, ["product_id", "price"])
         .groupBy("product_id")
-        .agg(M.cents(F.sum("price")).alias("v"))
+        .agg(M.cents_sum("price").alias("v"))
         .select("v")
     )
     reached = entities_for_shares(values, "v", {"half": 50, "most": 80})
@@ -157,7 +154,7 @@ def top_products(mk: Marketplace, k: int = TOP_PRODUCTS) -> DataFrame:
         .agg(
             F.count_distinct("order_id").alias("completed_orders"),
             F.count("*").alias("items_sold"),
-            F.sum("price").alias("sales"),
+            M.cents_sum("price").alias("sales"),
         )
         .join(B.product_categories(mk), "product_id")
     )
@@ -170,9 +167,9 @@ def top_products(mk: Marketplace, k: int = TOP_PRODUCTS) -> DataFrame:
         "category_name",
         "completed_orders",
         "items_sold",
-        M.r2(c("sales")).alias("item_sales_value"),
+        M.money("sales").alias("item_sales_value"),
         M.pct(c("sales"), c("grand_total")).alias("item_sales_value_share_pct"),
-        M.avg2(c("sales"), c("items_sold")).alias("avg_item_price"),
+        M.avg_money("sales", c("items_sold")).alias("avg_item_price"),
     ).orderBy("product_rank")
 
 

@@ -75,15 +75,15 @@ def order_frequency(mk: Marketplace) -> DataFrame:
 
 
 def one_time_vs_repeat(mk: Marketplace) -> DataFrame:
-    kind = F.when(c("completed_orders") > 1, "repeat").otherwise("one_time")
+    kind = F.when(c("orders") > 1, "repeat").otherwise("one_time")
     segments = (
         B.completed_values_per_person(mk)
         .groupBy(kind.alias("customer_type"))
         .agg(
             F.count("*").alias("people"),
-            F.sum("completed_orders").alias("orders"),
-            F.sum("completed_items").alias("items"),
-            F.sum("completed_item_sales_value").alias("sales"),
+            F.sum("orders").alias("orders"),
+            F.sum("items").alias("items"),
+            F.sum("sales").alias("sales"),
         )
     )
     return segments.select(
@@ -93,19 +93,17 @@ def one_time_vs_repeat(mk: Marketplace) -> DataFrame:
         c("orders").alias("completed_orders"),
         M.pct(c("orders"), B.total("orders")).alias("completed_order_share_pct"),
         c("items").alias("completed_items"),
-        M.r2(c("sales")).alias("completed_item_sales_value"),
+        M.money("sales").alias("completed_item_sales_value"),
         M.pct(c("sales"), B.total("sales")).alias("item_sales_value_share_pct"),
         M.avg2(c("orders"), c("people")).alias("avg_completed_orders_per_customer"),
         M.avg2(c("items"), c("people")).alias("avg_items_per_customer"),
-        M.avg2(c("sales"), c("people")).alias("avg_item_sales_value_per_customer"),
-        M.avg2(c("sales"), c("orders")).alias("avg_item_sales_value_per_completed_order"),
+        M.avg_money("sales", c("people")).alias("avg_item_sales_value_per_customer"),
+        M.avg_money("sales", c("orders")).alias("avg_item_sales_value_per_completed_order"),
     ).orderBy("customer_type")
 
 
 def value_deciles(mk: Marketplace) -> DataFrame:
-    values = B.completed_values_per_person(mk).select(
-        M.cents(c("completed_item_sales_value")).alias("v")
-    )
+    values = B.completed_values_per_person(mk).select(c("sales").alias("v"))
     deciles = ntile_totals(values, "v", 10)
     return deciles.select(
         c("tile").alias("value_decile"),
@@ -135,9 +133,9 @@ def geography(mk: Marketplace) -> DataFrame:
     )
     per_person_state = orders.groupBy("customer_unique_id", "customer_state").agg(
         F.count("*").alias("all_orders"),
-        F.count("item_count").alias("orders"),
-        F.sum("item_count").alias("items"),
-        F.sum("item_sales_value").alias("sales"),
+        F.count("items").alias("orders"),
+        F.sum("items").alias("items"),
+        F.sum("sales").alias("sales"),
     )
     history = F.sum("all_orders").over(Window.partitionBy("customer_unique_id"))
     states = (
@@ -160,7 +158,7 @@ def geography(mk: Marketplace) -> DataFrame:
         c("orders").alias("completed_orders"),
         M.pct(c("orders"), B.total("orders")).alias("completed_order_share_pct"),
         c("items").alias("completed_items"),
-        M.r2(c("sales")).alias("completed_item_sales_value"),
+        M.money("sales").alias("completed_item_sales_value"),
         M.pct(c("sales"), B.total("sales")).alias("item_sales_value_share_pct"),
-        M.avg2(c("sales"), c("orders")).alias("avg_item_sales_value_per_completed_order"),
+        M.avg_money("sales", c("orders")).alias("avg_item_sales_value_per_completed_order"),
     ).orderBy(c("completed_item_sales_value").desc(), "customer_state")

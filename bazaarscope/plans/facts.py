@@ -45,7 +45,7 @@ def fact_orders(mk: Marketplace) -> DataFrame:
     delay = F.when(eligible, M.seconds_between(estimated, delivered))
     orders = (
         mk.orders.withColumn("is_delivery_eligible", _flag(M.is_delivery_eligible()))
-        .join(B.order_item_totals(mk).drop("freight_value"), "order_id", "left")
+        .join(B.order_item_totals(mk).drop("freight"), "order_id", "left")
         .join(
             B.representative_reviews(mk).withColumn("reviewed", F.lit(True)), "order_id", "left"
         )
@@ -66,9 +66,9 @@ def fact_orders(mk: Marketplace) -> DataFrame:
         "order_delivered_customer_date",
         "order_estimated_delivery_date",
         _flag(M.is_completed()).alias("is_delivered"),
-        _flag(c("item_count").isNotNull()).alias("has_items"),
-        F.coalesce("item_count", F.lit(0)).alias("item_count"),
-        F.coalesce("item_sales_value", F.lit(0)).alias("item_sales_value"),
+        _flag(c("items").isNotNull()).alias("has_items"),
+        F.coalesce("items", F.lit(0)).alias("item_count"),
+        M.decimal_money(F.coalesce("sales", F.lit(0))).alias("item_sales_value"),
         _flag(c("reviewed")).alias("has_review"),
         c("review_score").alias("representative_review_score"),
         "is_delivery_eligible",
@@ -89,12 +89,12 @@ def fact_order_categories(mk: Marketplace) -> DataFrame:
     """
     per_category = (
         mk.order_items.groupBy("order_id", "product_id")
-        .agg(F.count("*").alias("n"), F.sum("price").alias("sales"))
+        .agg(F.count("*").alias("n"), M.cents_sum("price").alias("sales"))
         .join(B.product_categories(mk), "product_id", "left")
         .groupBy("order_id", "source_category_name")
         .agg(
             F.sum("n").alias("category_item_count"),
-            F.sum("sales").alias("category_item_sales_value"),
+            F.sum("sales").alias("sales"),
         )
     )
     reviews = B.representative_reviews(mk).withColumn("reviewed", F.lit(True))
@@ -112,7 +112,7 @@ def fact_order_categories(mk: Marketplace) -> DataFrame:
         c("category_name").alias("category_display_name"),
         category_key(c("source_category_name")).alias("category_key"),
         "category_item_count",
-        "category_item_sales_value",
+        M.decimal_money(c("sales")).alias("category_item_sales_value"),
         _flag(c("reviewed")).alias("has_review"),
         c("review_score").alias("representative_review_score"),
     )
@@ -122,7 +122,7 @@ def fact_seller_orders(mk: Marketplace) -> DataFrame:
     """One row per order and seller."""
     per_seller = mk.order_items.groupBy("order_id", "seller_id").agg(
         F.count("*").alias("seller_item_count"),
-        F.sum("price").alias("seller_item_sales_value"),
+        M.cents_sum("price").alias("sales"),
     )
     return per_seller.join(_order_header(mk), "order_id").select(
         "order_id",
@@ -131,7 +131,7 @@ def fact_seller_orders(mk: Marketplace) -> DataFrame:
         "order_status",
         "is_delivered",
         "seller_item_count",
-        "seller_item_sales_value",
+        M.decimal_money(c("sales")).alias("seller_item_sales_value"),
     )
 
 
@@ -153,7 +153,7 @@ def fact_payments(mk: Marketplace) -> DataFrame:
         "order_purchase_date",
         "payment_type",
         "payment_installments",
-        "payment_value",
+        M.decimal_money(M.cents(c("payment_value"))).alias("payment_value"),
         "payment_record_count",
         "payment_method_count",
         _flag(c("payment_record_count") > 1).alias("is_multi_payment_order"),

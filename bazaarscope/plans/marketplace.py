@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bazaarscope.functions import metrics as M
 from bazaarscope.functions.domain import UNKNOWN_CATEGORY
 from bazaarscope.functions.periods import Periods
+from bazaarscope.operators.members import per_member
 from bazaarscope.operators.ordered import entities_for_shares
 from bazaarscope.plans import base as B
 from bazaarscope.sources.model import Marketplace
@@ -35,31 +36,36 @@ def scale(mk: Marketplace) -> DataFrame:
         M.rows_where(person & (c("completed") > 0)).alias("completed_unique_customers"),
     )
     done = M.is_completed()
-    # product x seller pairs first: the distinct counts then run on far fewer rows
-    pairs = (
-        mk.order_items.join(mk.orders.select("order_id", "order_status"), "order_id")
-        .groupBy("product_id", "seller_id")
-        .agg(
-            F.count("*").alias("n"),
-            M.rows_where(done).alias("n_done"),
-            F.sum("price").alias("sales"),
-            M.sum_where(done, c("price")).alias("sales_done"),
-            F.sum("freight_value").alias("freight"),
-            M.sum_where(done, c("freight_value")).alias("freight_done"),
-        )
+    # every product and every seller with its activity: distinct counts become row counts
+    entities = per_member(
+        mk.order_items.join(mk.orders.select("order_id", "order_status"), "order_id"),
+        [],
+        ["product_id", "seller_id"],
+        {
+            "n": F.count("*"),
+            "n_done": M.rows_where(done),
+            "sales": M.cents_sum("price"),
+            "sales_done": M.cents_sum("price", done),
+            "freight": M.cents_sum("freight_value"),
+            "freight_done": M.cents_sum("freight_value", done),
+        },
     )
     active = c("n_done") > 0
-    items = pairs.agg(
-        F.sum("n").alias("recorded_items"),
-        F.sum("n_done").alias("completed_items"),
-        F.count_distinct("product_id").alias("recorded_products"),
-        F.count_distinct(F.when(active, c("product_id"))).alias("completed_products"),
-        F.count_distinct("seller_id").alias("recorded_sellers"),
-        F.count_distinct(F.when(active, c("seller_id"))).alias("completed_sellers"),
-        F.sum("sales").alias("sales"),
-        F.sum("sales_done").alias("sales_done"),
-        F.sum("freight").alias("freight"),
-        F.sum("freight_done").alias("freight_done"),
+    product = (c("_member") == "product_id") & c("product_id").isNotNull()
+    seller = (c("_member") == "seller_id") & c("seller_id").isNotNull()
+
+    def total(name: str) -> Column:
+        # products and sellers each hold all items; add up one of them
+        return F.sum(F.when(c("_member") == "product_id", c(name)))
+
+    items = entities.agg(
+        total("n").alias("recorded_items"),
+        total("n_done").alias("completed_items"),
+        M.rows_where(product).alias("recorded_products"),
+        M.rows_where(product & active).alias("completed_products"),
+        M.rows_where(seller).alias("recorded_sellers"),
+        M.rows_where(seller & active).alias("completed_sellers"),
+        *[total(n).alias(n) for n in ("sales", "sales_done", "freight", "freight_done")],
     )
     item_row = items.select(F.struct(*items.columns)).scalar()
     row = orders.withColumn("i", item_row)
@@ -80,14 +86,14 @@ def scale(mk: Marketplace) -> DataFrame:
                 "completed_sellers",
             )
         ],
-        M.r2(c("i.sales")).alias("recorded_item_sales_value"),
-        M.r2(c("i.sales_done")).alias("completed_item_sales_value"),
-        M.r2(c("i.freight")).alias("recorded_freight_value"),
-        M.r2(c("i.freight_done")).alias("completed_freight_value"),
+        M.money("i.sales").alias("recorded_item_sales_value"),
+        M.money("i.sales_done").alias("completed_item_sales_value"),
+        M.money("i.freight").alias("recorded_freight_value"),
+        M.money("i.freight_done").alias("completed_freight_value"),
         M.avg2(c("i.completed_items"), c("completed_orders")).alias(
             "avg_items_per_completed_order"
         ),
-        M.avg2(c("i.sales_done"), c("completed_orders")).alias(
+        M.avg_money("i.sales_done", c("completed_orders")).alias(
             "avg_item_sales_value_per_completed_order"
         ),
     )
@@ -103,15 +109,15 @@ def _activity(mk: Marketplace, within: Column, label: str, group: Column) -> Dat
     orders = (
         mk.orders.filter(within)
         .select("order_id", "customer_id", group.alias(label), done.alias("done"))
-        .join(B.order_item_totals(mk).drop("freight_value"), "order_id", "left")
+        .join(B.order_item_totals(mk).drop("freight"), "order_id", "left")
         .join(B.customer_people(mk), "customer_id", "left")
     )
     per_person = orders.groupBy(label, "customer_unique_id").agg(
         F.count("*").alias("orders"),
         M.rows_where(c("done")).alias("orders_done"),
-        F.sum("item_count").alias("items"),
-        M.sum_where(c("done"), c("item_count")).alias("items_done"),
-        M.sum_where(c("done"), c("item_sales_value")).alias("sales_done"),
+        F.sum("items").alias("items"),
+        M.sum_where(c("done"), c("items")).alias("items_done"),
+        M.sum_where(c("done"), c("sales")).alias("sales_done"),
     )
     person = c("customer_unique_id").isNotNull()
     grouped = per_person.groupBy(label).agg(
@@ -137,8 +143,8 @@ def _activity_report(activity: DataFrame, label: str) -> DataFrame:
         "completed_unique_customers",
         "recorded_items",
         "completed_items",
-        M.r2(c("sales")).alias("completed_item_sales_value"),
-        M.avg2(c("sales"), c("completed_orders")).alias(
+        M.money("sales").alias("completed_item_sales_value"),
+        M.avg_money("sales", c("completed_orders")).alias(
             "avg_item_sales_value_per_completed_order"
         ),
     ).orderBy(label)
@@ -206,10 +212,10 @@ def merchandise_by_status(mk: Marketplace) -> DataFrame:
         .groupBy("order_status")
         .agg(
             F.count("*").alias("recorded_orders"),
-            F.count("item_count").alias("orders_with_items"),
-            F.coalesce(F.sum("item_count"), F.lit(0)).alias("item_count"),
-            F.coalesce(F.sum("item_sales_value"), F.lit(0)).alias("sales"),
-            F.coalesce(F.sum("freight_value"), F.lit(0)).alias("freight"),
+            F.count("items").alias("orders_with_items"),
+            F.coalesce(F.sum("items"), F.lit(0)).alias("item_count"),
+            F.coalesce(F.sum("sales"), F.lit(0)).alias("sales"),
+            F.coalesce(F.sum("freight"), F.lit(0)).alias("freight"),
         )
     )
     return by_status.select(
@@ -217,34 +223,33 @@ def merchandise_by_status(mk: Marketplace) -> DataFrame:
         "recorded_orders",
         "orders_with_items",
         "item_count",
-        M.r2(c("sales")).alias("item_sales_value"),
+        M.money("sales").alias("item_sales_value"),
         M.pct(c("sales"), B.total("sales")).alias("item_sales_value_share_pct"),
-        M.r2(c("freight")).alias("freight_value"),
+        M.money("freight").alias("freight_value"),
     ).orderBy(c("item_sales_value").desc())
 
 
 def concentration(mk: Marketplace) -> DataFrame:
     """Entities that make up 50% and 80% of completed sales: customer, category, seller."""
     products = B.product_categories(mk)
-    pairs = (
-        B.completed_items(mk, ["product_id", "seller_id", "price"])
-        .groupBy("product_id", "seller_id")
-        .agg(F.sum("price").alias("value"))
-    )
     category = F.coalesce(c("source_category_name"), F.lit(UNKNOWN_CATEGORY))
-    by_product = pairs.groupBy("product_id").agg(F.sum("value").alias("value"))
+    by_product = (
+        B.completed_items(mk, ["product_id", "price"])
+        .groupBy("product_id")
+        .agg(M.cents_sum("price").alias("value"))
+    )
     values = {
-        "customer": B.completed_values_per_person(mk).select(
-            c("completed_item_sales_value").alias("value")
-        ),
+        "customer": B.completed_values_per_person(mk).select(c("sales").alias("value")),
         "category": by_product.join(products, "product_id")
         .groupBy(category.alias("category"))
         .agg(F.sum("value").alias("value")),
-        "seller": pairs.groupBy("seller_id").agg(F.sum("value").alias("value")),
+        "seller": B.completed_items(mk, ["seller_id", "price"])
+        .groupBy("seller_id")
+        .agg(M.cents_sum("price").alias("value")),
     }
     entities = None
     for entity_type, df in values.items():
-        part = df.select(F.lit(entity_type).alias("entity_type"), M.cents(c("value")).alias("v"))
+        part = df.select(F.lit(entity_type).alias("entity_type"), c("value").alias("v"))
         entities = part if entities is None else entities.unionByName(part)
     shares = {"entities_for_50_pct": 50, "entities_for_80_pct": 80}
     reached = entities_for_shares(entities, "v", shares, by=["entity_type"])

@@ -46,8 +46,8 @@ def _order_parts() -> dict[str, Column]:
         "done": F.sum("is_delivered"),
         "items": F.sum("item_count"),
         "items_done": M.sum_where(done, c("item_count")),
-        "sales": F.sum("item_sales_value"),
-        "sales_done": M.sum_where(done, c("item_sales_value")),
+        "sales": M.cents_sum("item_sales_value") / 100,
+        "sales_done": M.cents_sum("item_sales_value", done) / 100,
         "eligible": F.sum("is_delivery_eligible"),
         "on_time": M.rows_where(eligible & (c("is_late") == 0)),
         "late": M.rows_where(late),
@@ -71,9 +71,9 @@ def _person_parts() -> dict[str, Column]:
         "one_time": M.rows_where(done == 1),
         "repeat_orders": M.sum_where(done > 1, done),
         "person_orders": F.coalesce(F.sum(done), F.lit(0)),
-        "one_time_sales": M.sum_where(done == 1, c("sales_done")),
-        "repeat_sales": M.sum_where(done > 1, c("sales_done")),
-        "person_sales": F.coalesce(F.sum("sales_done"), F.lit(0)),
+        "one_time_sales": M.sum_where(done == 1, c("sales_done")) / 100,
+        "repeat_sales": M.sum_where(done > 1, c("sales_done")) / 100,
+        "person_sales": F.coalesce(F.sum("sales_done"), F.lit(0)) / 100,
     }
 
 
@@ -82,7 +82,7 @@ def _category_parts() -> dict[str, Column]:
     return {
         "orders": F.count_distinct(F.when(done, c("order_id"))),
         "items": M.sum_where(done, c("category_item_count")),
-        "sales": M.sum_where(done, c("category_item_sales_value")),
+        "sales": M.cents_sum("category_item_sales_value", done) / 100,
         "reviewed": F.sum("has_review"),
         "score": F.sum(score.cast("bigint")),
         "scored": F.count(score),
@@ -96,7 +96,7 @@ def _seller_parts() -> dict[str, Column]:
         "sellers": F.count_distinct(F.when(done, c("seller_id"))),
         "relationships": F.sum("is_delivered"),
         "items": M.sum_where(done, c("seller_item_count")),
-        "sales": M.sum_where(done, c("seller_item_sales_value")),
+        "sales": M.cents_sum("seller_item_sales_value", done) / 100,
     }
 
 
@@ -107,10 +107,10 @@ def _payment_parts() -> dict[str, Column]:
         "multi": F.count_distinct(F.when(c("is_multi_payment_order") == 1, c("order_id"))),
         "mixed": F.count_distinct(F.when(c("is_multi_method_order") == 1, c("order_id"))),
         "records": F.count("*"),
-        "value": F.sum("payment_value"),
+        "value": M.cents_sum("payment_value") / 100,
         "card": M.rows_where(card),
         "card_multi": M.rows_where(card & (c("payment_installments") > 1)),
-        "card_value": F.sum(F.when(card, c("payment_value"))),
+        "card_value": F.sum(F.when(card, M.cents(c("payment_value")))) / 100,
     }
 
 
@@ -229,7 +229,7 @@ def _aggregate(rows: DataFrame, fact: str, by: Sequence[str], parts: set[str]) -
         # repeat status is decided inside the context: first per person, then per group
         rows = rows.groupBy(*by, "customer_unique_id").agg(
             F.sum("is_delivered").alias("orders_done"),
-            M.sum_where(c("is_delivered") == 1, c("item_sales_value")).alias("sales_done"),
+            M.cents_sum("item_sales_value", c("is_delivered") == 1).alias("sales_done"),
         )
     available = _PARTS[fact]()
     return rows.groupBy(*by).agg(*[available[p].alias(p) for p in sorted(parts)])

@@ -18,7 +18,7 @@ PURCHASE = "order_purchase_timestamp"
 def _methods_per_order(mk: Marketplace) -> DataFrame:
     """One row per order and method: records, value."""
     return mk.payments.groupBy("order_id", "payment_type").agg(
-        F.count("*").alias("records"), F.sum("payment_value").alias("value")
+        F.count("*").alias("records"), M.cents_sum("payment_value").alias("value")
     )
 
 
@@ -27,7 +27,7 @@ def _paid_orders(mk: Marketplace) -> DataFrame:
     return mk.payments.groupBy("order_id").agg(
         F.count("*").alias("records"),
         F.collect_set("payment_type").alias("methods"),
-        F.sum("payment_value").alias("value"),
+        M.cents_sum("payment_value").alias("value"),
     )
 
 
@@ -49,7 +49,7 @@ def population(mk: Marketplace) -> DataFrame:
         c("paid").alias("orders_with_payments"),
         (c("recorded_orders") - c("paid")).alias("orders_without_payments"),
         c("records").alias("payment_records"),
-        M.r2(c("value")).alias("recorded_payment_value"),
+        M.money("value").alias("recorded_payment_value"),
         c("single").alias("single_payment_record_orders"),
         c("multi").alias("multiple_payment_record_orders"),
         M.pct(c("multi"), c("paid")).alias("multiple_payment_record_order_pct"),
@@ -96,9 +96,9 @@ def method_mix(mk: Marketplace) -> DataFrame:
         M.pct(c("records"), B.total("records")).alias("payment_record_share_pct"),
         c("orders").alias("orders_using_method"),
         M.pct(c("orders"), B.total("first")).alias("paid_order_usage_pct"),
-        M.r2(c("value")).alias("recorded_payment_value"),
+        M.money("value").alias("recorded_payment_value"),
         M.pct(c("value"), B.total("value")).alias("payment_value_share_pct"),
-        M.avg2(c("value"), c("records")).alias("avg_payment_record_value"),
+        M.avg_money("value", c("records")).alias("avg_payment_record_value"),
     ).orderBy(c("recorded_payment_value").desc(), "payment_type")
 
 
@@ -115,7 +115,7 @@ def method_combinations(mk: Marketplace) -> DataFrame:
         "payment_method_combination",
         c("orders").alias("mixed_payment_orders"),
         M.pct(c("orders"), B.total("orders")).alias("mixed_order_share_pct"),
-        M.avg2(c("value"), c("orders")).alias("avg_order_payment_value"),
+        M.avg_money("value", c("orders")).alias("avg_order_payment_value"),
     ).orderBy(c("mixed_payment_orders").desc(), "payment_method_combination")
 
 
@@ -126,8 +126,8 @@ def _card_payments(mk: Marketplace) -> DataFrame:
 def _card_columns() -> list[Column]:
     return [
         M.pct(c("records"), B.total("records")).alias("payment_record_share_pct"),
-        M.r2(c("value")).alias("recorded_credit_card_value"),
-        M.avg2(c("value"), c("records")).alias("avg_credit_card_payment_value"),
+        M.money("value").alias("recorded_credit_card_value"),
+        M.avg_money("value", c("records")).alias("avg_credit_card_payment_value"),
     ]
 
 
@@ -138,7 +138,7 @@ def installment_distribution(mk: Marketplace) -> DataFrame:
         .agg(
             F.count("*").alias("records"),
             F.count_distinct("order_id").alias("orders"),
-            F.sum("payment_value").alias("value"),
+            M.cents_sum("payment_value").alias("value"),
         )
     )
     return counts.select(
@@ -154,7 +154,7 @@ def installment_bands(mk: Marketplace) -> DataFrame:
     groups = (
         _card_payments(mk)
         .groupBy(band.alias("installment_group"))
-        .agg(F.count("*").alias("records"), F.sum("payment_value").alias("value"))
+        .agg(F.count("*").alias("records"), M.cents_sum("payment_value").alias("value"))
     )
     position = M.position_in(
         c("installment_group"), D.INSTALLMENT_BANDS, D.INSTALLMENT_BAND_REST
@@ -182,6 +182,6 @@ def by_month_and_method(mk: Marketplace, periods: Periods) -> DataFrame:
         "payment_type",
         c("orders").alias("orders_using_method"),
         M.pct(c("orders"), F.sum("first").over(of_month)).alias("paid_order_usage_pct"),
-        M.r2(c("value")).alias("recorded_payment_value"),
+        M.money("value").alias("recorded_payment_value"),
         M.pct(c("value"), F.sum("value").over(of_month)).alias("payment_value_share_pct"),
     ).orderBy("order_month", c("recorded_payment_value").desc(), "payment_type")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarscope.functions import metrics as M
+from bazaarscope.operators.members import member_counts
 from bazaarscope.plans import base as B
 from bazaarscope.sources.model import Marketplace
 
@@ -67,18 +68,13 @@ def metric_row(mk: Marketplace) -> DataFrame:
             ).alias("p")
         )
     )
-    items = (
-        B.completed_items(mk, ["product_id", "seller_id", "price"])
-        .groupBy("product_id", "seller_id")
-        .agg(F.sum("price").alias("sales"))
-        .agg(
-            F.struct(
-                F.count_distinct("product_id").alias("products"),
-                F.count_distinct("seller_id").alias("sellers"),
-                F.sum("sales").alias("sales"),
-            ).alias("i")
-        )
+    items = member_counts(
+        B.completed_items(mk, ["product_id", "seller_id", "price"]),
+        [],
+        {"products": "product_id", "sellers": "seller_id"},
+        {"sales": M.cents_sum("price")},
     )
+    items = items.select(F.struct(*items.columns).alias("i"))
     paid = mk.payments.agg(F.count_distinct("order_id").alias("paid"))
     return orders.select(
         "*",
@@ -100,7 +96,7 @@ def reconciliation(mk: Marketplace, expected: Mapping[str, object]) -> DataFrame
 
     sides = {
         "completed_orders": (given("completed_orders"), c("completed_orders")),
-        "completed_item_sales_value": (given("completed_item_sales_value"), c("i.sales")),
+        "completed_item_sales_value": (given("completed_item_sales_value"), c("i.sales") / 100),
         "completed_unique_customers": (given("completed_unique_customers"), c("p.all")),
         "repeat_completed_customers": (given("repeat_completed_customers"), c("p.repeat")),
         "customer_frequency_partition": (c("p.all"), c("p.one_time") + c("p.repeat")),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bazaarscope.functions import metrics as M
 from bazaarscope.functions.periods import Periods
+from bazaarscope.operators.members import member_counts
 from bazaarscope.operators.topk import top_k_with_total
 from bazaarscope.plans import base as B
 from bazaarscope.sources.model import Marketplace
@@ -33,27 +34,21 @@ def population(mk: Marketplace) -> DataFrame:
             F.sum("sellers").alias("relationships"),
         )
     )
-    pairs = (
-        B.completed_items(mk, ["product_id", "seller_id", "price"])
-        .groupBy("product_id", "seller_id")
-        .agg(F.count("*").alias("items"), F.sum("price").alias("sales"))
+    activity = member_counts(
+        B.completed_items(mk, ["product_id", "seller_id", "price"]),
+        [],
+        {"sellers": "seller_id", "products": "product_id"},
+        {"items": F.count("*"), "sales": M.cents_sum("price")},
     )
-    activity = pairs.agg(
-        F.struct(
-            F.count_distinct("seller_id").alias("sellers"),
-            F.count_distinct("product_id").alias("products"),
-            F.sum("items").alias("items"),
-            F.sum("sales").alias("sales"),
-        ).alias("a")
-    )
-    return structure.withColumn("a", activity.scalar()).select(
+    row = activity.select(F.struct(*activity.columns)).scalar()
+    return structure.withColumn("a", row).select(
         c("orders").alias("completed_orders"),
         c("with_items").alias("completed_orders_with_items"),
         (c("orders") - c("with_items")).alias("completed_orders_without_items"),
         c("a.sellers").alias("active_sellers"),
         c("a.products").alias("products_sold"),
         c("a.items").alias("completed_items"),
-        M.r2(c("a.sales")).alias("completed_item_sales_value"),
+        M.money("a.sales").alias("completed_item_sales_value"),
         c("single").alias("single_seller_orders"),
         c("multi").alias("multi_seller_orders"),
         M.pct(c("multi"), c("with_items")).alias("multi_seller_order_pct"),
@@ -64,15 +59,11 @@ def population(mk: Marketplace) -> DataFrame:
 
 
 def top_sellers(mk: Marketplace, k: int = TOP_SELLERS) -> DataFrame:
-    per_seller = (
-        B.completed_items(mk, ["seller_id", "product_id", "price"])
-        .groupBy("seller_id")
-        .agg(
-            F.count_distinct("order_id").alias("completed_orders"),
-            F.count("*").alias("items_sold"),
-            F.count_distinct("product_id").alias("products_sold"),
-            F.sum("price").alias("sales"),
-        )
+    per_seller = member_counts(
+        B.completed_items(mk, ["seller_id", "product_id", "price"]),
+        ["seller_id"],
+        {"completed_orders": "order_id", "products_sold": "product_id"},
+        {"items_sold": F.count("*"), "sales": M.cents_sum("price")},
     )
     leading = top_k_with_total(
         per_seller, "seller_id", [c("sales").desc(), c("seller_id").asc()], k, "sales"
@@ -83,10 +74,10 @@ def top_sellers(mk: Marketplace, k: int = TOP_SELLERS) -> DataFrame:
         "completed_orders",
         "items_sold",
         "products_sold",
-        M.r2(c("sales")).alias("item_sales_value"),
+        M.money("sales").alias("item_sales_value"),
         M.pct(c("sales"), c("grand_total")).alias("item_sales_value_share_pct"),
-        M.avg2(c("sales"), c("items_sold")).alias("avg_item_price"),
-        M.avg2(c("sales"), c("completed_orders")).alias("avg_seller_sales_value_per_order"),
+        M.avg_money("sales", c("items_sold")).alias("avg_item_price"),
+        M.avg_money("sales", c("completed_orders")).alias("avg_seller_sales_value_per_order"),
     ).orderBy("seller_rank")
 
 
@@ -102,7 +93,7 @@ def base_growth(mk: Marketplace, periods: Periods) -> DataFrame:
         .agg(
             F.count_distinct("order_id").alias("orders"),
             F.count("*").alias("items"),
-            F.sum("price").alias("sales"),
+            M.cents_sum("price").alias("sales"),
         )
     )
     years = per_seller.groupBy("order_year").agg(
@@ -116,9 +107,9 @@ def base_growth(mk: Marketplace, periods: Periods) -> DataFrame:
         c("sellers").alias("active_sellers"),
         c("orders").alias("seller_order_relationships"),
         c("items").alias("completed_items"),
-        M.r2(c("sales")).alias("item_sales_value"),
+        M.money("sales").alias("item_sales_value"),
         M.avg2(c("orders"), c("sellers")).alias("avg_completed_orders_per_active_seller"),
-        M.avg2(c("sales"), c("sellers")).alias("avg_item_sales_value_per_active_seller"),
+        M.avg_money("sales", c("sellers")).alias("avg_item_sales_value_per_active_seller"),
     ).orderBy("order_year")
 
 
@@ -127,7 +118,7 @@ def participation(mk: Marketplace, periods: Periods) -> DataFrame:
     before, after = periods.years
 
     def sales(year: int) -> Column:
-        return M.sum_where(periods.in_year(c(PURCHASE), year), c("price")).alias(f"sales_{year}")
+        return M.cents_sum("price", periods.in_year(c(PURCHASE), year)).alias(f"sales_{year}")
 
     def active(year: int) -> Column:
         return F.bool_or(periods.in_year(c(PURCHASE), year)).alias(f"active_{year}")
@@ -145,8 +136,8 @@ def participation(mk: Marketplace, periods: Periods) -> DataFrame:
     )
     groups = per_seller.groupBy(group.alias("participation_group")).agg(
         F.count("*").alias("sellers"),
-        M.r2(F.sum(f"sales_{before}")).alias(f"item_sales_value_{before}"),
-        M.r2(F.sum(f"sales_{after}")).alias(f"item_sales_value_{after}"),
+        M.r2(F.sum(f"sales_{before}") / 100).alias(f"item_sales_value_{before}"),
+        M.r2(F.sum(f"sales_{after}") / 100).alias(f"item_sales_value_{after}"),
     )
     label = c("participation_group")
     return groups.orderBy(
@@ -157,17 +148,14 @@ def participation(mk: Marketplace, periods: Periods) -> DataFrame:
 
 
 def geography(mk: Marketplace) -> DataFrame:
-    states = (
-        B.completed_items(mk, ["seller_id", "product_id", "price"])
-        .join(mk.sellers.select("seller_id", "seller_state"), "seller_id")
-        .groupBy("seller_state")
-        .agg(
-            F.count_distinct("seller_id").alias("sellers"),
-            F.count_distinct("order_id").alias("orders"),
-            F.count("*").alias("items"),
-            F.count_distinct("product_id").alias("products"),
-            F.sum("price").alias("sales"),
-        )
+    items = B.completed_items(mk, ["seller_id", "product_id", "price"]).join(
+        mk.sellers.select("seller_id", "seller_state"), "seller_id"
+    )
+    states = member_counts(
+        items,
+        ["seller_state"],
+        {"sellers": "seller_id", "orders": "order_id", "products": "product_id"},
+        {"items": F.count("*"), "sales": M.cents_sum("price")},
     )
     # a seller has one state, so sellers add up over the states
     return states.select(
@@ -178,7 +166,7 @@ def geography(mk: Marketplace) -> DataFrame:
         c("items").alias("items_sold"),
         M.pct(c("items"), B.total("items")).alias("item_share_pct"),
         c("products").alias("products_sold"),
-        M.r2(c("sales")).alias("item_sales_value"),
+        M.money("sales").alias("item_sales_value"),
         M.pct(c("sales"), B.total("sales")).alias("item_sales_value_share_pct"),
-        M.avg2(c("sales"), c("sellers")).alias("avg_item_sales_value_per_active_seller"),
+        M.avg_money("sales", c("sellers")).alias("avg_item_sales_value_per_active_seller"),
     ).orderBy(c("item_sales_value").desc(), "seller_state")

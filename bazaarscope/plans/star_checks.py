@@ -61,8 +61,8 @@ def _fact_aggregates() -> dict[str, dict[str, Column]]:
             "orders_without_items": M.rows_where(c("has_items") == 0),
             "recorded_item_count": F.sum("item_count"),
             "delivered_item_count": M.sum_where(delivered, c("item_count")),
-            "recorded_item_sales_value": F.sum("item_sales_value"),
-            "delivered_item_sales_value": M.sum_where(delivered, c("item_sales_value")),
+            "recorded_item_sales_value": M.cents_sum("item_sales_value") / 100,
+            "delivered_item_sales_value": M.cents_sum("item_sales_value", delivered) / 100,
             "orders_with_review": F.sum("has_review"),
             "delivery_eligible_orders": F.sum("is_delivery_eligible"),
             "late_orders": M.rows_where(c("is_late") == 1),
@@ -70,7 +70,8 @@ def _fact_aggregates() -> dict[str, dict[str, Column]]:
         },
         "fact_order_categories": {
             "completed_item_count": M.sum_where(delivered, c("category_item_count")),
-            "completed_item_sales_value": M.sum_where(delivered, c("category_item_sales_value")),
+            "completed_item_sales_value": M.cents_sum("category_item_sales_value", delivered)
+            / 100,
             "completed_items_missing_category": M.sum_where(
                 delivered & c("source_category_name").isNull(), c("category_item_count")
             ),
@@ -78,11 +79,11 @@ def _fact_aggregates() -> dict[str, dict[str, Column]]:
         "fact_seller_orders": {
             "completed_relationships": F.sum("is_delivered"),
             "completed_item_count": M.sum_where(delivered, c("seller_item_count")),
-            "completed_item_sales_value": M.sum_where(delivered, c("seller_item_sales_value")),
+            "completed_item_sales_value": M.cents_sum("seller_item_sales_value", delivered) / 100,
         },
         "fact_payments": {
             "payment_records": F.count("*"),
-            "recorded_payment_value": F.sum("payment_value"),
+            "recorded_payment_value": M.cents_sum("payment_value") / 100,
             "max_payment_records_per_order": F.max("payment_record_count"),
             "max_payment_methods_per_order": F.max("payment_method_count"),
             "non_positive_card_records": M.rows_where(c("installment_band") == "non_positive"),

@@ -69,9 +69,10 @@ def _orders(t) -> DataFrame:
 
 
 def _order_items(t) -> DataFrame:
-    # freight in exact integers: price cents times tax percent, rounded half up
+    # The files hold money as doubles with two digits; the plans sum it in whole cents.
+    # Freight in exact integers: price cents times tax percent, rounded half up.
     freight = (
-        "(cast(round(l_extendedprice * 100) as bigint) * cast(round(l_tax * 100) as bigint)"
+        "(cast(rint(l_extendedprice * 100) as bigint) * cast(rint(l_tax * 100) as bigint)"
         " + 50) div 100"
     )
     return t("lineitem").select(
@@ -80,10 +81,8 @@ def _order_items(t) -> DataFrame:
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_shipdate").alias("shipping_limit_date"),
-        F.expr("cast(l_extendedprice as decimal(12,2))").alias("price"),
-        F.expr(f"cast(cast({freight} as decimal(14,0)) / 100 as decimal(12,2))").alias(
-            "freight_value"
-        ),
+        F.col("l_extendedprice").alias("price"),
+        F.expr(f"({freight}) / 100").alias("freight_value"),
     )
 
 
@@ -135,7 +134,7 @@ def _payments(t) -> DataFrame:
         F.col("l_linenumber").alias("payment_sequential"),
         _mapped("l_returnflag", _PAYMENT).alias("payment_type"),
         F.expr("cast(l_quantity as int) % 14").alias("payment_installments"),
-        F.expr("cast(l_extendedprice as decimal(12,2))").alias("payment_value"),
+        F.col("l_extendedprice").alias("payment_value"),
     )
 
 
@@ -250,6 +249,10 @@ def _as_float(column: str) -> Column:
     return F.col(column).cast("decimal(12,1)").cast("string")
 
 
+def _two_digits(column: str) -> Column:
+    return F.col(column).cast("decimal(12,2)").cast("string")
+
+
 def _special(table: str) -> dict[str, Column]:
     """Columns whose raw text differs from the cleaned value."""
     if table == "customers":
@@ -259,8 +262,13 @@ def _special(table: str) -> dict[str, Column]:
         }
     if table == "orders":
         return {"order_status": _padded("order_status")}
+    if table == "order_items":
+        return {name: _two_digits(name) for name in ("price", "freight_value")}
     if table == "payments":
-        return {"payment_type": _padded("payment_type")}
+        return {
+            "payment_type": _padded("payment_type"),
+            "payment_value": _two_digits("payment_value"),
+        }
     if table == "reviews":
         return {
             "review_comment_title": _padded("review_comment_title"),
