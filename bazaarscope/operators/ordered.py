@@ -28,7 +28,9 @@ def order_bucket(key: Column) -> Column:
         shift = F.greatest(width - _BITS, F.lit(0))
         return width * (1 << _BITS) + F.call_function("shiftright", v, shift)
 
-    return F.when(key >= 0, magnitude(key)).otherwise(-magnitude(-key)).cast("int")
+    bucket = F.when(key >= 0, magnitude(key)).otherwise(-magnitude(-key)).cast("int")
+    # never NULL, so a join on it adds no filter that would keep plans from sharing a shuffle
+    return F.coalesce(bucket, F.lit(0))
 
 
 def histogram(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
