@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from bazaarscope.functions.metrics import rounded  # noqa: E402
 from bazaarscope.plans import audit, categories, cleaning, customers, delivery  # noqa: E402
 from bazaarscope.plans import facts, load_checks, marketplace, measures, payments  # noqa: E402
 from bazaarscope.plans import reconcile, register, sellers, star_checks  # noqa: E402
@@ -138,9 +139,9 @@ def _rounded(df: DataFrame) -> DataFrame:
         kind = field.dataType.typeName()
         value = F.col(field.name)
         if kind == "decimal":
-            value = F.round(value.cast("double"), 2)
+            value = rounded(value)
         elif kind == "double":
-            value = F.round(value, 4)
+            value = rounded(value, 4)
         columns.append(value.alias(field.name))
     return df.select(*columns)
 

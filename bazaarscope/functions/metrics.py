@@ -11,9 +11,13 @@ SECONDS_PER_DAY = 86400
 
 
 # -- numbers ---------------------------------------------------------------------
-def r2(value: Column) -> Column:
-    """Round a ratio or a money total to two digits, as a double."""
-    return F.round(value.cast("double"), 2)
+def rounded(value: Column, digits: int = 2) -> Column:
+    """Round half up, as a double.
+
+    The first rounding removes binary noise: a quotient that is 16.025 in decimal
+    arithmetic rounds to 16.03 however its double was computed.
+    """
+    return F.round(F.round(value.cast("double"), 9), digits)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -22,7 +26,7 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 
 
 def avg2(numerator: Column, denominator: Column) -> Column:
-    return F.round(ratio(numerator, denominator), 2)
+    return rounded(ratio(numerator, denominator))
 
 
 def raw_pct(part: Column, whole: Column) -> Column:
@@ -30,7 +34,7 @@ def raw_pct(part: Column, whole: Column) -> Column:
 
 
 def pct(part: Column, whole: Column) -> Column:
-    return F.round(raw_pct(part, whole), 2)
+    return rounded(raw_pct(part, whole))
 
 
 def growth_pct(current: Column, previous: Column) -> Column:
@@ -61,7 +65,7 @@ def cents_sum(column: str, where: Column | None = None) -> Column:
 
 def money(cents_column: str) -> Column:
     """Cents back to an amount with two digits, as a double."""
-    return F.round(F.col(cents_column) / 100, 2)
+    return rounded(F.col(cents_column) / 100)
 
 
 def avg_money(cents_column: str, n: Column) -> Column:
@@ -84,7 +88,7 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 
 def avg_days2(seconds: Column, n: Column) -> Column:
-    return F.round(F.try_divide(seconds.cast("double"), n.cast("double")) / SECONDS_PER_DAY, 2)
+    return rounded(ratio(seconds, n) / SECONDS_PER_DAY)
 
 
 # -- orders ----------------------------------------------------------------------

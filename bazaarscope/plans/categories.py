@@ -119,13 +119,13 @@ def growth(mk: Marketplace, periods: Periods) -> DataFrame:
         c(f"orders_{after}").alias(f"completed_orders_{after}"),
         c(f"items_{before}").alias(f"items_sold_{before}"),
         c(f"items_{after}").alias(f"items_sold_{after}"),
-        M.r2(old / 100).alias(f"item_sales_value_{before}"),
-        M.r2(new / 100).alias(f"item_sales_value_{after}"),
-        M.r2((new - old) / 100).alias("item_sales_value_change"),
+        M.rounded(old / 100).alias(f"item_sales_value_{before}"),
+        M.rounded(new / 100).alias(f"item_sales_value_{after}"),
+        M.rounded((new - old) / 100).alias("item_sales_value_change"),
         M.pct(new - old, old).alias("item_sales_value_growth_pct"),
         M.pct(old, all_old).alias(f"marketplace_share_{before}_pct"),
         M.pct(new, all_new).alias(f"marketplace_share_{after}_pct"),
-        F.round(share_gap, 2).alias("marketplace_share_change_pp"),
+        M.rounded(share_gap).alias("marketplace_share_change_pp"),
         M.pct(new - old, all_new - all_old).alias("contribution_to_sales_growth_pct"),
     ).orderBy(c("item_sales_value_change").desc(), "category_name")
 

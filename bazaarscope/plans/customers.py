@@ -108,10 +108,10 @@ def value_deciles(mk: Marketplace) -> DataFrame:
     return deciles.select(
         c("tile").alias("value_decile"),
         c("rows").alias("customer_count"),
-        M.r2(c("min_cents") / 100).alias("min_customer_item_sales_value"),
-        M.r2(M.ratio(c("sum_cents"), c("rows")) / 100).alias("avg_customer_item_sales_value"),
-        M.r2(c("max_cents") / 100).alias("max_customer_item_sales_value"),
-        M.r2(c("sum_cents") / 100).alias("total_item_sales_value"),
+        M.rounded(c("min_cents") / 100).alias("min_customer_item_sales_value"),
+        M.rounded(M.ratio(c("sum_cents"), c("rows")) / 100).alias("avg_customer_item_sales_value"),
+        M.rounded(c("max_cents") / 100).alias("max_customer_item_sales_value"),
+        M.rounded(c("sum_cents") / 100).alias("total_item_sales_value"),
         M.pct(c("sum_cents"), B.total("sum_cents")).alias("item_sales_value_share_pct"),
     ).orderBy("value_decile")
 

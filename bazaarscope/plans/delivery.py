@@ -116,7 +116,7 @@ def percentiles(mk: Marketplace) -> DataFrame:
 
     def days(metric: str, point: str) -> Column:
         seconds = F.max(F.when(c("metric") == metric, c(point)))
-        return F.round(seconds / M.SECONDS_PER_DAY, 2)
+        return M.rounded(seconds / M.SECONDS_PER_DAY)
 
     return points.agg(
         days("delivery", "median").alias("median_delivery_days"),
@@ -245,7 +245,7 @@ def by_state(mk: Marketplace) -> DataFrame:
         *_averages(),
         _late(),
         _late_rate(),
-        F.round(rate_gap, 2).alias("late_rate_vs_marketplace_pp"),
-        F.round(day_gap, 2).alias("delivery_days_vs_marketplace"),
+        M.rounded(rate_gap).alias("late_rate_vs_marketplace_pp"),
+        M.rounded(day_gap).alias("delivery_days_vs_marketplace"),
         _avg_late(),
     ).orderBy(c("eligible_delivered_orders").desc(), "customer_state")

@@ -326,13 +326,13 @@ def category_matched(star: Star, periods: Periods) -> DataFrame:
     totals = evaluate_totals(star, periods)
     return rows.select(
         *by,
-        M.r2(old).alias(f"item_sales_value_{before}"),
-        M.r2(new).alias(f"item_sales_value_{after}"),
-        M.r2(new - old).alias("absolute_growth"),
+        M.rounded(old).alias(f"item_sales_value_{before}"),
+        M.rounded(new).alias(f"item_sales_value_{after}"),
+        M.rounded(new - old).alias("absolute_growth"),
         M.growth_pct(new, old).alias("growth_pct"),
-        F.round(100 * share_old, 2).alias(f"marketplace_share_{before}_pct"),
-        F.round(100 * share_new, 2).alias(f"marketplace_share_{after}_pct"),
-        F.round(100 * (share_new - share_old), 2).alias("share_change_pp"),
+        M.rounded(100 * share_old).alias(f"marketplace_share_{before}_pct"),
+        M.rounded(100 * share_new).alias(f"marketplace_share_{after}_pct"),
+        M.rounded(100 * (share_new - share_old)).alias("share_change_pp"),
         M.pct(new - old, totals).alias("growth_contribution_pct"),
     )
 

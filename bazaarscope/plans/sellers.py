@@ -136,8 +136,8 @@ def participation(mk: Marketplace, periods: Periods) -> DataFrame:
     )
     groups = per_seller.groupBy(group.alias("participation_group")).agg(
         F.count("*").alias("sellers"),
-        M.r2(F.sum(f"sales_{before}") / 100).alias(f"item_sales_value_{before}"),
-        M.r2(F.sum(f"sales_{after}") / 100).alias(f"item_sales_value_{after}"),
+        M.rounded(F.sum(f"sales_{before}") / 100).alias(f"item_sales_value_{before}"),
+        M.rounded(F.sum(f"sales_{after}") / 100).alias(f"item_sales_value_{after}"),
     )
     label = c("participation_group")
     return groups.orderBy(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.roles import CORE, MATCHED, avg2, big, days2, money, pct, with_roles
+from oracles.roles import CORE, MATCHED, avg2, big, days2, money, pct, rnd, with_roles
 
 
 def _activity(label: str, where: str) -> str:
@@ -28,10 +28,8 @@ def _activity(label: str, where: str) -> str:
 _YEAR = "year(bought) AS order_year"
 
 def _lag(expr: str) -> str:
-    return (
-        f"round(100.0::DOUBLE * (({expr})::DOUBLE - (lag({expr}) OVER w)::DOUBLE)"
-        f" / nullif((lag({expr}) OVER w)::DOUBLE, 0), 2)"
-    )
+    before = f"(lag({expr}) OVER w)::DOUBLE"
+    return rnd(f"100.0::DOUBLE * (({expr})::DOUBLE - {before}) / nullif({before}, 0)")
 
 
 def _concentration(source: str, by: str) -> str:
@@ -217,16 +215,20 @@ _SQL = {
     "delivery_reliability": f"""
     SELECT {_DURATIONS}, count(*) FILTER (arrived <= due) AS on_time_or_early_orders, {_EARLY}
     FROM m_eligible""",
-    "delivery_percentiles": """
+    "delivery_percentiles": f"""
     WITH d AS (SELECT quantile_cont(took, 0.5) AS m,
                  quantile_disc(took, [0.75, 0.9, 0.95]) AS q, max(took) AS x FROM m_eligible),
     l AS (SELECT quantile_cont(slip, 0.5) AS m, quantile_disc(slip, [0.9, 0.95]) AS q,
             max(slip) AS x FROM m_eligible WHERE slip > 0)
-    SELECT round(d.m / 86400, 2) AS median_delivery_days,
-      round(d.q[1] / 86400, 2) AS p75_delivery_days, round(d.q[2] / 86400, 2) AS p90_delivery_days,
-      round(d.q[3] / 86400, 2) AS p95_delivery_days, round(d.x / 86400, 2) AS max_delivery_days,
-      round(l.m / 86400, 2) AS median_late_delay_days, round(l.q[1] / 86400, 2) AS p90_late_delay_days,
-      round(l.q[2] / 86400, 2) AS p95_late_delay_days, round(l.x / 86400, 2) AS max_late_delay_days
+    SELECT {rnd("d.m / 86400")} AS median_delivery_days,
+      {rnd("d.q[1] / 86400")} AS p75_delivery_days,
+      {rnd("d.q[2] / 86400")} AS p90_delivery_days,
+      {rnd("d.q[3] / 86400")} AS p95_delivery_days,
+      {rnd("d.x / 86400")} AS max_delivery_days,
+      {rnd("l.m / 86400")} AS median_late_delay_days,
+      {rnd("l.q[1] / 86400")} AS p90_late_delay_days,
+      {rnd("l.q[2] / 86400")} AS p95_late_delay_days,
+      {rnd("l.x / 86400")} AS max_late_delay_days
     FROM d, l""",
     "delivery_by_month": f"""
     SELECT strftime(bought, '%Y-%m') AS order_month, {_DURATIONS}, {_EARLY}
@@ -263,9 +265,9 @@ _SQL = {
     SELECT state AS customer_state, n AS eligible_delivered_orders,
       {pct("n", "n_all")} AS eligible_order_share_pct, avg_delivery_days,
       avg_estimated_delivery_days, late_orders, late_delivery_rate_pct,
-      round(100.0::DOUBLE * late_orders / n - 100.0::DOUBLE * late_all::DOUBLE / n_all, 2)
+      {rnd("100.0::DOUBLE * late_orders / n - 100.0::DOUBLE * late_all::DOUBLE / n_all")}
         AS late_rate_vs_marketplace_pp,
-      round((t::DOUBLE / n - t_all::DOUBLE / n_all) / 86400, 2) AS delivery_days_vs_marketplace,
+      {rnd("(t::DOUBLE / n - t_all::DOUBLE / n_all) / 86400")} AS delivery_days_vs_marketplace,
       avg_delay_days_for_late_orders FROM a""",
     "category_population": f"""
     WITH x AS (SELECT * FROM m_done_items JOIN m_labels USING (product_id))
@@ -302,7 +304,7 @@ _SQL = {
       {pct("v2 - v1", "v1")} AS item_sales_value_growth_pct,
       {pct("v1", "t1")} AS marketplace_share_1996_pct,
       {pct("v2", "t2")} AS marketplace_share_1997_pct,
-      round(100.0::DOUBLE * v2::DOUBLE / t2::DOUBLE - 100.0::DOUBLE * v1::DOUBLE / t1::DOUBLE, 2)
+      {rnd("100.0::DOUBLE * v2::DOUBLE / t2::DOUBLE - 100.0::DOUBLE * v1::DOUBLE / t1::DOUBLE")}
         AS marketplace_share_change_pp,
       {pct("v2 - v1", "t2 - t1")} AS contribution_to_sales_growth_pct FROM t""",
     "product_concentration": f"""

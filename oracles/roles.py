@@ -123,20 +123,25 @@ def with_roles(body: str, extra: dict[str, str] | None = None) -> str:
     return f"WITH {head}\n{body}"
 
 
+def rnd(value: str, digits: int = 2) -> str:
+    """Round half up on decimals; DuckDB rounds a double 16.025 down."""
+    return f"round(CAST(({value})::DOUBLE AS DECIMAL(30,9)), {digits})::DOUBLE"
+
+
 def pct(part: str, whole: str) -> str:
-    return f"round(100.0::DOUBLE * ({part})::DOUBLE / nullif(({whole})::DOUBLE, 0), 2)"
+    return rnd(f"100.0::DOUBLE * ({part})::DOUBLE / nullif(({whole})::DOUBLE, 0)")
 
 
 def avg2(num: str, den: str) -> str:
-    return f"round(({num})::DOUBLE / nullif(({den})::DOUBLE, 0), 2)"
+    return rnd(f"({num})::DOUBLE / nullif(({den})::DOUBLE, 0)")
 
 
 def days2(seconds: str, n: str) -> str:
-    return f"round(({seconds})::DOUBLE / nullif(({n})::DOUBLE, 0) / 86400, 2)"
+    return rnd(f"({seconds})::DOUBLE / nullif(({n})::DOUBLE, 0) / 86400")
 
 
 def money(value: str) -> str:
-    return f"round(({value})::DOUBLE, 2)"
+    return rnd(value)
 
 
 def big(value: str) -> str:

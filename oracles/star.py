@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracles.roles import big, money, pct, with_roles
+from oracles.roles import big, money, pct, rnd, with_roles
 
 _DAY = "strftime(bought, '%Y-%m-%d') AS order_purchase_date"
 _STAMP = "strftime({x}, '%Y-%m-%d %H:%M:%S')"
@@ -137,7 +137,7 @@ def fact_reconciliation(expected: dict) -> str:
 
 
 def _r4(num: str, den: str) -> str:
-    return f"round(({num})::DOUBLE / nullif(({den})::DOUBLE, 0), 4)"
+    return rnd(f"({num})::DOUBLE / nullif(({den})::DOUBLE, 0)", 4)
 
 
 _PERSONS = """
@@ -243,8 +243,8 @@ _SQL = {
     SELECT {_BAND} AS delay_band, {big("sum(eligible)")} AS delivery_eligible_orders,
       {_ONTIME} AS on_time_or_early_orders, {_LATE} AS late_orders,
       {_r4(_LATE, "sum(eligible)")} AS late_delivery_rate,
-      round(sum(took)::DOUBLE / nullif(sum(eligible), 0)::DOUBLE / 86400, 4) AS avg_delivery_days,
-      round((sum(slip) FILTER (slip > 0))::DOUBLE / nullif({_LATE}, 0) / 86400, 4)
+      {rnd("sum(took)::DOUBLE / nullif(sum(eligible), 0)::DOUBLE / 86400", 4)} AS avg_delivery_days,
+      {rnd(f"(sum(slip) FILTER (slip > 0))::DOUBLE / nullif({_LATE}, 0) / 86400", 4)}
         AS avg_late_days,
       {big("sum(reviewed)")} AS reviewed_orders, {_r4("sum(score)", "count(score)")} AS avg_review_score,
       count(*) FILTER (score <= 2) AS low_review_orders,
@@ -322,7 +322,7 @@ _SQL = {
       {money("a")} AS item_sales_value_1996, {money("b")} AS item_sales_value_1997,
       {money("b - a")} AS absolute_growth, {pct("b - a", "a")} AS growth_pct,
       {pct("a", "ta")} AS marketplace_share_1996_pct, {pct("b", "tb")} AS marketplace_share_1997_pct,
-      round(100 * (b::DOUBLE / tb::DOUBLE - a::DOUBLE / ta::DOUBLE), 2) AS share_change_pp,
+      {rnd("100 * (b::DOUBLE / tb::DOUBLE - a::DOUBLE / ta::DOUBLE)")} AS share_change_pp,
       {pct("b - a", "tb - ta")} AS growth_contribution_pct FROM t""",
 }
 
