@@ -283,9 +283,7 @@ def _quality() -> dict[str, Query]:
         "audit_geolocation_density": _on_clean(audit.geolocation_density),
         "audit_findings": _on_both(register.findings, SHIPPING_LIMIT_FROM),
         "geolocation_surrogate_ids": _on_clean(_id_summary),
-        "join_grain_reference": _on_clean(
-            lambda mk: register.join_grains(mk).select("table_name", "rows")
-        ),
+        "join_grain_reference": _on_clean(register.join_grains),
         "validation_register": _on_both(register.register, SHIPPING_LIMIT_FROM),
         "validation_summary": _on_both(
             lambda raw, cleaned: register.summary(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _S, _I, _L, _DBL, _TS = (
@@ -128,3 +129,23 @@ class Marketplace:
 
     def replaced(self, **tables: DataFrame) -> Marketplace:
         return Marketplace({**self._tables, **tables})
+
+    def collated(self, collation: str = "UNICODE_CI_AI") -> Marketplace:
+        """The same tables with text compared by a collation instead of byte by byte.
+
+        The default ignores case and accents, as a relational store may.
+        """
+
+        def build(table: str):
+            def collate() -> DataFrame:
+                df = self[table]
+                return df.select(*[
+                    F.collate(f.name, collation).alias(f.name)
+                    if isinstance(f.dataType, T.StringType)
+                    else f.name
+                    for f in df.schema.fields
+                ])
+
+            return collate
+
+        return Marketplace({table: build(table) for table in TABLES})

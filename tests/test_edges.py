@@ -305,3 +305,15 @@ def test_geolocation_duplicates(spark):
     assert found["duplicate_groups"] == 1
     assert found["excess_duplicate_rows"] == 1
     assert one(audit.geolocation_density(mk))["maximum_rows_per_zip_prefix"] == 3
+
+
+def test_collation_merges_spellings(spark):
+    mk = market(
+        spark,
+        orders=[order("o1")],
+        customers=[customer("c1")],
+        products=[product("p1", "Brinquedos"), product("p2", "brinquedos")],
+        order_items=[item("o1", 1, "p1"), item("o1", 2, "p2")],
+    )
+    assert categories.performance(mk).count() == 2
+    assert categories.performance(mk.collated()).count() == 1
