@@ -230,27 +230,31 @@ def merchandise_by_status(mk: Marketplace) -> DataFrame:
 
 
 def concentration(mk: Marketplace) -> DataFrame:
-    """Entities that make up 50% and 80% of completed sales: customer, category, seller."""
-    products = B.product_categories(mk)
-    category = F.coalesce(c("source_category_name"), F.lit(UNKNOWN_CATEGORY))
-    by_product = (
-        B.completed_items(mk, ["product_id", "price"])
-        .groupBy("product_id")
-        .agg(M.cents_sum("price").alias("value"))
+    """Entities that make up 50% and 80% of completed sales: customer, category, seller.
+
+    The items are read and joined once; grouping sets then total them per person, category
+    and seller together.
+    """
+    members = {"customer_unique_id": "customer", "category": "category", "seller_id": "seller"}
+    people = (
+        B.completed_orders(mk)
+        .select("order_id", "customer_id")
+        .join(B.customer_people(mk), "customer_id", "left")
     )
-    values = {
-        "customer": B.completed_values_per_person(mk).select(c("sales").alias("value")),
-        "category": by_product.join(products, "product_id")
-        .groupBy(category.alias("category"))
-        .agg(F.sum("value").alias("value")),
-        "seller": B.completed_items(mk, ["seller_id", "price"])
-        .groupBy("seller_id")
-        .agg(M.cents_sum("price").alias("value")),
-    }
-    entities = None
-    for entity_type, df in values.items():
-        part = df.select(F.lit(entity_type).alias("entity_type"), c("value").alias("v"))
-        entities = part if entities is None else entities.unionByName(part)
+    category = F.coalesce("source_category_name", F.lit(UNKNOWN_CATEGORY))
+    products = B.product_categories(mk).select("product_id", category.alias("category"))
+    items = (
+        mk.order_items.select("order_id", "product_id", "seller_id", "price")
+        .join(people, "order_id")
+        .join(products, "product_id", "left")
+    )
+    sold = per_member(items, [], list(members), {"v": M.cents_sum("price")})
+    label, known = F.lit(None).cast("string"), F.lit(False)
+    for column, name in members.items():
+        own = c("_member") == column
+        label = F.when(own, name).otherwise(label)
+        known = known | (own & c(column).isNotNull())
+    entities = sold.filter(known).select(label.alias("entity_type"), "v")
     shares = {"entities_for_50_pct": 50, "entities_for_80_pct": 80}
     reached = entities_for_shares(entities, "v", shares, by=["entity_type"])
     return reached.select(
