@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bazaarscope.functions import domain as D
 from bazaarscope.functions import metrics as M
 from bazaarscope.operators.keys import duplicate_profile
-from bazaarscope.operators.profile import union_all
+from bazaarscope.operators.profile import long_aggregate, union_all
 from bazaarscope.plans import audit as A
 from bazaarscope.plans import cleaning as C
 from bazaarscope.sources.model import Marketplace
@@ -152,32 +152,61 @@ def _relationships(cleaned: Marketplace) -> list[DataFrame]:
     ]
 
 
-def _missing(cleaned: Marketplace) -> list[DataFrame]:
-    approved = [f"{t}.{name}" for t, names in D.NULLABLE_COLUMNS.items() for name in names]
-    unexpected = ~F.concat_ws(".", "table_name", "column_name").isin(approved)
-    # every table gets an entry, so start from the table names
-    tables = A.inventory(cleaned).select("table_name")
-    per_table = A.missing_values(cleaned).groupBy("table_name").agg(
-        F.count_if(unexpected).alias("unexpected")
-    )
-    rows = tables.join(per_table, "table_name", "left").na.fill(0, ["unexpected"])
-    return [
-        _entry(rows, "Missing values", c("table_name"),
-               F.lit("Missing values limited to approved columns"), c("unexpected") == 0,
-               F.concat(grouped(c("unexpected")), F.lit(" unexpected columns with missing values")))
-    ]
+def _row_rules(cleaned: Marketplace) -> list[DataFrame]:
+    """Every rule on single rows of a table, in one pass over the table."""
+    parts = []
+    for table, df in cleaned.items():
+        entries = []
+
+        def add(area, check, n, words, severity=CRITICAL, otherwise=FAILED, to=entries):
+            labels = {
+                "validation_area": area, "check": check, "severity": severity,
+                "otherwise": otherwise, "words": words,
+            }
+            to.append(({k: F.lit(v) for k, v in labels.items()}, {"n": n}))
+
+        unexpected = F.lit(0)
+        for name in df.columns:
+            if name not in D.NULLABLE_COLUMNS.get(table, ()):
+                has_missing = M.rows_where(c(name).isNull()) > 0
+                unexpected = unexpected + has_missing.cast("int")
+        add("Missing values", "Missing values limited to approved columns",
+            unexpected.cast("bigint"), "unexpected columns with missing values")
+        for label, test in C.tidy_rules(table):
+            add("Transformation", label, M.rows_where(test), "violations")
+        area = "Categorical domain" if table == "reviews" else "Numerical domain"
+        for label, test in A.domain_rules().get(table, ()):
+            add(area, label, M.rows_where(test), "invalid rows")
+        if table == "orders":
+            for label, test in A.order_timeline_rules():
+                add("Temporal consistency", label, M.rows_where(test),
+                    "affected rows retained", WARNING, LIMITED)
+        parts.append(long_aggregate(df, entries).withColumn("table_name", F.lit(table)))
+    return [union_all(parts).select(
+        "validation_area",
+        "table_name",
+        "check",
+        "severity",
+        F.when(c("n") == 0, PASSED).otherwise(c("otherwise")).alias("result"),
+        F.concat(grouped(c("n")), F.lit(" "), c("words")).alias("details"),
+    )]
 
 
 def _transformations(raw: Marketplace, cleaned: Marketplace) -> list[DataFrame]:
     changes = C.change_summary(raw).filter(c("step").isin("timestamp", "whole_number"))
     kept = c("missing_before") == c("missing_after")
-    tidy = C.assertions(raw, cleaned).filter(~c("check").startswith("key is complete"))
+    copies = A.duplicates(cleaned).filter(c("table_name") == "geolocation").select(
+        "table_name",
+        F.lit("no exact duplicates").alias("check"),
+        c("excess_duplicate_rows").alias("violations"),
+    )
+    tidy = C.declared_as_cleaned(raw, cleaned).unionByName(copies)
     return [
         _entry(changes, "Transformation", c("table_name"),
                F.concat(c("column_name"), F.lit(" converted")), kept,
                F.concat(F.lit("Missing before: "), grouped(c("missing_before")),
                         F.lit("; after: "), grouped(c("missing_after")))),
-        _entry(tidy, "Transformation", c("table_name"), c("check"), c("passed"),
+        _entry(tidy, "Transformation", c("table_name"), c("check"), c("violations") == 0,
                F.concat(grouped(c("violations")), F.lit(" violations"))),
     ]
 
@@ -193,7 +222,6 @@ def _domains(cleaned: Marketplace, states: Sequence[str]) -> list[DataFrame]:
     rows = domains.join(outside, ["table_name", "column_name"], "left").na.fill(0, ["unexpected"])
     codes = A.state_codes(cleaned, states)
     invalid = c("missing_rows") + c("invalid_state_code_rows")
-    rules = A.domain_rule_checks(cleaned)
     return [
         _entry(rows, "Categorical domain", c("table_name"),
                F.concat(c("column_name"), F.lit(" allowed values")), c("unexpected") == 0,
@@ -201,16 +229,11 @@ def _domains(cleaned: Marketplace, states: Sequence[str]) -> list[DataFrame]:
         _entry(codes, "Categorical domain", c("table_name"),
                F.concat(c("column_name"), F.lit(" uses valid state codes")), invalid == 0,
                F.concat(grouped(invalid), F.lit(" invalid rows"))),
-        _affected(rules.filter(c("table_name") == "reviews"), "Categorical domain",
-                  "invalid rows"),
-        _affected(rules.filter(c("table_name") != "reviews"), "Numerical domain",
-                  "invalid rows"),
     ]
 
 
 def _temporal(cleaned: Marketplace, shipping_limit_from: str) -> list[DataFrame]:
     rows = union_all([
-        A.order_timeline(cleaned),
         A.shipping_limits(cleaned, shipping_limit_from),
         A.review_timeline(cleaned).filter(c("check") != "Survey sent before eligibility date"),
     ])
@@ -250,7 +273,7 @@ def register(
         *_schema(cleaned),
         *_keys(cleaned),
         *_relationships(cleaned),
-        *_missing(cleaned),
+        *_row_rules(cleaned),
         *_transformations(raw, cleaned),
         *_domains(cleaned, states),
         *_temporal(cleaned, shipping_limit_from),

@@ -181,7 +181,8 @@ def _translation(t) -> DataFrame:
 
 # Declared, so that opening a file starts no job to infer its schema.
 _FILES = {
-    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_orderdate timestamp_ntz",
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
     "l_quantity double, l_extendedprice double, l_tax double, l_returnflag string, "
     "l_shipdate timestamp_ntz",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -10,8 +12,12 @@ from bazaarscope.sources.model import SCHEMAS, Marketplace
 
 _SOURCE_NAMES = {clean: raw for raw, clean in D.RENAMED_COLUMNS.items()}
 
-# Review text holds quoted line breaks; a doubled quote stands for one quote.
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+# A doubled quote stands for one quote.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
+
+# Review text holds quoted line breaks. Such files cannot be split between tasks, so only
+# the tables that need it are read this way; a large one should come as many files.
+MULTILINE_TABLES = frozenset({"reviews"})
 
 
 def raw_columns(table: str) -> list[str]:
@@ -30,10 +36,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
+def _read(spark: SparkSession, path: str, table: str, multiline: bool) -> DataFrame:
     # enforceSchema=false: a file whose header differs from the declared names is an error
     return (
         spark.read.options(**CSV_OPTIONS)
+        .option("multiLine", multiline)
         .option("enforceSchema", "false")
         .schema(raw_schema(table))
         .csv(path)
@@ -41,15 +48,21 @@ def _read(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def read_raw(
-    spark: SparkSession, folder: str, files: dict[str, str] | None = None
+    spark: SparkSession,
+    folder: str,
+    files: dict[str, str] | None = None,
+    multiline: Collection[str] = MULTILINE_TABLES,
 ) -> Marketplace:
-    """Read the nine files of a folder, failing with the list of the absent ones."""
+    """Read the nine files of a folder, failing with the list of the absent ones.
+
+    Each entry may be a file or a folder of part files.
+    """
     files = files or D.SOURCE_FILES
     paths = {table: f"{folder.rstrip('/')}/{name}" for table, name in files.items()}
     absent = [path for path in paths.values() if not _exists(spark, path)]
     if absent:
         raise FileNotFoundError("source files not found:\n" + "\n".join(absent))
-    return Marketplace({t: _read(spark, path, t) for t, path in paths.items()})
+    return Marketplace({t: _read(spark, path, t, t in multiline) for t, path in paths.items()})
 
 
 def write_raw(raw: Marketplace, folder: str, files: dict[str, str] | None = None) -> None:

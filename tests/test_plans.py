@@ -71,10 +71,11 @@ def is_sorted_label(names):
 def test_period_filter_and_columns_reach_the_scan(spark, sf_dir):
     df = entry_points.queries()["monthly_trends"](spark, sf_dir)
     text = df._jdf.queryExecution().toString()
-    scan = next(line for line in text.splitlines()[::-1] if "FileScan" in line and "o_orderdate" in line)
+    scans = [line for line in text.splitlines() if "FileScan" in line]
+    scan = [line for line in scans if "o_orderdate" in line][-1]
     assert "GreaterThanOrEqual(o_orderdate" in scan
     assert "o_totalprice" not in scan
-    items = next(line for line in text.splitlines()[::-1] if "FileScan" in line and "l_orderkey" in line)
+    items = [line for line in scans if "l_orderkey" in line][-1]
     assert "l_shipdate" not in items and "l_tax" not in items
 
 
