@@ -25,7 +25,7 @@ def _activity(label: str, where: str) -> str:
     WHERE {where} GROUP BY ALL HAVING sum(n) > 0"""
 
 
-_YEAR = "year(bought) AS order_year"
+_YEAR = "CAST(year(bought) AS INTEGER) AS order_year"
 
 def _lag(expr: str) -> str:
     before = f"(lag({expr}) OVER w)::DOUBLE"
