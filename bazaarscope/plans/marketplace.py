@@ -30,8 +30,8 @@ def scale(mk: Marketplace) -> DataFrame:
     )
     person = c("customer_unique_id").isNotNull()
     orders = per_person.agg(
-        F.sum("recorded").alias("recorded_orders"),
-        F.sum("completed").alias("completed_orders"),
+        F.coalesce(F.sum("recorded"), F.lit(0)).alias("recorded_orders"),
+        F.coalesce(F.sum("completed"), F.lit(0)).alias("completed_orders"),
         M.rows_where(person).alias("recorded_unique_customers"),
         M.rows_where(person & (c("completed") > 0)).alias("completed_unique_customers"),
     )
@@ -59,8 +59,8 @@ def scale(mk: Marketplace) -> DataFrame:
         return F.sum(F.when(c("_member") == "product_id", c(name)))
 
     items = entities.agg(
-        total("n").alias("recorded_items"),
-        total("n_done").alias("completed_items"),
+        F.coalesce(total("n"), F.lit(0)).alias("recorded_items"),
+        F.coalesce(total("n_done"), F.lit(0)).alias("completed_items"),
         M.rows_where(product).alias("recorded_products"),
         M.rows_where(product & active).alias("completed_products"),
         M.rows_where(seller).alias("recorded_sellers"),

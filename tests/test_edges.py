@@ -317,3 +317,13 @@ def test_collation_merges_spellings(spark):
     )
     assert categories.performance(mk).count() == 2
     assert categories.performance(mk.collated()).count() == 1
+
+
+def test_empty_tables_give_zero_counts_and_null_ratios(spark):
+    row = one(marketplace.scale(market(spark)))
+    assert row["recorded_orders"] == row["completed_items"] == row["recorded_sellers"] == 0
+    assert row["completed_order_rate_pct"] is None
+    assert row["recorded_item_sales_value"] is None
+    assert marketplace.concentration(market(spark)).count() == 0
+    assert customers.value_deciles(market(spark)).count() == 0
+    assert one(delivery.percentiles(market(spark)))["median_delivery_days"] is None
