@@ -21,6 +21,12 @@ from bazaarscope.sources.bindings import PERIODS, SHIPPING_LIMIT_FROM  # noqa: E
 from bazaarscope.sources.model import SCHEMAS, Marketplace  # noqa: E402
 from oracles import quality, reports, star  # noqa: E402
 
+try:  # the corpus operators and their pipeline are one removable part
+    import corpus_pipeline
+    from bazaarscope.llm import registry as corpus
+except ImportError:
+    corpus_pipeline = corpus = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -318,6 +324,10 @@ def _load_section(name: str) -> Query:
     return _on_clean(lambda mk: load_checks.judged(LOAD_SECTIONS[name](mk), expected))
 
 
+def _corpus() -> dict[str, Query]:
+    return {**corpus.queries(), "pipeline": corpus_pipeline.run} if corpus else {}
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Monthly marketplace trends on the smallest test tables."""
     return queries()["monthly_trends"](spark, "/root/testdata/sf0.001")
@@ -331,6 +341,7 @@ def queries() -> dict[str, Query]:
         **_measures(),
         **_quality(),
         **{f"load_check_{name}": _load_section(name) for name in LOAD_SECTIONS},
+        **_corpus(),
     }
 
 
@@ -346,4 +357,6 @@ def oracle_sql() -> dict[str, str]:
             f"load_check_{name}": quality.load_section(name, load_checks.PUBLISHED.get(name))
             for name in LOAD_SECTIONS
         },
+        **(corpus.oracle_sql() if corpus else {}),
+        **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus and corpus_pipeline.ORACLE_SQL else {}),
     }
