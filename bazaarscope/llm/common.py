@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -19,6 +20,12 @@ RUNTIME_CONF = {
 
 
 def prepared(spark: SparkSession) -> SparkSession:
+    """Apply the settings; Python workers find this package where the driver found it.
+
+    Clusters whose nodes lack that path ship the package with ``--py-files``.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+import public_tokenizers
+
+from . import bpe, exact_dedup, language_id
 from .common import table
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 
 def queries() -> dict:
     return {
+        "op3_bpe_round_trip": lambda s, d: bpe.encode_decode(
+            table(s, d, "documents"), VOCABULARY, public_tokenizers.PATTERN
+        ),
+        "op4_language_id": lambda s, d: language_id.held_out_query(table(s, d, "documents")),
         "op8_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
     }
 
