@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, exact_dedup, language_id
+from . import bpe, exact_dedup, language_id, minhash
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +17,7 @@ def queries() -> dict:
         ),
         "op4_language_id": lambda s, d: language_id.held_out_query(table(s, d, "documents")),
         "op8_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
+        "op9_minhash_near_dedup": lambda s, d: minhash.near_duplicates(table(s, d, "documents")),
     }
 
 
