@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, class_lm, exact_dedup, language_id, minhash
+from . import bpe, class_lm, decontaminate, exact_dedup, language_id, minhash
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -16,6 +16,9 @@ def queries() -> dict:
             table(s, d, "documents"), VOCABULARY, public_tokenizers.PATTERN
         ),
         "op4_language_id": lambda s, d: language_id.held_out_query(table(s, d, "documents")),
+        "op5_benchmark_decontamination": lambda s, d: decontaminate.report(
+            table(s, d, "documents"), table(s, d, "benchmark")
+        ),
         "op7_class_lm_scores": lambda s, d: class_lm.held_out_scores(table(s, d, "documents")),
         "op8_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
         "op9_minhash_near_dedup": lambda s, d: minhash.near_duplicates(table(s, d, "documents")),
