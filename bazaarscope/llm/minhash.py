@@ -18,14 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepared, stored, texts
-from .components import components
+from .linking import linked, shared_buckets
 from .words import Chunk, chunks, mapped, mixed, ranged, signed
 
 WIDTH = 5
 PERCENT = 75  # least similarity of a link, in hundredths
 PERMUTATIONS = 64
 BAND_ROWS = 4
-CROWD = 64  # distinct components of a bucket from which its pairs are found by rare shingles
 
 _rng = np.random.Generator(np.random.PCG64(97))
 _XOR = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -130,11 +129,6 @@ def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(mapped(_confirm), "a long, b long")
 
 
-def _fits(a: str, b: str):
-    """Sizes that allow the similarity."""
-    return (100 * F.least(a, b)) >= (PERCENT * F.greatest(a, b))
-
-
 def _rare_keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Shingles of a text by id; joined with their counts they give the rarest ones."""
     for chunk in chunks(batch.column("text"), fold=True):
@@ -146,8 +140,8 @@ def _rare_keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _crowded_pairs(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """All pairs of the given nodes that can be similar, by prefix filtering.
+def _rarest(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``nodes`` with the keys of prefix filtering.
 
     Two sets at the similarity share one of the rarest (100 - PERCENT) % + 1 shingles of either,
     so passages that many documents share, being the most frequent, never join them.
@@ -168,13 +162,6 @@ def _crowded_pairs(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return prefix.join(nodes, "node")
 
 
-def _cross_pairs(keyed: DataFrame) -> DataFrame:
-    left = keyed.select("key", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    right = keyed.select("key", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    pairs = left.join(right, "key").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")))
-    return pairs.where(_fits("na", "nb")).select("a", "b").distinct()
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -194,43 +181,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         sets, [signed_rows.doc_id == sets.node, signed_rows.s1 == sets.s1, signed_rows.s2 == sets.s2],
         "left_semi",
     ).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands")
-    banded = nodes.dropDuplicates(["node", "n"]).select("node", "n", F.explode("bands").alias("key"))
-    # keys of one node find nothing; what is left is small
-    shared = banded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = stored(shared.where("low < high"), "buckets")
-    banded = stored(banded.join(shared, "key"), "banded")
-
-    stars = banded.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b"))
-    stars = stars.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    sizes = nodes.groupBy("node").agg(F.max("n").alias("n"))
-    stars = (
-        stars.distinct()
-        .join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-        .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        .where(_fits("na", "nb"))
-        .select("a", "b")
-    )
-    stars = stored(stars, "stars")
-    links = stored(confirmed(stars, rows), "links")
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    rooted = banded.select("key", "node", "n").join(found, "node", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "node"))
-    mixed_keys = (
-        rooted.groupBy("key", "root").agg(F.count("*").alias("m"))
-        .groupBy("key").agg(F.count("*").alias("roots"))
-        .where("roots > 1")
-    )
-    rooted = stored(rooted.join(mixed_keys, "key"), "rooted")
-    few = _cross_pairs(rooted.where(F.col("roots") <= CROWD))
-    crowd = rooted.where(F.col("roots") > CROWD).select("node", "n", "root").distinct()
-    many = _cross_pairs(_crowded_pairs(crowd, rows))
-    rest = few.unionByName(many).distinct()
-    rest = rest.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = stored(confirmed(rest, rows), "more")
-    edges = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    final = components(edges)
+    sizes = stored(nodes.groupBy("node").agg(F.max("n").alias("n")), "sizes")
+    banded = shared_buckets(nodes.select("node", F.explode("bands").alias("key")))
 
+    def possible(pairs: DataFrame) -> DataFrame:
+        small, large = F.least("na", "nb"), F.greatest("na", "nb")
+        sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
+        sized = sized.join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+        return sized.where(100 * small >= PERCENT * large).select("a", "b")
+
+    final = linked(
+        banded, possible, lambda pairs: confirmed(pairs, rows), lambda crowd: _rarest(crowd, rows)
+    )
     labelled = sets.join(final, "node", "left").select(
         "s1", "s2", F.coalesce("root", "node").alias("component_id")
     )

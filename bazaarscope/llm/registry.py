@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, class_lm, decontaminate, exact_dedup, language_id, minhash
+from . import bpe, class_lm, decontaminate, exact_dedup, language_id, line_dedup, minhash
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op7_class_lm_scores": lambda s, d: class_lm.held_out_scores(table(s, d, "documents")),
         "op8_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
         "op9_minhash_near_dedup": lambda s, d: minhash.near_duplicates(table(s, d, "documents")),
+        "op10_line_dedup": lambda s, d: line_dedup.report(table(s, d, "documents")),
     }
 
 
