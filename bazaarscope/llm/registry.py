@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, class_lm, decontaminate, exact_dedup, language_id, line_dedup, minhash
+from . import bpe, class_lm, decontaminate, exact_dedup, language_id, line_dedup, minhash, quality
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -19,6 +19,9 @@ def queries() -> dict:
         "op5_benchmark_decontamination": lambda s, d: decontaminate.report(
             table(s, d, "documents"), table(s, d, "benchmark")
         ),
+        "op6_line_crf_quality": lambda s, d: quality.held_out_query(
+            table(s, d, "documents"), table(s, d, "labels")
+        ),
         "op7_class_lm_scores": lambda s, d: class_lm.held_out_scores(table(s, d, "documents")),
         "op8_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
         "op9_minhash_near_dedup": lambda s, d: minhash.near_duplicates(table(s, d, "documents")),
