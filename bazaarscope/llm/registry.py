@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, class_lm, decontaminate, exact_dedup, language_id, line_dedup, minhash, quality
+from . import bpe, class_lm, decontaminate, exact_dedup, language_id, line_dedup, minhash, quality, substring_dedup
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -12,6 +12,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 def queries() -> dict:
     return {
+        "op2_substring_dedup": lambda s, d: substring_dedup.dedup_substrings(table(s, d, "documents")),
         "op3_bpe_round_trip": lambda s, d: bpe.encode_decode(
             table(s, d, "documents"), VOCABULARY, public_tokenizers.PATTERN
         ),
