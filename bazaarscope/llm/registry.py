@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, class_lm, decontaminate, exact_dedup, language_id, line_dedup, minhash, quality, substring_dedup
+from . import bpe, class_lm, decontaminate, exact_dedup, language_id, line_dedup, minhash, quality, substring_dedup, training_order
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+END_OF_TEXT = 50256  # the free id behind the ranks
 
 
 def queries() -> dict:
     return {
+        "op1_training_order": lambda s, d: training_order.report(
+            table(s, d, "documents"), VOCABULARY, public_tokenizers.PATTERN, END_OF_TEXT
+        ),
         "op2_substring_dedup": lambda s, d: substring_dedup.dedup_substrings(table(s, d, "documents")),
         "op3_bpe_round_trip": lambda s, d: bpe.encode_decode(
             table(s, d, "documents"), VOCABULARY, public_tokenizers.PATTERN
