@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import stored
 from .components import components
 
-CROWD = 64  # distinct components of one bucket beyond which its pairs are found otherwise
+CROWD = 64  # nodes of one bucket beyond which its pairs are found otherwise
 
 
 def shared_buckets(banded: DataFrame) -> DataFrame:
@@ -20,6 +20,14 @@ def shared_buckets(banded: DataFrame) -> DataFrame:
     return stored(banded.join(shared.where("low < high"), "key"), "banded")
 
 
+def _spanning(keyed: DataFrame) -> DataFrame:
+    """The rows of keys that span several components, with the key's number of nodes."""
+    spans = keyed.groupBy("key").agg(
+        F.count("*").alias("nodes"), F.min("root").alias("r0"), F.max("root").alias("r1")
+    )
+    return keyed.join(spans.where("r0 < r1").select("key", "nodes"), "key")
+
+
 def _cross_pairs(keyed: DataFrame) -> DataFrame:
     left = keyed.select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
     right = keyed.select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
@@ -42,7 +50,7 @@ def linked(
     ``banded`` comes from ``shared_buckets``. First every node is held against the lowest and the
     highest node of its buckets: one pair per row and end, however large the bucket. Then, where
     a bucket still spans several components, the pairs across them. A bucket of more than
-    ``CROWD`` components gives its nodes to ``crowded``, which must return keys that any two
+    ``CROWD`` nodes gives its nodes to ``crowded``, which must return keys that any two
     linked nodes share but unlike ones rarely do. ``possible`` drops pairs that cannot be links,
     ``confirmed`` keeps those that are.
     """
@@ -54,16 +62,11 @@ def linked(
 
     rooted = banded.select("key", "node").join(found, "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
-    spans = (
-        rooted.groupBy("key", "root").agg(F.count("*").alias("m"))
-        .groupBy("key").agg(F.count("*").alias("roots"))
-        .where("roots > 1")
-    )
-    rooted = stored(rooted.join(spans, "key"), "rooted")
-    pairs = _cross_pairs(rooted.where(F.col("roots") <= CROWD))
-    crowd = stored(rooted.where(F.col("roots") > CROWD).select("node", "root").distinct(), "crowd")
+    rooted = stored(_spanning(rooted), "rooted")
+    pairs = _cross_pairs(rooted.where(F.col("nodes") <= CROWD))
+    crowd = stored(rooted.where(F.col("nodes") > CROWD).select("node", "root").distinct(), "crowd")
     if not crowd.isEmpty():
-        pairs = pairs.unionByName(_cross_pairs(crowded(crowd))).distinct()
+        pairs = pairs.unionByName(_cross_pairs(_spanning(crowded(crowd)))).distinct()
     pairs = possible(pairs.join(stars, ["a", "b"], "left_anti"))
     more = stored(confirmed(pairs), "more")
     return components(_edges(links.unionByName(more)))

@@ -1,8 +1,9 @@
 """Near-duplicate documents by min-max MinHash, confirmed on full shingle sets.
 
-Each permutation keeps its minimum and its maximum, so 128 signature values cost 64 hash
-evaluations per shingle. Bands of four values are the candidate keys: a pair at similarity 0.75
-shares one of 32 bands with probability 1 - 5e-6. Equal sets are one node from the start. Links
+Each permutation keeps its minimum and its maximum, so 288 signature values cost 144 hash
+evaluations per shingle. Bands of six values are the candidate keys: a pair at similarity 0.75
+shares one of 48 bands with probability 1 - 8e-5, at 0.8 with 1 - 5e-7, and texts that only share
+a passage rarely do. Equal sets are one node from the start. Links
 are confirmed in two steps: every node of a bucket against the bucket's centre, then only pairs of
 one bucket that still lie in different components. The second step never expands a group of
 copies, as these are one component by then.
@@ -23,8 +24,8 @@ from .words import Chunk, chunks, mapped, mixed, ranged, signed
 
 WIDTH = 5
 PERCENT = 75  # least similarity of a link, in hundredths
-PERMUTATIONS = 64
-BAND_ROWS = 4
+PERMUTATIONS = 144
+BAND_ROWS = 6
 
 _rng = np.random.Generator(np.random.PCG64(97))
 _XOR = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
