@@ -330,70 +330,40 @@ def _rules(mk: Marketplace, rules: dict[str, list[tuple[str, Column]]]) -> DataF
     ])
 
 
+def _conditions(*texts: str) -> list[tuple[str, Column]]:
+    """Each condition labelled with its own text."""
+    return [(text, F.expr(text)) for text in texts]
+
+
+def _broken(*texts: str) -> list[tuple[str, Column]]:
+    """Rows that break a requirement; an unknown value breaks it too."""
+    return [(text, ~F.coalesce(F.expr(text), F.lit(False))) for text in texts]
+
+
 def audit_rules() -> dict[str, list[tuple[str, Column]]]:
     """Values that need a look before loading."""
     return {
-        "order_items": [
-            ("order item price <= 0", c("price") <= 0),
-            ("freight value < 0", c("freight_value") < 0),
-        ],
-        "payments": [
-            ("payment value <= 0", c("payment_value") <= 0),
-            ("payment installments <= 0", c("payment_installments") <= 0),
-        ],
-        "products": [
-            ("product weight <= 0", c("product_weight_g") <= 0),
-            ("product length <= 0", c("product_length_cm") <= 0),
-            ("product height <= 0", c("product_height_cm") <= 0),
-            ("product width <= 0", c("product_width_cm") <= 0),
-        ],
-        "reviews": [("review score outside 1-5", ~c("review_score").between(1, 5))],
+        "order_items": _conditions("price <= 0", "freight_value < 0"),
+        "payments": _conditions("payment_value <= 0", "payment_installments <= 0"),
+        "products": _conditions(*(f"{name} <= 0" for name in D.OUTLIER_COLUMNS["products"])),
+        "reviews": _conditions("review_score NOT BETWEEN 1 AND 5"),
     }
 
 
 def domain_rules() -> dict[str, list[tuple[str, Column]]]:
-    """Constraints the loaded tables must satisfy."""
-
-    def any_negative(columns: Sequence[str]) -> Column:
-        return F.greatest(*[F.coalesce(c(x) < 0, F.lit(False)) for x in columns])
-
+    """Values that break the constraints of the loaded tables."""
+    products = D.NUMERIC_COLUMNS["products"]
+    groups = (products[:3], products[3:])
     return {
-        "order_items": [
-            ("order_item_id must be at least 1", c("order_item_id") < 1),
-            ("price must be greater than 0", c("price") <= 0),
-            ("freight_value must not be negative", c("freight_value") < 0),
-        ],
-        "payments": [
-            ("payment_sequential must be at least 1", c("payment_sequential") < 1),
-            ("payment_installments must not be negative", c("payment_installments") < 0),
-            ("payment_value must not be negative", c("payment_value") < 0),
-        ],
-        "products": [
-            (
-                "Product description and photo fields must not be negative",
-                any_negative(D.NUMERIC_COLUMNS["products"][:3]),
-            ),
-            (
-                "Product physical attributes must not be negative",
-                any_negative(D.NUMERIC_COLUMNS["products"][3:]),
-            ),
-        ],
-        "geolocation": [
-            (
-                "Latitude must be between -90 and 90",
-                ~F.coalesce(c("geolocation_lat").between(-90, 90), F.lit(False)),
-            ),
-            (
-                "Longitude must be between -180 and 180",
-                ~F.coalesce(c("geolocation_lng").between(-180, 180), F.lit(False)),
-            ),
-        ],
-        "reviews": [
-            (
-                "Review scores between 1 and 5",
-                ~F.coalesce(c("review_score").between(1, 5), F.lit(False)),
-            ),
-        ],
+        "order_items": _conditions("order_item_id < 1", "price <= 0", "freight_value < 0"),
+        "payments": _conditions(
+            "payment_sequential < 1", "payment_installments < 0", "payment_value < 0"
+        ),
+        "products": _conditions(*(f"least({', '.join(names)}) < 0" for names in groups)),
+        "geolocation": _broken(
+            "geolocation_lat BETWEEN -90 AND 90", "geolocation_lng BETWEEN -180 AND 180"
+        ),
+        "reviews": _broken("review_score BETWEEN 1 AND 5"),
     }
 
 
@@ -427,15 +397,13 @@ def date_ranges(mk: Marketplace) -> DataFrame:
 
 
 def order_timeline_rules() -> list[tuple[str, Column]]:
-    purchase = c("order_purchase_timestamp")
-    carrier, customer = c("order_delivered_carrier_date"), c("order_delivered_customer_date")
-    return [
-        ("Approval before purchase", c("order_approved_at") < purchase),
-        ("Carrier handoff before purchase", carrier < purchase),
-        ("Customer delivery before purchase", customer < purchase),
-        ("Customer delivery before carrier handoff", customer < carrier),
-        ("Estimated delivery before purchase", c("order_estimated_delivery_date") < purchase),
+    purchase, customer = "order_purchase_timestamp", "order_delivered_customer_date"
+    carrier = "order_delivered_carrier_date"
+    pairs = [
+        ("order_approved_at", purchase), (carrier, purchase), (customer, purchase),
+        (customer, carrier), ("order_estimated_delivery_date", purchase),
     ]
+    return _conditions(*(f"{later} < {earlier}" for later, earlier in pairs))
 
 
 def order_timeline(mk: Marketplace) -> DataFrame:
@@ -457,10 +425,10 @@ def shipping_limits(mk: Marketplace, late_from: str) -> DataFrame:
         return F.coalesce(F.sum(F.when(test, c("n"))), F.lit(0))
 
     return long_aggregate(rows, [
-        ({"table_name": F.lit("order_items"), "check": F.lit("Shipping limit before purchase")},
+        ({"table_name": F.lit("order_items"), "check": F.lit("shipping_limit_date < order_purchase_timestamp")},
          {"affected_rows": count(limit < c("order_purchase_timestamp"))}),
         ({"table_name": F.lit("order_items"),
-          "check": F.lit("Shipping-limit date after the data period")},
+          "check": F.lit("shipping_limit_date beyond the period")},
          {"affected_rows": count(limit >= _instant(late_from))}),
     ])
 
@@ -485,12 +453,12 @@ def review_timeline(mk: Marketplace) -> DataFrame:
         F.least("order_delivered_customer_date", "order_estimated_delivery_date")
     )
     tests = [
-        ("Survey sent before purchase date", sent < F.to_date("order_purchase_timestamp")),
+        ("review_creation_date < purchase day", sent < F.to_date("order_purchase_timestamp")),
         (
-            "Survey response before survey was sent",
+            "review_answer_timestamp < review_creation_date",
             c("review_answer_timestamp") < c("review_creation_date"),
         ),
-        ("Survey sent before eligibility date", sent < due),
+        ("review_creation_date < day it was due", sent < due),
     ]
     return long_aggregate(rows, [
         ({"table_name": F.lit("reviews"), "check": F.lit(label)},

@@ -120,10 +120,10 @@ def unusual_values(mk: Marketplace) -> DataFrame:
 
 def temporal_anomalies(mk: Marketplace, shipping_limit_from: str) -> DataFrame:
     names = {
-        "Carrier handoff before purchase": "carrier_before_purchase",
-        "Customer delivery before carrier handoff": "customer_delivery_before_carrier",
-        "Survey sent before purchase date": "review_creation_before_purchase_date",
-        "Shipping-limit date after the data period": "shipping_limit_after_data_period",
+        "order_delivered_carrier_date < order_purchase_timestamp": "carrier_before_purchase",
+        "order_delivered_customer_date < order_delivered_carrier_date": "customer_delivery_before_carrier",
+        "review_creation_date < purchase day": "review_creation_before_purchase_date",
+        "shipping_limit_date beyond the period": "shipping_limit_after_data_period",
     }
     label = F.lit(None).cast("string")
     for check, name in names.items():

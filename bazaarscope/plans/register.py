@@ -13,31 +13,19 @@ from bazaarscope.operators.keys import duplicate_profile
 from bazaarscope.operators.profile import long_aggregate, union_all
 from bazaarscope.plans import audit as A
 from bazaarscope.plans import cleaning as C
-from bazaarscope.sources.model import Marketplace
+from bazaarscope.sources.model import TABLES, Marketplace
 
 c = F.col
 
 PASSED, LIMITED, FAILED = "Passed", "Passed with limitation", "Failed"
 CRITICAL, WARNING = "Critical", "Warning"
 
-# Join advice per table: grain, key, guidance. Reference data for report writers.
-JOIN_GRAINS = (
-    ("customers", "customer record", "customer_id",
-     "use customer_unique_id to follow one person over several orders"),
-    ("orders", "order", "order_id", "starting point of order-level reports"),
-    ("order_items", "item of an order", "order_id + order_item_id",
-     "reduce to orders before meeting other child tables of orders"),
-    ("payments", "payment record of an order", "order_id + payment_sequential",
-     "reduce to orders before meeting items or reviews"),
-    ("reviews", "review of an order", "review_id + order_id",
-     "choose one review per order before meeting items or payments"),
-    ("products", "product", "product_id", "safe lookup from items"),
-    ("sellers", "seller", "seller_id", "safe lookup from items"),
-    ("geolocation", "observed coordinate", "none",
-     "choose one row per ZIP prefix before joining customers or sellers"),
-    ("category_translation", "translated category", "product_category_name",
-     "left join: the lookup is incomplete"),
-)
+def _advice(table: str) -> tuple[str, str, str, str]:
+    """Table, key columns, tables it looks up and tables that refer to it, from the keys."""
+    keys = D.PRIMARY_KEYS.get(table, ())
+    parents = sorted({parent for child, _, parent, _ in D.FOREIGN_KEYS if child == table})
+    children = sorted({child for child, _, parent, _ in D.FOREIGN_KEYS if parent == table})
+    return table, ", ".join(keys) or "none", ", ".join(parents), ", ".join(children)
 
 
 def grouped(n: Column) -> Column:
@@ -46,13 +34,18 @@ def grouped(n: Column) -> Column:
 
 
 def join_grains(mk: Marketplace) -> DataFrame:
-    """The join advice with the current size of each table."""
-    rows = [(f"('{t}', '{g}', '{k}', '{a}')") for t, g, k, a in JOIN_GRAINS]
-    advice = mk.orders.sparkSession.sql(
-        "SELECT * FROM VALUES " + ", ".join(rows)
-        + " AS v(table_name, grain, key_columns, guidance)"
+    """Key, neighbours and current size of each table, and whether a join on one of its
+    foreign keys alone can repeat rows of the other side."""
+    advice = ", ".join(str(_advice(table)) for table in TABLES)
+    repeats = {
+        child for child, key, _, _ in D.FOREIGN_KEYS if D.PRIMARY_KEYS.get(child) != (key,)
+    }
+    rows = mk.orders.sparkSession.sql(
+        f"SELECT * FROM VALUES {advice} AS v(table_name, key_columns, looks_up, looked_up_by)"
+    )
+    return rows.join(A.inventory(mk).select("table_name", "rows"), "table_name").withColumn(
+        "reduce_before_join", c("table_name").isin(*sorted(repeats))
     )
-    return advice.join(A.inventory(mk).select("table_name", "rows"), "table_name")
 
 
 def _entry(
@@ -235,7 +228,7 @@ def _domains(cleaned: Marketplace, states: Sequence[str]) -> list[DataFrame]:
 def _temporal(cleaned: Marketplace, shipping_limit_from: str) -> list[DataFrame]:
     rows = union_all([
         A.shipping_limits(cleaned, shipping_limit_from),
-        A.review_timeline(cleaned).filter(c("check") != "Survey sent before eligibility date"),
+        A.review_timeline(cleaned).filter(c("check") != "review_creation_date < day it was due"),
     ])
     return [_affected(rows, "Temporal consistency", "affected rows retained",
                       severity=WARNING, otherwise=LIMITED)]

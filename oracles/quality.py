@@ -4,36 +4,51 @@ from __future__ import annotations
 
 from oracles.roles import avg2, big, money, pct, with_roles
 
-# role column -> model column; a leading # marks text columns of the model
+# (role, (role column, model column) ...) of each table
 COLUMNS = {
-    "customers": ("m_customers", "customer_id customer_id|person customer_unique_id|"
-                  "zip customer_zip_code_prefix|city customer_city|state customer_state"),
-    "orders": ("m_orders", "order_id order_id|customer_id customer_id|order_status order_status|"
-               "bought order_purchase_timestamp|approved order_approved_at|"
-               "carried order_delivered_carrier_date|arrived order_delivered_customer_date|"
-               "due order_estimated_delivery_date"),
-    "order_items": ("m_items", "order_id order_id|order_item_id order_item_id|"
-                    "product_id product_id|seller_id seller_id|ship_by shipping_limit_date|"
-                    "price price|freight_raw freight_value"),
-    "payments": ("m_payments", "order_id order_id|seq payment_sequential|method payment_type|"
-                 "installments payment_installments|paid payment_value"),
-    "reviews": ("m_reviews", "review_id review_id|order_id order_id|score review_score|"
-                "title review_comment_title|message review_comment_message|"
-                "sent review_creation_date|answered review_answer_timestamp"),
-    "products": ("m_products", "product_id product_id|source product_category_name|"
-                 "name_length product_name_length|description_length product_description_length|"
-                 "photos product_photos_qty|weight product_weight_g|len product_length_cm|"
-                 "height product_height_cm|width product_width_cm"),
-    "sellers": ("m_sellers", "seller_id seller_id|zip seller_zip_code_prefix|city seller_city|"
-                "state seller_state"),
-    "geolocation": ("m_geo", "zip geolocation_zip_code_prefix|lat geolocation_lat|"
-                    "lng geolocation_lng|city geolocation_city|state geolocation_state"),
-    "category_translation": ("m_lookup", "source product_category_name|"
-                             "english product_category_name_english"),
-}
-COLUMNS = {
-    table: (role, [tuple(pair.split(" ")) for pair in text.split("|")])
-    for table, (role, text) in COLUMNS.items()
+    "customers": ("m_customers", [
+        ("customer_id", "customer_id"), ("person", "customer_unique_id"),
+        ("zip", "customer_zip_code_prefix"), ("city", "customer_city"),
+        ("state", "customer_state"),
+    ]),
+    "orders": ("m_orders", [
+        ("order_id", "order_id"), ("customer_id", "customer_id"),
+        ("order_status", "order_status"), ("bought", "order_purchase_timestamp"),
+        ("approved", "order_approved_at"), ("carried", "order_delivered_carrier_date"),
+        ("arrived", "order_delivered_customer_date"), ("due", "order_estimated_delivery_date"),
+    ]),
+    "order_items": ("m_items", [
+        ("order_id", "order_id"), ("order_item_id", "order_item_id"),
+        ("product_id", "product_id"), ("seller_id", "seller_id"),
+        ("ship_by", "shipping_limit_date"), ("price", "price"), ("freight_raw", "freight_value"),
+    ]),
+    "payments": ("m_payments", [
+        ("order_id", "order_id"), ("seq", "payment_sequential"), ("method", "payment_type"),
+        ("installments", "payment_installments"), ("paid", "payment_value"),
+    ]),
+    "reviews": ("m_reviews", [
+        ("review_id", "review_id"), ("order_id", "order_id"), ("score", "review_score"),
+        ("title", "review_comment_title"), ("message", "review_comment_message"),
+        ("sent", "review_creation_date"), ("answered", "review_answer_timestamp"),
+    ]),
+    "products": ("m_products", [
+        ("product_id", "product_id"), ("source", "product_category_name"),
+        ("name_length", "product_name_length"),
+        ("description_length", "product_description_length"), ("photos", "product_photos_qty"),
+        ("weight", "product_weight_g"), ("len", "product_length_cm"),
+        ("height", "product_height_cm"), ("width", "product_width_cm"),
+    ]),
+    "sellers": ("m_sellers", [
+        ("seller_id", "seller_id"), ("zip", "seller_zip_code_prefix"), ("city", "seller_city"),
+        ("state", "seller_state"),
+    ]),
+    "geolocation": ("m_geo", [
+        ("zip", "geolocation_zip_code_prefix"), ("lat", "geolocation_lat"),
+        ("lng", "geolocation_lng"), ("city", "geolocation_city"), ("state", "geolocation_state"),
+    ]),
+    "category_translation": ("m_lookup", [
+        ("source", "product_category_name"), ("english", "product_category_name_english"),
+    ]),
 }
 TIMES = {"bought", "approved", "carried", "arrived", "due", "ship_by", "sent", "answered"}
 IDS = {"customer_id", "customer_unique_id", "order_id", "product_id", "seller_id", "review_id"}
@@ -215,22 +230,22 @@ _UNTRANSLATED = """(SELECT count(*) FROM m_products WHERE source IS NOT NULL
 def retained() -> str:
     keep, flag = "Retain", "Retain and flag during analysis"
     rows = [
-        ("orders", "Missing order_approved_at", "m_orders", "approved IS NULL", keep),
-        ("orders", "Missing order_delivered_carrier_date", "m_orders", "carried IS NULL", keep),
-        ("orders", "Missing order_delivered_customer_date", "m_orders", "arrived IS NULL", keep),
-        ("orders", "Carrier timestamp before purchase", "m_orders", "carried < bought", flag),
-        ("orders", "Customer delivery before carrier handoff", "m_orders", "arrived < carried",
+        ("orders", "order_approved_at IS NULL", "m_orders", "approved IS NULL", keep),
+        ("orders", "order_delivered_carrier_date IS NULL", "m_orders", "carried IS NULL", keep),
+        ("orders", "order_delivered_customer_date IS NULL", "m_orders", "arrived IS NULL", keep),
+        ("orders", "order_delivered_carrier_date < order_purchase_timestamp", "m_orders", "carried < bought", flag),
+        ("orders", "order_delivered_customer_date < order_delivered_carrier_date", "m_orders", "arrived < carried",
          flag),
-        ("reviews", "Missing review title", "m_reviews", "title IS NULL", keep),
-        ("reviews", "Missing review message", "m_reviews", "message IS NULL", keep),
-        ("products", "Missing product category", "m_products", "source IS NULL", keep),
-        ("products", "At least one missing physical dimension", "m_products",
+        ("reviews", "review_comment_title IS NULL", "m_reviews", "title IS NULL", keep),
+        ("reviews", "review_comment_message IS NULL", "m_reviews", "message IS NULL", keep),
+        ("products", "product_category_name IS NULL", "m_products", "source IS NULL", keep),
+        ("products", "some size IS NULL", "m_products",
          "weight + len + height + width IS NULL", keep),
         ("products", "product_weight_g <= 0", "m_products", "weight <= 0", keep),
         ("payments", "payment_type = not_defined", "m_payments", "method = 'not_defined'", keep),
         ("payments", "payment_value <= 0", "m_payments", "paid <= 0", keep),
         ("payments", "payment_installments <= 0", "m_payments", "installments <= 0", keep),
-        ("order_items", "Shipping-limit date after the data period", "m_items",
+        ("order_items", "shipping_limit_date beyond the period", "m_items",
          "ship_by >= '2001-01-01'", flag),
     ]
     parts = [
@@ -239,10 +254,10 @@ def retained() -> str:
         for t, label, role, test, decision in rows
     ]
     parts += [
-        f"SELECT 'reviews', 'Rows with repeated review_id', {big(_REPEATED_REVIEW)}, '{keep}'",
-        f"SELECT 'products', 'Products in untranslated categories', {_UNTRANSLATED}, "
+        f"SELECT 'reviews', 'review_id repeated', {big(_REPEATED_REVIEW)}, '{keep}'",
+        f"SELECT 'products', 'product_category_name not in the lookup', {_UNTRANSLATED}, "
         f"'Retain source category'",
-        f"SELECT 'reviews', 'Satisfaction survey sent before purchase date', {_EARLY_SURVEY}, "
+        f"SELECT 'reviews', 'review_creation_date < purchase day', {_EARLY_SURVEY}, "
         f"'{flag}'",
     ]
     return sql(union(parts))
@@ -426,34 +441,34 @@ def _rules(rows) -> str:
 
 
 _AUDIT_RULES = _rules([
-    ("order_items", "order item price <= 0", "price <= 0"),
-    ("order_items", "freight value < 0", "freight_value < 0"),
-    ("payments", "payment value <= 0", "payment_value <= 0"),
-    ("payments", "payment installments <= 0", "payment_installments <= 0"),
-    ("products", "product weight <= 0", "product_weight_g <= 0"),
-    ("products", "product length <= 0", "product_length_cm <= 0"),
-    ("products", "product height <= 0", "product_height_cm <= 0"),
-    ("products", "product width <= 0", "product_width_cm <= 0"),
-    ("reviews", "review score outside 1-5", "review_score NOT BETWEEN 1 AND 5"),
+    ("order_items", "price <= 0", "price <= 0"),
+    ("order_items", "freight_value < 0", "freight_value < 0"),
+    ("payments", "payment_value <= 0", "payment_value <= 0"),
+    ("payments", "payment_installments <= 0", "payment_installments <= 0"),
+    ("products", "product_weight_g <= 0", "product_weight_g <= 0"),
+    ("products", "product_length_cm <= 0", "product_length_cm <= 0"),
+    ("products", "product_height_cm <= 0", "product_height_cm <= 0"),
+    ("products", "product_width_cm <= 0", "product_width_cm <= 0"),
+    ("reviews", "review_score NOT BETWEEN 1 AND 5", "review_score NOT BETWEEN 1 AND 5"),
 ])
 NUMERIC_RULES = sql(_AUDIT_RULES)
 
 _DOMAIN_RULES = _rules([
-    ("order_items", "order_item_id must be at least 1", "order_item_id < 1"),
-    ("order_items", "price must be greater than 0", "price <= 0"),
-    ("order_items", "freight_value must not be negative", "freight_value < 0"),
-    ("payments", "payment_sequential must be at least 1", "payment_sequential < 1"),
-    ("payments", "payment_installments must not be negative", "payment_installments < 0"),
-    ("payments", "payment_value must not be negative", "payment_value < 0"),
-    ("products", "Product description and photo fields must not be negative",
+    ("order_items", "order_item_id < 1", "order_item_id < 1"),
+    ("order_items", "price <= 0", "price <= 0"),
+    ("order_items", "freight_value < 0", "freight_value < 0"),
+    ("payments", "payment_sequential < 1", "payment_sequential < 1"),
+    ("payments", "payment_installments < 0", "payment_installments < 0"),
+    ("payments", "payment_value < 0", "payment_value < 0"),
+    ("products", "least(product_name_length, product_description_length, product_photos_qty) < 0",
      "least(product_name_length, product_description_length, product_photos_qty) < 0"),
-    ("products", "Product physical attributes must not be negative",
+    ("products", "least(product_weight_g, product_length_cm, product_height_cm, product_width_cm) < 0",
      "least(product_weight_g, product_length_cm, product_height_cm, product_width_cm) < 0"),
-    ("geolocation", "Latitude must be between -90 and 90",
+    ("geolocation", "geolocation_lat BETWEEN -90 AND 90",
      "geolocation_lat IS NULL OR abs(geolocation_lat) > 90"),
-    ("geolocation", "Longitude must be between -180 and 180",
+    ("geolocation", "geolocation_lng BETWEEN -180 AND 180",
      "geolocation_lng IS NULL OR abs(geolocation_lng) > 180"),
-    ("reviews", "Review scores between 1 and 5",
+    ("reviews", "review_score BETWEEN 1 AND 5",
      "review_score IS NULL OR review_score NOT IN (1, 2, 3, 4, 5)"),
 ])
 DOMAIN_RULES = sql(_DOMAIN_RULES)
@@ -464,32 +479,32 @@ DATE_RANGES = sql(union(
     for t, (role, cols) in COLUMNS.items() for a, b in cols if a in TIMES))
 
 _ORDER_TIMELINE = _rules([
-    ("orders", "Approval before purchase", "order_approved_at < order_purchase_timestamp"),
-    ("orders", "Carrier handoff before purchase",
+    ("orders", "order_approved_at < order_purchase_timestamp", "order_approved_at < order_purchase_timestamp"),
+    ("orders", "order_delivered_carrier_date < order_purchase_timestamp",
      "order_delivered_carrier_date < order_purchase_timestamp"),
-    ("orders", "Customer delivery before purchase",
+    ("orders", "order_delivered_customer_date < order_purchase_timestamp",
      "order_delivered_customer_date < order_purchase_timestamp"),
-    ("orders", "Customer delivery before carrier handoff",
+    ("orders", "order_delivered_customer_date < order_delivered_carrier_date",
      "order_delivered_customer_date < order_delivered_carrier_date"),
-    ("orders", "Estimated delivery before purchase",
+    ("orders", "order_estimated_delivery_date < order_purchase_timestamp",
      "order_estimated_delivery_date < order_purchase_timestamp"),
 ])
 ORDER_TIMELINE = sql(_ORDER_TIMELINE)
 _SHIPPING = """
-SELECT 'order_items' AS table_name, 'Shipping limit before purchase' AS "check",
+SELECT 'order_items' AS table_name, 'shipping_limit_date < order_purchase_timestamp' AS "check",
   count(*) FILTER (ship_by < bought) AS affected_rows
 FROM m_items LEFT JOIN m_orders USING (order_id)
 UNION ALL
-SELECT 'order_items', 'Shipping-limit date after the data period',
+SELECT 'order_items', 'shipping_limit_date beyond the period',
   count(*) FILTER (ship_by >= '2001-01-01') FROM m_items"""
 SHIPPING = sql(_SHIPPING)
 _R = "FROM m_reviews LEFT JOIN m_orders USING (order_id)"
 _REVIEW_TIMELINE = f"""
-SELECT 'reviews' AS table_name, 'Survey sent before purchase date' AS "check",
+SELECT 'reviews' AS table_name, 'review_creation_date < purchase day' AS "check",
   count(*) FILTER (sent::DATE < bought::DATE) AS affected_rows {_R}
-UNION ALL SELECT 'reviews', 'Survey response before survey was sent',
+UNION ALL SELECT 'reviews', 'review_answer_timestamp < review_creation_date',
   count(*) FILTER (answered < sent) {_R}
-UNION ALL SELECT 'reviews', 'Survey sent before eligibility date',
+UNION ALL SELECT 'reviews', 'review_creation_date < day it was due',
   count(*) FILTER (sent::DATE < least(arrived, due)::DATE) {_R}"""
 REVIEW_TIMELINE = sql(_REVIEW_TIMELINE)
 
@@ -522,7 +537,7 @@ LOOKUP = sql(f"""
 SELECT 'Distinct product categories without translation' AS "check",
   (SELECT count(DISTINCT source) FROM m_products WHERE source NOT IN (SELECT source FROM m_lookup))
     AS affected_count
-UNION ALL SELECT 'Products in untranslated categories', {_UNTRANSLATED}
+UNION ALL SELECT 'product_category_name not in the lookup', {_UNTRANSLATED}
 UNION ALL SELECT 'Translations not used by products',
   (SELECT count(*) FROM m_lookup WHERE source NOT IN
     (SELECT source FROM m_products WHERE source IS NOT NULL))""")
@@ -543,25 +558,16 @@ FROM m_geo""")
 IDS_SUMMARY = sql("""
 SELECT count(*) AS rows, count(*) AS distinct_ids, min(i) AS first_id, max(i) AS last_id
 FROM (SELECT row_number() OVER () AS i FROM m_geo)""")
-_GRAINS = {
-    "customers": ("customer record", "use customer_unique_id to follow one person over several "
-                  "orders"),
-    "orders": ("order", "starting point of order-level reports"),
-    "order_items": ("item of an order",
-                    "reduce to orders before meeting other child tables of orders"),
-    "payments": ("payment record of an order", "reduce to orders before meeting items or reviews"),
-    "reviews": ("review of an order",
-                "choose one review per order before meeting items or payments"),
-    "products": ("product", "safe lookup from items"),
-    "sellers": ("seller", "safe lookup from items"),
-    "geolocation": ("observed coordinate",
-                    "choose one row per ZIP prefix before joining customers or sellers"),
-    "category_translation": ("translated category", "left join: the lookup is incomplete"),
-}
+def _neighbours(table: str) -> tuple[str, str]:
+    up = sorted({parent for child, _, parent in LINKS if child == table})
+    down = sorted({child for child, _, parent in LINKS if parent == table})
+    return ", ".join(up), ", ".join(down)
+
+
 JOIN_GRAINS = sql(union(
-    f"SELECT '{t}' AS table_name, '{_GRAINS[t][0]}' AS grain, "
-    f"'{' + '.join(KEYS.get(t, ['none']))}' AS key_columns, '{_GRAINS[t][1]}' AS guidance, "
-    f"count(*) AS rows FROM {role}"
+    f"SELECT '{t}' AS table_name, '{', '.join(KEYS.get(t, ['none']))}' AS key_columns, "
+    f"'{_neighbours(t)[0]}' AS looks_up, '{_neighbours(t)[1]}' AS looked_up_by, "
+    f"{bool(_neighbours(t)[0])} AS reduce_before_join, count(*) AS rows FROM {role}"
     for t, (role, _) in COLUMNS.items()))
 
 
@@ -740,7 +746,7 @@ def register_rows() -> str:
         _entry("Temporal consistency", "table_name", '"check"', "affected_rows = 0",
                f"{_f('affected_rows')} || ' affected rows retained'",
                f"{_ORDER_TIMELINE} UNION ALL {_SHIPPING} UNION ALL SELECT * FROM "
-               f"({_REVIEW_TIMELINE}) WHERE \"check\" <> 'Survey sent before eligibility date'",
+               f"({_REVIEW_TIMELINE}) WHERE \"check\" <> 'review_creation_date < day it was due'",
                **limited),
         _entry("Lookup coverage", "'products'", "'Product-category translation coverage'",
                "k = 0", f"{_f('k')} || ' categories and ' || {_f('p')} || "
