@@ -58,9 +58,10 @@ def _probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
         starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        h, low, high = h[starts], np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
+        order = np.argsort(low, kind="stable")  # equal neighbours compress in the shuffle
         return pa.RecordBatch.from_arrays(
-            [pa.array(signed(h[starts])), pa.array(np.minimum.reduceat(d, starts)),
-             pa.array(np.maximum.reduceat(d, starts))],
+            [pa.array(signed(h[order])), pa.array(low[order]), pa.array(high[order])],
             names=["h", "low", "high"],
         )
 
@@ -96,7 +97,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate windows around hit blocks. Of equal windows in one batch only those of the
     smallest document are asked about; the others are settled here and leave as runs."""
     for batch in batches:
-        names = batch.column("doc_id").to_numpy()
+        names = batch.column("doc_id").fill_null(0).to_numpy()  # without an id there are no hits
         hits = batch.column("hits")
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for chunk in chunks(batch.column("text")):
@@ -124,12 +125,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = d[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         asked = d == least
         low, high, of = _runs(d[~asked], p[~asked])
+        h, d, p = h[asked], d[asked], p[asked]
+        order = np.lexsort((p, d))  # equal neighbours compress in the shuffle
+        h, d, p = h[order], d[order], p[order]
         key = mixed(of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + low.astype(np.uint64))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(signed(np.append(h[asked], key))), pa.array(np.append(d[asked], of)),
-             pa.array(np.append(p[asked], low).astype(np.int32)),
-             pa.array(np.append(p[asked], high).astype(np.int32)),
-             pa.array(np.append(np.zeros(int(asked.sum()), bool), np.ones(len(low), bool)))],
+            [pa.array(signed(np.append(h, key))), pa.array(np.append(d, of)),
+             pa.array(np.append(p, low).astype(np.int32)),
+             pa.array(np.append(p, high).astype(np.int32)),
+             pa.array(np.append(np.zeros(len(h), bool), np.ones(len(low), bool)))],
             names=["h", "doc_id", "low", "high", "settled"],
         )
 
@@ -147,13 +151,14 @@ def _runs(d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def repeated_windows(rows: DataFrame) -> DataFrame:
     """``doc_id, spans``: runs ``(low, high)`` of window starts that repeat an earlier document."""
-    rows = rows.where("doc_id is not null and text is not null")
-    probes = rows.mapInArrow(_probes, "h long, low long, high long")
+    known = rows.where("doc_id is not null and text is not null")
+    probes = known.mapInArrow(_probes, "h long, low long, high long")
     shared = probes.groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     shared = shared.where("low < high").select("h")
-    blocks = rows.mapInArrow(mapped(_blocks), "h long, doc_id long, at int")
+    blocks = known.mapInArrow(mapped(_blocks), "h long, doc_id long, at int")
     hits = blocks.join(shared, "h").groupBy("doc_id").agg(F.collect_set("at").alias("hits"))
-    windows = rows.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(
+    # a left join of all rows, as the result needs: the texts are shuffled once for both
+    windows = rows.join(hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(
         _windows, "h long, doc_id long, low int, high int, settled boolean"
     )
     # one row per window and batch, so a passage of very many documents stays a small partition
