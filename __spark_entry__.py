@@ -203,6 +203,16 @@ def _measures() -> dict[str, Query]:
             },
         ),
         "measures_sellers": _on_star(_seller_measures),
+        "measures_customers_all": _measured("persons", _names("persons"), ("customer_state",)),
+        "measures_categories_all": _measured(
+            "fact_order_categories", _names("fact_order_categories"),
+            ("category_key", "category_display_name"),
+        ),
+        "measures_sellers_all": _measured("fact_seller_orders", _names("fact_seller_orders")),
+        "measures_payment_methods_all": _measured(
+            "fact_payments", [n for n in _names("fact_payments") if n in by_method],
+            ("payment_type",),
+        ),
         "measures_payments": _measured(
             "fact_payments", [n for n in _names("fact_payments") if n not in by_method]
         ),

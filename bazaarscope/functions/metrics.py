@@ -137,9 +137,17 @@ def category_label(english: Column, source: Column) -> Column:
 
 
 # -- text ------------------------------------------------------------------------
+SPACES = r"[\s\x1c-\x1f]"  # with the flag U
+
+
 def stripped(text: Column) -> Column:
-    """Text without surrounding whitespace of any kind."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Text without surrounding Unicode white space; the ASCII separators 1C to 1F count too."""
+    return F.regexp_replace(text, rf"(?U)^{SPACES}+|{SPACES}+$", "")
+
+
+def is_blank(text: Column) -> Column:
+    """Only white space, one character at least."""
+    return text.rlike(rf"(?U)^{SPACES}+$")
 
 
 def blank_to_null(text: Column) -> Column:

@@ -3,9 +3,9 @@
 A ranking over all customers or products, written as a window without partition keys,
 pulls every row into one task. Here the rows are first collapsed to a histogram of the
 distinct values, which is an ordinary aggregate with map-side combine, and each value is
-put in a coarse bucket that is a fixed function of the value. There are at most 2**15
-buckets however large the data, so their running totals are tiny; inside a bucket the
-running totals are computed in parallel. Rows that tie on the value need no order among
+put in a coarse bucket, and in that in a fine one, by a fixed function of the value. There are
+at most 2**15 coarse buckets however large the data and 2**9 fine ones in each, so their running
+totals are small; inside a fine bucket the running totals are computed in parallel. Rows that tie on the value need no order among
 themselves: ranks inside a histogram row are arithmetic.
 """
 
@@ -16,7 +16,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Leading bits of the value that pick its bucket: at most 64 * 2**8 per sign.
+# Leading bits of the value that pick its coarse bucket, at most 64 * 2**8 per sign, and as many
+# following ones that pick the fine bucket: values in a narrow range still spread.
 _BITS = 9
 
 
@@ -33,6 +34,23 @@ def order_bucket(key: Column) -> Column:
     return F.coalesce(bucket, F.lit(0))
 
 
+def fine_bucket(key: Column) -> Column:
+    """Bucket inside ``order_bucket`` that never decreases there when the key grows."""
+
+    def magnitude(v: Column) -> Column:
+        shift = F.greatest(F.length(F.bin(v)) - 2 * _BITS, F.lit(0))
+        return F.call_function("shiftright", v, shift).bitwiseAND(F.lit((1 << _BITS) - 1))
+
+    bucket = F.when(key >= 0, magnitude(key)).otherwise(-magnitude(-key)).cast("int")
+    return F.coalesce(bucket, F.lit(0))
+
+
+def decimal_key(value: Column) -> Column:
+    """A bigint that never decreases with a double: ten decimals, clamped at the ends."""
+    scaled = F.least(F.greatest(F.floor(value * 1e10), F.lit(-9e18)), F.lit(9e18))
+    return scaled.cast("bigint")
+
+
 def histogram(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct value with its number of rows ``n``."""
     return rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
@@ -52,14 +70,17 @@ def running_totals(
     ``value``. ``by`` must be columns with few distinct values.
     """
     by = list(by)
-    bucket = order_bucket(key)
+    bucket, fine = order_bucket(key), fine_bucket(key)
     direction = F.col(value).desc() if descending else F.col(value).asc()
     rows = hist.select(
         *hist.columns,
         *[expr.alias(f"_{name}") for name, expr in sums.items()],
         (-bucket if descending else bucket).alias("_bucket"),
+        (-fine if descending else fine).alias("_fine"),
     )
-    coarse = rows.groupBy(*by, "_bucket").agg(
+    split = [*by, "_bucket", "_fine"]
+    small = rows.groupBy(*split).agg(*[F.sum(f"_{name}").alias(f"_{name}") for name in sums])
+    coarse = small.groupBy(*by, "_bucket").agg(
         *[F.sum(f"_{name}").alias(f"_{name}") for name in sums]
     )
     whole = Window.partitionBy(*by)
@@ -70,12 +91,27 @@ def running_totals(
         *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}_off") for n in sums],
         *[F.sum(f"_{n}").over(whole).alias(f"{n}_total") for n in sums],
     )
-    inside = (
+    finer = (
         Window.partitionBy(*by, "_bucket")
+        .orderBy("_fine")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = small.join(offsets, [*by, "_bucket"]).select(
+        *split,
+        *[
+            (F.col(f"_{n}_off") + F.coalesce(F.sum(f"_{n}").over(finer), F.lit(0))).alias(
+                f"_{n}_off"
+            )
+            for n in sums
+        ],
+        *[f"{n}_total" for n in sums],
+    )
+    inside = (
+        Window.partitionBy(*split)
         .orderBy(direction)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = rows.join(offsets, [*by, "_bucket"])
+    joined = rows.join(offsets, split)
     return joined.select(
         *hist.columns,
         *[

@@ -7,29 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKETS = 256
 
-
-def top_k_with_total(
-    rows: DataFrame, id_column: str, order: Sequence[Column], k: int, total: str
-) -> DataFrame:
+def top_k_with_total(rows: DataFrame, order: Sequence[Column], k: int, total: str) -> DataFrame:
     """The first ``k`` rows, with ``rank`` and the sum of ``total`` over every row.
 
-    One pass: each hash bucket keeps its own leading rows and its own sum, so the final
-    ranking sees at most 256 * k rows whatever the input size. ``order`` must be total.
+    Every task keeps its own ``k`` leading rows, however many tasks there are; the sum is a
+    scalar over the same grouped rows. ``order`` must be total.
     """
-    bucket = Window.partitionBy("_bucket")
-    local = (
-        rows.withColumn("_bucket", F.pmod(F.xxhash64(id_column), F.lit(_BUCKETS)))
-        .withColumn("_local_rank", F.row_number().over(bucket.orderBy(*order)))
-        .withColumn("_bucket_total", F.sum(total).over(bucket))
-        .filter(F.col("_local_rank") <= k)
-    )
-    everything = Window.partitionBy()
-    once = F.when(F.col("_local_rank") == 1, F.col("_bucket_total"))
-    return (
-        local.withColumn("rank", F.row_number().over(everything.orderBy(*order)))
-        .withColumn("grand_total", F.sum(once).over(everything))
-        .filter(F.col("rank") <= k)
-        .drop("_bucket", "_local_rank", "_bucket_total")
+    everything = rows.agg(F.sum(total).alias("t")).scalar()
+    leading = rows.orderBy(*order).limit(k)
+    ranked = Window.orderBy(*order)  # over k rows
+    return leading.withColumn("rank", F.row_number().over(ranked)).withColumn(
+        "grand_total", everything
     )

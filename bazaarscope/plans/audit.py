@@ -16,7 +16,7 @@ from bazaarscope.operators.keys import (
     key_profile,
     orphan_rows,
 )
-from bazaarscope.operators.ordered import histogram, quantiles
+from bazaarscope.operators.ordered import decimal_key, histogram, quantiles
 from bazaarscope.operators.profile import (
     distinct_counts,
     long_aggregate,
@@ -268,8 +268,7 @@ _COLUMN = ["table_name", "column_name"]
 
 
 def _order_key() -> Column:
-    # never decreases with the value; two decimals keep equal buckets apart for money
-    return F.floor(c("value") * 100).cast("bigint")
+    return decimal_key(c("value"))
 
 
 def numeric_profile(mk: Marketplace) -> DataFrame:
@@ -479,7 +478,7 @@ def text_fields(raw: Marketplace) -> DataFrame:
                 {
                     "missing_count": M.rows_where(c(name).isNull()),
                     "empty_string_count": M.rows_where(c(name) == ""),
-                    "whitespace_only_count": M.rows_where(c(name).rlike(r"^\s+$")),
+                    "whitespace_only_count": M.rows_where(M.is_blank(c(name))),
                     "padded_count": M.rows_where(c(name) != M.stripped(c(name))),
                     "minimum_length": F.min(F.length(name)),
                     "maximum_length": F.max(F.length(name)),
@@ -529,7 +528,7 @@ def lookup_coverage(mk: Marketplace) -> DataFrame:
     gap_rows = gaps.select(F.inline(F.array(
         F.struct(F.lit("Distinct product categories without translation").alias("check"),
                  c("categories").alias("affected_count")),
-        F.struct(F.lit("Products in untranslated categories").alias("check"),
+        F.struct(F.lit("product_category_name not in the lookup").alias("check"),
                  c("products").alias("affected_count")),
     )))
     return gap_rows.unionByName(unused.select(

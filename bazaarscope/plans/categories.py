@@ -159,7 +159,7 @@ def top_products(mk: Marketplace, k: int = TOP_PRODUCTS) -> DataFrame:
         .join(B.product_categories(mk), "product_id")
     )
     leading = top_k_with_total(
-        per_product, "product_id", [c("sales").desc(), c("product_id").asc()], k, "sales"
+        per_product, [c("sales").desc(), c("product_id").asc()], k, "sales"
     )
     return B.with_category_label(leading, mk).select(
         c("rank").alias("product_rank"),

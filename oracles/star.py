@@ -327,3 +327,16 @@ _SQL = {
 }
 
 SQL = {name: sql(text) for name, text in _SQL.items()}
+
+# the same measures over all rows: each filter above is taken out of its query
+_ALL = {
+    "measures_customers": " WHERE bought >= '1996-01-01' AND bought < '1996-09-01'",
+    "measures_categories": " WHERE key IN ('ECONOMY', 'SMALL', '__unknown__')",
+    "measures_sellers": "\n    WHERE state IN ('NATION_3', 'NATION_7', 'NATION_15', 'NATION_20')",
+    "measures_payment_methods": " WHERE method <> 'voucher'",
+}
+for _name, _filter in _ALL.items():
+    assert _filter in SQL[_name]
+    SQL[f"{_name}_all"] = SQL[_name].replace(_filter, "")
+SQL["measures_categories_all"] = SQL["measures_categories_all"].replace(
+    " WHERE bought >= '1996-01-01' AND bought < '1997-09-01'", "")

@@ -162,3 +162,62 @@ def test_load_and_its_guards(spark, raw, tmp_path):
     narrow = mk.replaced(orders=mk.orders.drop("order_status"))
     with pytest.raises(sink.LoadError, match="order_status"):
         sink.check_before_load(narrow, spark, str(tmp_path / "other"))
+
+
+SELLERS = "seller_id,seller_zip_code_prefix,seller_city,seller_state\n"
+
+
+@pytest.mark.parametrize("row", ["s1,13023,campinas,SP,more", "s1,13023", 's1,13023,"cam\npinas",SP'])
+def test_malformed_rows_stop_the_reader(spark, tmp_path, row):
+    raw = read_raw(spark, write(tmp_path, sellers=f"{SELLERS}s0,1,rio,RJ\n{row}\n"))
+    with pytest.raises(Exception, match="MALFORMED"):
+        raw.sellers.collect()
+    with pytest.raises(Exception, match="MALFORMED"):
+        raw.sellers.count()
+
+
+def test_missing_tokens_are_an_option(spark, tmp_path):
+    folder = write(tmp_path, sellers=f"{SELLERS}s1,NA,null,SP\ns2,1,NaN,N/A\n")
+    plain = by(read_raw(spark, folder).sellers, "seller_id")
+    assert plain["s1"]["seller_city"] == "null"
+    read = by(read_raw(spark, folder, missing=D.MISSING_TOKENS).sellers, "seller_id")
+    assert read["s1"]["seller_zip_code_prefix"] is read["s1"]["seller_city"] is None
+    assert read["s2"]["seller_city"] is read["s2"]["seller_state"] is None
+
+
+def test_nothing_is_rounded(spark, tmp_path):
+    """Weights, prefixes and money that would need rounding are violations."""
+    header = FILES["products"].split("\n")[0]
+    raw = read_raw(spark, write(
+        tmp_path,
+        products=f"{header}\np1,a,1e1,2.000,3,1.0000004,4,5,6\n",
+        sellers=f"{SELLERS}s1,1037.0000004,x,SP\ns2,1037.0,x,SP\n",
+        payments="order_id,payment_sequential,payment_type,payment_installments,payment_value\n"
+                 "o1,1,voucher,1,12.3456\no1,2,voucher,1,12.3400\n",
+    ))
+    found = {
+        (r.table_name, r.column_name): r.failures
+        for r in cleaning.violations(raw).collect() if r.failures
+    }
+    assert found == {
+        ("products", "product_weight_g"): 1, ("sellers", "seller_zip_code_prefix"): 1,
+        ("payments", "payment_value"): 1,
+    }
+
+
+def test_unicode_blanks_are_stripped(spark, tmp_path):
+    city = "\u00a0 \u3000rio\u2003\x1c"
+    raw = read_raw(spark, write(tmp_path, sellers=f"{SELLERS}s1,1,{city},SP\ns2,2,\u00a0,SP\n"))
+    rows = by(cleaning.clean(raw).sellers, "seller_id")
+    assert rows["s1"]["seller_city"] == "rio" and rows["s2"]["seller_city"] is None
+
+
+def test_scrambled_load_fails(spark, raw, tmp_path):
+    """Equal counts do not hide changed cells."""
+    mk = cleaning.clean(raw)
+    sink.load(mk, spark, str(tmp_path / "out"))
+    changed = mk.replaced(sellers=mk.sellers.selectExpr(
+        "seller_id", "seller_zip_code_prefix", "seller_state AS seller_city",
+        "seller_city AS seller_state"))
+    report = by(sink.load_counts(mk, changed), "table_name")
+    assert report["sellers"]["status"] == "FAIL" and report["orders"]["status"] == "PASS"

@@ -11,11 +11,15 @@ def con(sf_dir):
     return duck(sf_dir)
 
 
+# the corpus operators have tests of their own
+NAMES = [name for name in entry_points.queries() if name not in entry_points._corpus()]
+
+
 def test_every_query_has_an_oracle():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(NAMES) <= set(entry_points.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, sf_dir, name):
     assert compare(spark, con, sf_dir, name) is None
 

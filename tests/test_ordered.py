@@ -8,7 +8,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bazaarscope.operators.ordered import (
+    decimal_key,
     entities_for_shares,
+    fine_bucket,
     histogram,
     ntile_totals,
     order_bucket,
@@ -147,3 +149,13 @@ def test_groups_are_independent(spark):
     got = {r.g: r for r in entities_for_shares(df, "v", {"half": 50}, ["g"]).collect()}
     assert (got["a"].entities, got["a"].half) == (3, 1)
     assert (got["b"].entities, got["b"].half) == (4, 2)
+
+
+def test_narrow_doubles_spread_over_buckets(spark):
+    values = spark.range(100_000).select((F.lit(23.5) + F.col("id") * 8e-7).alias("v"))
+    key = decimal_key(F.col("v"))
+    sizes = values.groupBy(order_bucket(key), fine_bucket(key)).count().agg(
+        F.max("count"), F.count("*")).first()
+    assert sizes[0] < 2_000 and sizes[1] > 100
+    got = quantiles(histogram(values, "v"), "v", key, linear={"median": 50}).first()
+    assert got.median == pytest.approx(23.5 + 49_999.5 * 8e-7, abs=1e-12)
