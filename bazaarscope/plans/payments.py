@@ -22,18 +22,18 @@ def _methods_per_order(mk: Marketplace) -> DataFrame:
     )
 
 
-def _paid_orders(mk: Marketplace) -> DataFrame:
-    # the set of methods has at most one entry per payment type and combines map-side
-    return mk.payments.groupBy("order_id").agg(
-        F.count("*").alias("records"),
-        F.collect_set("payment_type").alias("methods"),
-        M.cents_sum("payment_value").alias("value"),
+def _paid_orders(per_method: DataFrame) -> DataFrame:
+    """One row per order: records, methods and value, counted over its methods."""
+    return per_method.groupBy("order_id").agg(
+        F.sum("records").alias("records"),
+        F.count("payment_type").alias("methods"),
+        F.sum("value").alias("value"),
     )
 
 
 def population(mk: Marketplace) -> DataFrame:
-    methods = F.size("methods")
-    row = _paid_orders(mk).agg(
+    methods = c("methods")
+    row = _paid_orders(_methods_per_order(mk)).agg(
         F.count("*").alias("paid"),
         F.sum("records").alias("records"),
         F.sum("value").alias("value"),
@@ -61,41 +61,20 @@ def population(mk: Marketplace) -> DataFrame:
     )
 
 
-def _each_method_of_an_order(per_method: DataFrame, *order_columns: str) -> DataFrame:
-    """Rows per order and method, the first method of an order marked.
-
-    Counting the marks counts the orders, so no distinct aggregate is needed.
-    """
-    together = per_method.groupBy("order_id").agg(
-        F.array_sort(F.collect_list(F.struct("payment_type", "records", "value"))).alias("m")
-    )
-    return together.select("order_id", *order_columns, F.posexplode("m")).select(
-        "order_id",
-        *order_columns,
-        (c("pos") == 0).cast("int").alias("first"),
-        "col.payment_type",
-        "col.records",
-        "col.value",
-    )
-
-
 def method_mix(mk: Marketplace) -> DataFrame:
-    methods = (
-        _each_method_of_an_order(_methods_per_order(mk))
-        .groupBy("payment_type")
-        .agg(
-            F.sum("records").alias("records"),
-            F.count("*").alias("orders"),
-            F.sum("first").alias("first"),
-            F.sum("value").alias("value"),
-        )
+    per_method = _methods_per_order(mk)
+    paid = _paid_orders(per_method).agg(F.count("*").alias("n")).scalar()
+    methods = per_method.groupBy("payment_type").agg(
+        F.sum("records").alias("records"),
+        F.count("*").alias("orders"),
+        F.sum("value").alias("value"),
     )
-    return methods.select(
+    return methods.withColumn("paid", paid).select(
         "payment_type",
         c("records").alias("payment_records"),
         M.pct(c("records"), B.total("records")).alias("payment_record_share_pct"),
         c("orders").alias("orders_using_method"),
-        M.pct(c("orders"), B.total("first")).alias("paid_order_usage_pct"),
+        M.pct(c("orders"), c("paid")).alias("paid_order_usage_pct"),
         M.money("value").alias("recorded_payment_value"),
         M.pct(c("value"), B.total("value")).alias("payment_value_share_pct"),
         M.avg_money("value", c("records")).alias("avg_payment_record_value"),
@@ -104,11 +83,17 @@ def method_mix(mk: Marketplace) -> DataFrame:
 
 def method_combinations(mk: Marketplace) -> DataFrame:
     """Orders paid with several methods, by the sorted set of methods."""
-    combination = F.array_join(F.array_sort("methods"), " + ")
+    per_method = _methods_per_order(mk)
+    several = _paid_orders(per_method).filter(c("methods") > 1).select("order_id", "value")
+    # texts are built only for the few orders with several methods
+    named = (
+        per_method.select("order_id", "payment_type")
+        .join(several, "order_id")
+        .groupBy("order_id", "value")
+        .agg(F.array_sort(F.collect_list("payment_type")).alias("methods"))
+    )
     groups = (
-        _paid_orders(mk)
-        .filter(F.size("methods") > 1)
-        .groupBy(combination.alias("payment_method_combination"))
+        named.groupBy(F.array_join("methods", " + ").alias("payment_method_combination"))
         .agg(F.count("*").alias("orders"), F.sum("value").alias("value"))
     )
     return groups.select(
@@ -170,18 +155,26 @@ def by_month_and_method(mk: Marketplace, periods: Periods) -> DataFrame:
     orders = mk.orders.filter(periods.in_core(c(PURCHASE))).select(
         "order_id", M.month(c(PURCHASE)).alias("order_month")
     )
-    rows = _each_method_of_an_order(_methods_per_order(mk)).join(orders, "order_id")
-    groups = rows.groupBy("order_month", "payment_type").agg(
-        F.count("*").alias("orders"),
-        F.sum("first").alias("first"),
-        F.sum("value").alias("value"),
+    # the period's orders meet their payments before anything is grouped
+    rows = (
+        mk.payments.select("order_id", "payment_type", "payment_value")
+        .join(orders, "order_id")
+        .groupBy("order_month", "order_id", "payment_type")
+        .agg(M.cents_sum("payment_value").alias("value"))
+    )
+    paid = rows.groupBy("order_month", "order_id").agg(F.count("*").alias("n"))
+    paid = paid.groupBy("order_month").agg(F.count("*").alias("paid"))
+    groups = (
+        rows.groupBy("order_month", "payment_type")
+        .agg(F.count("*").alias("orders"), F.sum("value").alias("value"))
+        .join(paid, "order_month")
     )
     of_month = Window.partitionBy("order_month")
     return groups.select(
         "order_month",
         "payment_type",
         c("orders").alias("orders_using_method"),
-        M.pct(c("orders"), F.sum("first").over(of_month)).alias("paid_order_usage_pct"),
+        M.pct(c("orders"), c("paid")).alias("paid_order_usage_pct"),
         M.money("value").alias("recorded_payment_value"),
         M.pct(c("value"), F.sum("value").over(of_month)).alias("payment_value_share_pct"),
     ).orderBy("order_month", c("recorded_payment_value").desc(), "payment_type")

@@ -86,3 +86,17 @@ def test_upstream_shuffle_is_shared(spark, sf_dir):
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "ReusedExchange" in plan
     assert len(re.findall(r"FileScan parquet \[l_orderkey", plan)) == 1
+
+
+@pytest.mark.parametrize("name", [
+    "payment_population", "payment_method_mix", "payments_by_month_and_method", "fact_payments",
+])
+def test_payments_are_counted_without_object_aggregates(spark, sf_dir, name):
+    assert "ObjectHashAggregate" not in plan_of(spark, name, sf_dir)
+
+
+@pytest.mark.parametrize("name", ["top_products", "top_sellers"])
+def test_leading_rows_are_kept_per_task(spark, sf_dir, name):
+    plan = plan_of(spark, name, sf_dir)
+    assert "TakeOrderedAndProject" in plan or "LocalLimit" in plan
+    assert "_bucket" not in plan
