@@ -134,6 +134,7 @@ def _star() -> dict[str, Query]:
         "star_grain_checks": _on_star(star_checks.grain_checks),
         "star_link_checks": _on_star(star_checks.link_checks),
         "star_calendar_check": _on_star(star_checks.calendar_check),
+        "star_cross_fact_check": _on_star(star_checks.cross_fact_check),
         "star_fact_reconciliation": _on_star(star_checks.fact_reconciliation),
     }
 

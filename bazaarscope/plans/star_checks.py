@@ -50,6 +50,39 @@ def calendar_check(star: Star) -> DataFrame:
     return row.withColumn("status", F.when(ok, "PASS").otherwise("FAIL"))
 
 
+def cross_fact_check(star: Star) -> DataFrame:
+    """Items and their sales by purchase month and delivery, in the three facts that hold them.
+
+    The facts are built along different paths, so this needs no expected values. Each fact is
+    read once and reduced to one row per month before the facts meet.
+    """
+    sources = {
+        "order": ("fact_orders", "item_count", "item_sales_value"),
+        "category": ("fact_order_categories", "category_item_count", "category_item_sales_value"),
+        "seller": ("fact_seller_orders", "seller_item_count", "seller_item_sales_value"),
+    }
+    parts = []
+    for name, (fact, items, sales) in sources.items():
+        month = F.date_format("order_purchase_date", "yyyy-MM").alias("purchase_month")
+        part = star[fact].groupBy(month, "is_delivered").agg(
+            F.sum(items).alias("items"), F.sum(sales).alias("sales")
+        )
+        # an order without items is a month's row of the order fact only
+        parts.append(part.filter(c("items") > 0).withColumn("fact", F.lit(name)))
+    rows = union_all(parts).groupBy("purchase_month", "is_delivered").agg(
+        *[
+            F.coalesce(F.sum(F.when(c("fact") == name, c(value))), F.lit(0)).alias(f"{name}_{value}")
+            for value in ("items", "sales")
+            for name in sources
+        ]
+    )
+    same = F.lit(True)
+    for value in ("items", "sales"):
+        for name in ("category", "seller"):
+            same = same & (c(f"order_{value}") == c(f"{name}_{value}"))
+    return rows.withColumn("status", F.when(same, "PASS").otherwise("FAIL"))
+
+
 # -- totals against expected values ------------------------------------------------
 def _fact_aggregates() -> dict[str, dict[str, Column]]:
     delivered = c("is_delivered") == 1

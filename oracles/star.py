@@ -340,3 +340,16 @@ for _name, _filter in _ALL.items():
     SQL[f"{_name}_all"] = SQL[_name].replace(_filter, "")
 SQL["measures_categories_all"] = SQL["measures_categories_all"].replace(
     " WHERE bought >= '1996-01-01' AND bought < '1997-09-01'", "")
+
+_MONTHLY = union(
+    f"SELECT strftime(bought, '%Y-%m') AS purchase_month, done AS is_delivered, '{name}' AS fact, "
+    f"n, sales FROM {role}"
+    for name, role in (("order", "m_fo"), ("category", "m_foc"), ("seller", "m_fso")))
+SQL["star_cross_fact_check"] = sql(f"""
+SELECT *, if(order_items = category_items AND order_items = seller_items
+    AND order_sales = category_sales AND order_sales = seller_sales, 'PASS', 'FAIL') AS status
+FROM (SELECT purchase_month, is_delivered, """ + ", ".join(
+    f"coalesce(sum({column}) FILTER (fact = '{name}'), 0)::{kind} AS {name}_{value}"
+    for value, column, kind in (("items", "n", "BIGINT"), ("sales", "sales", "DOUBLE"))
+    for name in ("order", "category", "seller")) + f"""
+FROM ({_MONTHLY}) GROUP BY ALL HAVING sum(n) > 0)""")

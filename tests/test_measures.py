@@ -5,6 +5,9 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from bazaarscope.plans import facts
+from bazaarscope.plans import star_checks
+from bazaarscope.sources import bindings
 from bazaarscope.functions.periods import PUBLISHED
 from bazaarscope.plans import measures as ms
 from bazaarscope.plans import star_checks
@@ -136,3 +139,12 @@ def test_star_is_consistent_and_survives_publication(spark, star, tmp_path):
               for r in star_checks.fact_totals(stored).collect()}
     assert totals[("fact_orders", "recorded_item_sales_value")] == 125
     assert totals[("fact_seller_orders", "completed_relationships")] == 4
+
+
+def test_cross_fact_check_sees_a_fact_that_lost_rows(spark, sf_dir):
+    star = facts.Star.of(bindings.bind(spark, sf_dir), bindings.PERIODS)
+    names = ("fact_orders", "fact_order_categories", "fact_seller_orders")
+    whole = {name: star[name] for name in names}
+    assert {r.status for r in star_checks.cross_fact_check(facts.Star(whole)).collect()} == {"PASS"}
+    whole["fact_seller_orders"] = star["fact_seller_orders"].filter("seller_item_count > 1")
+    assert "FAIL" in {r.status for r in star_checks.cross_fact_check(facts.Star(whole)).collect()}
