@@ -180,6 +180,13 @@ def _seller_measures(s: facts.Star) -> DataFrame:
     return _rounded(measures.evaluate(star_slice, _names("fact_seller_orders")))
 
 
+def _in_context(fact: str, names: list[str], by: tuple[str, ...], **conditions: str) -> Query:
+    """Measures under filters on dimension members."""
+    return _measured(fact, names, by, lambda: {
+        "dimensions": {name: F.expr(text) for name, text in conditions.items()}
+    })
+
+
 def _measures() -> dict[str, Query]:
     orders = _names("fact_orders")
     by_method = {
@@ -214,6 +221,32 @@ def _measures() -> dict[str, Query]:
             "fact_payments", [n for n in _names("fact_payments") if n in by_method],
             ("payment_type",),
         ),
+        "measures_in_month": _in_context(
+            "fact_orders", orders[:8], ("customer_state",),
+            dim_date="date >= '1996-03-01' AND date < '1996-04-01'",
+        ),
+        "measures_in_year": _in_context(
+            "fact_orders", orders[:8], ("customer_state",),
+            dim_date="date >= '1996-01-01' AND date < '1997-01-01'",
+        ),
+        "measures_in_state": _in_context(
+            "fact_orders", orders[:8], ("customer_state",),
+            dim_customer_state="state_code IN ('NATION_3', 'NATION_7')",
+        ),
+        "measures_in_category": _in_context(
+            "fact_order_categories", _names("fact_order_categories"),
+            ("category_key", "category_display_name"), dim_category="category_key = 'ECONOMY'",
+            dim_date="date >= '1996-01-01' AND date < '1997-09-01'",
+        ),
+        "measures_in_seller_state": _in_context(
+            "fact_seller_orders", _names("fact_seller_orders"), (),
+            dim_seller="seller_state IN ('NATION_3', 'NATION_7', 'NATION_15', 'NATION_20')",
+        ),
+        # sellers and categories are not linked to the order fact
+        "measures_isolated": _in_context(
+            "fact_orders", orders[:8], ("customer_state",),
+            dim_seller="seller_state = 'NATION_3'", dim_category="category_key = 'ECONOMY'",
+        ),
         "measures_payments": _measured(
             "fact_payments", [n for n in _names("fact_payments") if n not in by_method]
         ),

@@ -7,7 +7,7 @@ any number of measures of one fact in a single aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bazaarscope.functions import domain as D
 from bazaarscope.functions import metrics as M
 from bazaarscope.functions.periods import Periods
-from bazaarscope.plans.facts import Star
+from bazaarscope.plans.facts import LINKS, Star
 
 c = F.col
 Aggregates = Callable[[], dict[str, Column]]
@@ -235,17 +235,41 @@ def _aggregate(rows: DataFrame, fact: str, by: Sequence[str], parts: set[str]) -
     return rows.groupBy(*by).agg(*[available[p].alias(p) for p in sorted(parts)])
 
 
+# dimensions whose selection share measures lift in their denominator
+_LIFTED_DIMENSIONS = {"dim_category"}
+
+
+def _reached(
+    rows: DataFrame, star: Star, fact: str, dimensions: Mapping[str, Column], lifted: bool
+) -> DataFrame:
+    """Fact rows whose members pass the filters of the dimensions linked to this fact.
+
+    A filter on a dimension without a link to the fact does not reach it.
+    """
+    stored = "fact_orders" if fact == "persons" else fact
+    for linked, key, dimension, member in LINKS:
+        if linked == stored and dimension in dimensions:
+            if (dimension in _LIFTED_DIMENSIONS) == lifted:
+                members = star[dimension].filter(dimensions[dimension]).select(
+                    c(member).alias("_member")
+                )
+                rows = rows.join(members, c(key) == c("_member"), "left_semi")
+    return rows
+
+
 def evaluate(
     star: Star,
     names: Sequence[str],
     by: Sequence[str] = (),
     where: Column | None = None,
     only: Column | None = None,
+    dimensions: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Measures of one fact per group of ``by``.
 
     ``where`` is the context of everything. ``only`` is a selection of categories or
-    payment methods: share measures ignore it in their denominator.
+    payment methods: share measures ignore it in their denominator. ``dimensions`` filters
+    members of dimensions and reaches the fact over its links.
     """
     chosen = {name: MEASURES[name] for name in names}
     facts = {m.fact for m in chosen.values()}
@@ -255,7 +279,10 @@ def evaluate(
     context = _source(star, fact)
     if where is not None:
         context = context.filter(where)
+    filters = dimensions or {}
+    context = _reached(context, star, fact, filters, lifted=False)
     selected = context if only is None else context.filter(only)
+    selected = _reached(selected, star, fact, filters, lifted=True)
     parts = {p for m in chosen.values() for p in m.parts}
     result = _aggregate(selected, fact, by, parts)
     for lifted in {m.lifted for m in chosen.values() if m.lifted}:

@@ -353,3 +353,17 @@ FROM (SELECT purchase_month, is_delivered, """ + ", ".join(
     for value, column, kind in (("items", "n", "BIGINT"), ("sales", "sales", "DOUBLE"))
     for name in ("order", "category", "seller")) + f"""
 FROM ({_MONTHLY}) GROUP BY ALL HAVING sum(n) > 0)""")
+
+
+def _orders_where(test: str) -> str:
+    return SQL["measures_marketplace"].replace(
+        "FROM m_fo GROUP BY", f"FROM (SELECT * FROM m_fo WHERE {test}) x GROUP BY")
+
+
+SQL["measures_in_month"] = _orders_where("bought >= '1996-03-01' AND bought < '1996-04-01'")
+SQL["measures_in_year"] = _orders_where("year(bought) = 1996")
+SQL["measures_in_state"] = _orders_where("state IN ('NATION_3', 'NATION_7')")
+SQL["measures_in_category"] = SQL["measures_categories"].replace(
+    "IN ('ECONOMY', 'SMALL', '__unknown__')", "= 'ECONOMY'")
+SQL["measures_in_seller_state"] = SQL["measures_sellers"]
+SQL["measures_isolated"] = SQL["measures_marketplace"]

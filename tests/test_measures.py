@@ -5,13 +5,11 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from bazaarscope.plans import facts
-from bazaarscope.plans import star_checks
-from bazaarscope.sources import bindings
 from bazaarscope.functions.periods import PUBLISHED
+from bazaarscope.plans import facts, star_checks
 from bazaarscope.plans import measures as ms
-from bazaarscope.plans import star_checks
 from bazaarscope.plans.facts import Star
+from bazaarscope.sources import bindings
 from tests.market import (
     DAY0,
     by,
