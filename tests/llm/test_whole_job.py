@@ -5,6 +5,9 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
+from bazaarscope.llm import line_dedup
+
+from . import brute
 
 rng = np.random.default_rng(11)
 
@@ -37,3 +40,35 @@ def test_language_stage_rejects_what_no_language_claims(spark):
     assert len(left & set(range(240))) >= 238
     assert not left & set(free[: len(gone)])
     assert set(free[len(gone) : len(extra)]) <= left
+
+
+def test_line_signatures_do_not_depend_on_spaces_or_length(spark):
+    wide = "".join(chr(c) for c in rng.integers(0x4E00, 0x9F00, 300))
+    tabbed = "\t".join("".join(rng.choice(list("abcdefgh"), 9)) for _ in range(40))
+    solid = "".join(rng.choice(list("ABCDEFGHIJKLMNOPqrstuvwxyz0123456789+/"), 400))
+    spaced = " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60))
+    texts = ["=" * 100, "=" * 200, "-" * 127, "-" * 400, "ab" * 40, "ab" * 300, "abc", "abcd", "abc"]
+    for line in (wide, tabbed, solid, spaced):
+        at = len(line) // 2
+        texts += [line, f"{line[:at]}#{line[at + 1:]}", f"{line[:40]}#{line[41:at]}{line[at + 9:]}"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.report(docs).collect()}
+    assert got == brute.lines(rows)
+    assert sum(n for _, n, _ in got.values()) == 12
+
+
+def test_spaced_long_lines_with_scattered_typos(spark):
+    rows = []
+    for i in range(400):
+        line = list(" ".join("".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(40)))
+        rows.append((2 * i, "".join(line)))
+        for at in np.linspace(4, len(line) - 5, 5).astype(int):  # similarity about 0.8
+            line[at] = "#"
+        rows.append((2 * i + 1, "".join(line)))
+    want = brute.lines(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.report(docs).collect()}
+    linked = [i for i in want if want[i][1]]
+    assert len(linked) >= 390
+    assert sum(got[i] != want[i] for i in linked) <= 2
