@@ -1,11 +1,14 @@
 """Cases in which an operator once did less than its whole job."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
-from bazaarscope.llm import line_dedup
+from bazaarscope.llm import decontaminate, line_dedup
+from bazaarscope.llm.words import chunks
 
 from . import brute
 
@@ -72,3 +75,38 @@ def test_spaced_long_lines_with_scattered_typos(spark):
     linked = [i for i in want if want[i][1]]
     assert len(linked) >= 390
     assert sum(got[i] != want[i] for i in linked) <= 2
+
+
+def _leaks_clipped(text, item):
+    """Brute force over every window of the item's size, clipped at the document's edges."""
+    own, other = brute.words(text.lower()), brute.words(item.lower())
+    width = min(5, len(other))
+    grams, bag = ([tuple(w[k : k + width]) for k in range(len(w) - width + 1)] for w in (own, other))
+    size, bag = len(bag), Counter(bag)
+    for p in range(1 - size, len(grams)):
+        window = Counter(grams[max(p, 0) : max(p + size, 0)])
+        both = sum((window & bag).values())
+        if 100 * both >= 75 * (sum(window.values()) + size - both):
+            return True
+    return False
+
+
+def test_items_cut_short_are_found_in_documents_shorter_than_they_are():
+    names = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(3000)]
+    items = [(k, " ".join(rng.choice(names, n))) for k, n in
+             enumerate([5, 6, 7, 8, 10, 12, 20, 24, 37, 37, 41, 60, 90, 150, 300])]
+    docs = []
+    for _, item in items:
+        w = item.split()
+        docs += [" ".join(w[a : len(w) - b]) for a in (0, 1, 2, 6) for b in (0, 1, 2, 9)]
+        cut = w[: len(w) - len(w) // 6]
+        docs += [" ".join(["junk", *cut]), " ".join([*cut[: len(cut) // 2], "typo", *cut[len(cut) // 2 + 1 :]])]
+    block = decontaminate.index_items(items)
+    got = set()
+    for chunk in chunks(pa.array(docs)):
+        got |= {(chunk.rows.start + d, block.item_ids[i]) for d, i in decontaminate.matches(chunk, block)}
+    shorter = {(d, k) for d, t in enumerate(docs) for k, item in items if len(t.split()) < len(item.split())}
+    want = {(d, k) for d, k in shorter if _leaks_clipped(docs[d], items[k][1])}
+    assert len(want) > 60
+    assert got & shorter == want
+    assert {(16 * k + 2 * k, k) for k, _ in items} <= got  # and whole items as before
