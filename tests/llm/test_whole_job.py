@@ -110,3 +110,11 @@ def test_items_cut_short_are_found_in_documents_shorter_than_they_are():
     assert len(want) > 60
     assert got & shorter == want
     assert {(16 * k + 2 * k, k) for k, _ in items} <= got  # and whole items as before
+
+
+def test_copy_with_blank_lines_goes_with_all_its_lines(spark):
+    text = "first paragraph of it\n\nsecond one, quite other words\n \t\n\nthird and last\n"
+    rows = [(1, text), (2, text), (3, "\n\nblank lines and a line of its own"), (4, "\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert left == {1, 3, 4}  # a text that lost no line stays as it is
