@@ -221,6 +221,23 @@ def _measures() -> dict[str, Query]:
             "fact_payments", [n for n in _names("fact_payments") if n in by_method],
             ("payment_type",),
         ),
+        # the delivery and review measures under the filters the order measures have below
+        "measures_reviews_in_month": _in_context(
+            "fact_orders", orders[8:], ("customer_state",),
+            dim_date="date >= '1996-03-01' AND date < '1996-04-01'",
+        ),
+        "measures_reviews_in_year": _in_context(
+            "fact_orders", orders[8:], ("customer_state",),
+            dim_date="date >= '1996-01-01' AND date < '1997-01-01'",
+        ),
+        "measures_reviews_in_state": _in_context(
+            "fact_orders", orders[8:], ("customer_state",),
+            dim_customer_state="state_code IN ('NATION_3', 'NATION_7')",
+        ),
+        "measures_reviews_isolated": _in_context(
+            "fact_orders", orders[8:], ("customer_state",),
+            dim_seller="seller_state = 'NATION_3'", dim_category="category_key = 'ECONOMY'",
+        ),
         "measures_in_month": _in_context(
             "fact_orders", orders[:8], ("customer_state",),
             dim_date="date >= '1996-03-01' AND date < '1996-04-01'",

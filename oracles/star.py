@@ -367,3 +367,15 @@ SQL["measures_in_category"] = SQL["measures_categories"].replace(
     "IN ('ECONOMY', 'SMALL', '__unknown__')", "= 'ECONOMY'")
 SQL["measures_in_seller_state"] = SQL["measures_sellers"]
 SQL["measures_isolated"] = SQL["measures_marketplace"]
+
+
+def _reviews_where(test: str) -> str:
+    """The delivery and review measures by state, for the orders that meet the test."""
+    by_state = SQL["measures_delivery_reviews"].replace(f"{_BAND} AS delay_band", "state AS customer_state")
+    return by_state.replace("FROM m_fo GROUP BY ALL", f"FROM (SELECT * FROM m_fo WHERE {test}) x GROUP BY state")
+
+
+SQL["measures_reviews_in_month"] = _reviews_where("bought >= '1996-03-01' AND bought < '1996-04-01'")
+SQL["measures_reviews_in_year"] = _reviews_where("year(bought) = 1996")
+SQL["measures_reviews_in_state"] = _reviews_where("state IN ('NATION_3', 'NATION_7')")
+SQL["measures_reviews_isolated"] = _reviews_where("true")
