@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, class_lm, decontaminate, exact_dedup, language_id, line_dedup, minhash, quality, substring_dedup, training_order
+from . import bpe, class_lm, decontaminate, exact_dedup, language_id, line_dedup, minhash, periodic
+from . import quality, substring_dedup, training_order
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -31,6 +32,7 @@ def queries() -> dict:
         "op8_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
         "op9_minhash_near_dedup": lambda s, d: minhash.near_duplicates(table(s, d, "documents")),
         "op10_line_dedup": lambda s, d: line_dedup.report(table(s, d, "documents")),
+        "op12_periodic_runs": lambda s, d: periodic.report(table(s, d, "documents")),
     }
 
 
