@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, class_lm, decontaminate, exact_dedup, language_id, line_dedup, minhash, periodic
+from . import bpe, class_lm, conversations, decontaminate, exact_dedup, language_id, line_dedup, minhash, periodic
 from . import quality, substring_dedup, training_order
 from .common import table
 
@@ -33,6 +33,7 @@ def queries() -> dict:
         "op9_minhash_near_dedup": lambda s, d: minhash.near_duplicates(table(s, d, "documents")),
         "op10_line_dedup": lambda s, d: line_dedup.report(table(s, d, "documents")),
         "op12_periodic_runs": lambda s, d: periodic.report(table(s, d, "documents")),
+        "op13_conversation_repair": lambda s, d: conversations.report(table(s, d, "conversations")),
     }
 
 
