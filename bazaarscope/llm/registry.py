@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from . import bpe, class_lm, conversations, decontaminate, exact_dedup, language_id, line_dedup, minhash, periodic
-from . import quality, substring_dedup, training_order
+from . import permutation_index, quality, substring_dedup, training_order
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,6 +32,7 @@ def queries() -> dict:
         "op8_exact_dedup": lambda s, d: exact_dedup.exact_dedup(table(s, d, "documents")),
         "op9_minhash_near_dedup": lambda s, d: minhash.near_duplicates(table(s, d, "documents")),
         "op10_line_dedup": lambda s, d: line_dedup.report(table(s, d, "documents")),
+        "op11_permutation_index": lambda s, d: permutation_index.report(table(s, d, "embeddings")),
         "op12_periodic_runs": lambda s, d: periodic.report(table(s, d, "documents")),
         "op13_conversation_repair": lambda s, d: conversations.report(table(s, d, "conversations")),
     }
