@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from bazaarscope.functions import domain as D
 from bazaarscope.sources.model import SCHEMAS, Marketplace
+from bazaarscope.sources.split_csv import read_split_csv
 
 _SOURCE_NAMES = {clean: raw for raw, clean in D.RENAMED_COLUMNS.items()}
 
@@ -19,8 +20,7 @@ CSV_OPTIONS = {
     "header": "true", "quote": '"', "escape": '"', "mode": "FAILFAST", "columnPruning": "false",
 }
 
-# Review text holds quoted line breaks. Such files cannot be split between tasks, so only
-# the tables that need it are read this way; a large one should come as many files.
+# Review text holds quoted line breaks: its records are found by their quotes.
 MULTILINE_TABLES = frozenset({"reviews"})
 
 
@@ -43,14 +43,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def _read(
     spark: SparkSession, path: str, table: str, multiline: bool, missing: Collection[str]
 ) -> DataFrame:
-    # enforceSchema=false: a file whose header differs from the declared names is an error
-    rows = (
-        spark.read.options(**CSV_OPTIONS)
-        .option("multiLine", multiline)
-        .option("enforceSchema", "false")
-        .schema(raw_schema(table))
-        .csv(path)
-    )
+    if multiline:
+        rows = read_split_csv(spark, path, raw_schema(table), CSV_OPTIONS)
+    else:
+        # enforceSchema=false: a file whose header differs from the declared names is an error
+        rows = (
+            spark.read.options(**CSV_OPTIONS)
+            .option("enforceSchema", "false")
+            .schema(raw_schema(table))
+            .csv(path)
+        )
     if not missing:
         return rows
     return rows.select(*[
@@ -63,14 +65,13 @@ def read_raw(
     folder: str,
     files: dict[str, str] | None = None,
     multiline: Collection[str] = MULTILINE_TABLES,
-    missing: Collection[str] = (),
+    missing: Collection[str] = D.MISSING_TOKENS,
 ) -> Marketplace:
     """Read the nine files of a folder, failing with the list of the absent ones.
 
     Each entry may be a file or a folder of part files. A malformed row, such as a quoted line
     break in a table that is not in ``multiline``, stops the job that meets it. Cells whose text
-    is in ``missing``, for example ``domain.MISSING_TOKENS``, become NULL; by default only empty
-    cells do.
+    is in ``missing`` become NULL; with ``missing=()`` only empty cells do.
     """
     files = files or D.SOURCE_FILES
     paths = {table: f"{folder.rstrip('/')}/{name}" for table, name in files.items()}

@@ -176,11 +176,11 @@ def test_malformed_rows_stop_the_reader(spark, tmp_path, row):
         raw.sellers.count()
 
 
-def test_missing_tokens_are_an_option(spark, tmp_path):
+def test_missing_tokens_become_null_by_default(spark, tmp_path):
     folder = write(tmp_path, sellers=f"{SELLERS}s1,NA,null,SP\ns2,1,NaN,N/A\n")
-    plain = by(read_raw(spark, folder).sellers, "seller_id")
+    plain = by(read_raw(spark, folder, missing=()).sellers, "seller_id")
     assert plain["s1"]["seller_city"] == "null"
-    read = by(read_raw(spark, folder, missing=D.MISSING_TOKENS).sellers, "seller_id")
+    read = by(read_raw(spark, folder).sellers, "seller_id")
     assert read["s1"]["seller_zip_code_prefix"] is read["s1"]["seller_city"] is None
     assert read["s2"]["seller_city"] is read["s2"]["seller_state"] is None
 
