@@ -54,7 +54,7 @@ _FREE, _CUT, _BLANK, _DUPLICATE = range(4)  # faults
 TURN = "struct<role:string,text:string,fault:int>"
 BLOCKS = (
     f"conv_id long, part int, seq long, turns array<{TURN}>, first_turn long, last_turn long, "
-    "n_turns long, first_role string, last_role string, illegal long, costs array<long>"
+    "n_turns long, first_role string, last_role string, illegal long, whole boolean, costs array<long>"
 )
 REPAIRED = "position long, edit string, role string, text string"
 
@@ -238,6 +238,7 @@ class _Cut:
 
     def __init__(self, part: int) -> None:
         self.part, self.seq = part, 0
+        self.pieces, self.earlier = 0, False  # blocks of this conversation; conversations before it
         self.clear(None)
 
     def clear(self, conv) -> None:
@@ -246,21 +247,24 @@ class _Cut:
         self.turns: list = []
         self.turn_count, self.last = 0, None
 
-    def block(self) -> tuple:
+    def block(self, ends: bool = False) -> tuple:
+        """The rows so far; ``ends`` if the next row of the task belongs to another conversation."""
         roles = [r[0][:1] for r in self.rows]
         illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(roles, roles[1:]))
         out = (
             self.conv[0], self.part, self.seq, self.rows,
             self.turns[0] if self.turns else None, self.last, self.turn_count,
             roles[0] if roles else None, roles[-1] if roles else None, illegal,
+            ends and self.earlier and not self.pieces,
         )
-        self.seq += 1
+        self.seq, self.pieces = self.seq + 1, self.pieces + 1
         return out
 
     def add(self, conv, turn, role, text, copies, repeat) -> Iterator[tuple]:
         if not self.begun or self.conv[0] != conv:
             if self.begun:
-                yield self.block()
+                yield self.block(ends=True)
+                self.pieces, self.earlier = 0, True
             self.clear((conv,))
         for copy in range(copies):
             if len(self.rows) >= BLOCK_ROWS or self.size > BLOCK_BYTES:
@@ -283,7 +287,7 @@ def _blocks_batch(blocks: list[tuple]) -> pa.RecordBatch:
     costs = _block_costs(columns[3]).reshape(len(blocks), 16)
     names = ("role", "text", "fault")
     kinds = [pa.int64(), pa.int32(), pa.int64(), _TURNS, pa.int64(), pa.int64(), pa.int64(), pa.string(),
-             pa.string(), pa.int64(), pa.list_(pa.int64())]
+             pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
     columns[3] = [[dict(zip(names, r)) for r in rows] for rows in columns[3]]
     fields = [x.split()[0] for x in re.sub(r"<[^>]*>+", "", BLOCKS).split(", ")]
     return pa.RecordBatch.from_arrays(
@@ -397,16 +401,23 @@ def _batched(work):
     return run
 
 
+def _apart(blocks: DataFrame) -> DataFrame:
+    """Blocks that are whole conversations: nothing is behind or before them."""
+    return blocks.where("whole").select(
+        "*", F.col("nr").alias("head"), F.lit(None).cast("array<long>").alias("behind"), F.lit(START).alias("entry")
+    )
+
+
 def _chained(blocks: DataFrame) -> DataFrame:
-    """Blocks with the cost of the ends behind them and the end before them."""
-    spans = blocks.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("nr").alias("head"))
-    spans = spans.where("n > 1").withColumnRenamed("conv_id", "c")
+    """The other blocks, with the cost of the ends behind them and the end before them.
+
+    They belong to long conversations and to those at the borders of tasks.
+    """
+    edges = blocks.where("NOT whole")
+    spans = edges.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("nr").alias("head"))
+    spans = spans.withColumnRenamed("conv_id", "c")
     rounds = (int(spans.agg(F.max("n")).first()[0] or 1) - 1).bit_length()
-    if not rounds:
-        return blocks.select(
-            "*", F.col("nr").alias("head"), F.lit(None).cast("array<long>").alias("behind"), F.lit(START).alias("entry")
-        )
-    several = stored(blocks.join(spans, blocks["conv_id"].eqNullSafe(spans["c"])), "several")
+    several = stored(edges.join(spans, edges["conv_id"].eqNullSafe(spans["c"])).drop("c"), "several")
     chain = _doubled(several.select("nr", "head", "costs"), "costs", _product, True, rounds)
     closed = F.array(*(F.lit(int(x)) for x in CLOSED))
     total = F.transform(
@@ -423,14 +434,8 @@ def _chained(blocks: DataFrame) -> DataFrame:
     )
     exits = _doubled(stored(exits, "exits"), "exits", _composed, False, rounds)
     entry = exits.select((F.col("nr") + 1).alias("nr"), "head", F.element_at("exits", START + 1).alias("entry"))
-    ends = several.select("nr", "head", "behind").join(entry, ["nr", "head"], "left")
-    out = blocks.join(ends, "nr", "left")
-    return out.select(
-        *blocks.columns,
-        F.coalesce("head", "nr").alias("head"),
-        "behind",
-        F.coalesce("entry", F.lit(START)).alias("entry"),
-    )
+    several = several.join(entry, ["nr", "head"], "left")
+    return several.withColumn("entry", F.coalesce("entry", F.lit(START)))
 
 
 # ---- results --------------------------------------------------------------------------------
@@ -474,19 +479,19 @@ def _as_turns(conversations: DataFrame) -> DataFrame:
     )
 
 
-def _repaired_blocks(turns: DataFrame) -> DataFrame:
-    prepared(turns.sparkSession)
-    chained = _chained(_blocks(turns))
+def _repaired(blocks: DataFrame) -> DataFrame:
     columns = ("conv_id", "nr", "head", "turns", "first_turn", "last_turn", "n_turns", "first_role", "last_role",
                "illegal", "behind", "entry")
-    return chained.select(*columns).mapInArrow(_batched(_repair), _REPAIR)
+    return blocks.select(*columns).mapInArrow(_batched(_repair), _REPAIR)
 
 
 def repair(conversations: DataFrame) -> DataFrame:
     """``conv_id, block, position, edit, role, text``: every edit of every conversation; what is
     not deleted is the repaired conversation, by block and position."""
-    blocks = _repaired_blocks(_as_turns(conversations))
-    return blocks.select(
+    prepared(conversations.sparkSession)
+    blocks = _blocks(_as_turns(conversations))
+    edits = _repaired(_apart(blocks)).unionByName(_repaired(_chained(blocks)))
+    return edits.select(
         "conv_id", F.col("nr").alias("block"), F.posexplode("edits").alias("position", "e")
     ).select("conv_id", "block", "position", "e.edit", "e.role", "e.text")
 
@@ -546,12 +551,11 @@ def report(conversations: DataFrame) -> DataFrame:
     stays = F.filter("edits", lambda e: e["edit"] != "D")
     lines = F.transform(stays, lambda e: F.concat(e["role"], F.lit(":"), e["text"]))
     body = F.when(F.size(stays) > 0, F.array_join(lines, "\n"))
-    blocks = _repaired_blocks(_damaged(conversations)).withColumn("body", body).drop("edits")
-    blocks = stored(blocks, "repaired")
     sums = ("blank", "duplicate", "truncated", "illegal", "n_turns")
-
-    spans = blocks.groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("conv_id").alias("c"))
-    long = stored(blocks.join(spans, blocks["conv_id"].eqNullSafe(spans["c"])).drop("c"), "long")
+    prepared(conversations.sparkSession)
+    blocks = _blocks(_damaged(conversations))
+    short = _repaired(_apart(blocks)).withColumn("repaired_sha256", F.sha2(F.coalesce(body, F.lit("")), 256))
+    long = stored(_repaired(_chained(blocks)).withColumn("body", body).drop("edits"), "long")
     # what lies across the border of two blocks: rows of an equal turn, pairs of roles
     filled = long.select(
         "nr", "head", "first_turn", "last_turn", "first_role", "last_role"
@@ -571,10 +575,6 @@ def report(conversations: DataFrame) -> DataFrame:
     joined = pieces.mapInArrow(_joined, _JOINED).withColumnRenamed("conv_id", "c")
     counted = counted.join(joined, counted["conv_id"].eqNullSafe(joined["c"])).drop("c")
 
-    other = spans.alias("s")
-    short = blocks.join(other, blocks["conv_id"].eqNullSafe(F.col("s.c")), "left_anti").withColumn(
-        "repaired_sha256", F.sha2(F.coalesce("body", F.lit("")), 256)
-    )
     rows = short.select(*counted.columns).unionByName(counted)
     gaps = F.col("last_turn") - F.col("first_turn") + 1 - F.col("n_turns")
     return rows.select(
