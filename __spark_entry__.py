@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from bazaarscope.functions.metrics import rounded  # noqa: E402
 from bazaarscope.plans import audit, categories, cleaning, customers, delivery  # noqa: E402
 from bazaarscope.plans import facts, load_checks, marketplace, measures, payments  # noqa: E402
-from bazaarscope.plans import reconcile, register, sellers, star_checks  # noqa: E402
+from bazaarscope.plans import quality_counts, quarantine, reconcile, register, sellers, star_checks  # noqa: E402
 from bazaarscope.session import scratch_path, tune  # noqa: E402
 from bazaarscope.sources import bindings, raw_csv, sink  # noqa: E402
 from bazaarscope.sources.bindings import PERIODS, SHIPPING_LIMIT_FROM  # noqa: E402
@@ -283,6 +283,30 @@ def _measures() -> dict[str, Query]:
     }
 
 
+# folders of counts made in this application, by folder and state of the files they were made of
+_STORED_COUNTS: dict[tuple, str] = {}
+
+
+def _from_counts(plan) -> Query:
+    """Reports on the table of quality counts, which is stored once for all of them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        raw = bindings.bind_raw(tune(spark), sf_dir)
+        cleaned = cleaning.clean(raw)
+        key = (spark.sparkContext.applicationId, sf_dir, bindings.fingerprint(spark, sf_dir))
+        if key not in _STORED_COUNTS:
+            _STORED_COUNTS[key] = scratch_path(spark, "quality")
+            found = quality_counts.tallied(raw, cleaned, SHIPPING_LIMIT_FROM)
+            quality_counts.store(found, _STORED_COUNTS[key])
+        return plan(quality_counts.read(spark, _STORED_COUNTS[key]), raw, cleaned)
+
+    return run
+
+
+def _register(counts: DataFrame, raw: Marketplace, cleaned: Marketplace) -> DataFrame:
+    return register.register_of(counts, raw, cleaned, SHIPPING_LIMIT_FROM)
+
+
 def _cleaned(table: str) -> Query:
     return _on_raw(lambda raw: cleaning.clean_table(raw, table))
 
@@ -348,17 +372,16 @@ def _quality() -> dict[str, Query]:
         "audit_untranslated_categories": _on_clean(audit.untranslated_categories),
         "audit_zip_coverage": _on_clean(audit.zip_coverage),
         "audit_geolocation_density": _on_clean(audit.geolocation_density),
-        "audit_findings": _on_both(register.findings, SHIPPING_LIMIT_FROM),
+        "audit_findings": _from_counts(
+            lambda counts, raw, _: register.findings_of(counts, raw, SHIPPING_LIMIT_FROM)
+        ),
         "geolocation_surrogate_ids": _on_clean(_id_summary),
         "join_grain_reference": _on_clean(register.join_grains),
-        "validation_register": _on_both(register.register, SHIPPING_LIMIT_FROM),
-        "validation_summary": _on_both(
-            lambda raw, cleaned: register.summary(
-                register.register(raw, cleaned, SHIPPING_LIMIT_FROM))
-        ),
-        "validation_readiness": _on_both(
-            lambda raw, cleaned: register.readiness(
-                register.register(raw, cleaned, SHIPPING_LIMIT_FROM))
+        "validation_register": _from_counts(_register),
+        "validation_summary": _from_counts(lambda *parts: register.summary(_register(*parts))),
+        "validation_readiness": _from_counts(lambda *parts: register.readiness(_register(*parts))),
+        "quarantine_rows": _on_raw(
+            quarantine.report, ("orders", "order_items", "payments", "products"), SHIPPING_LIMIT_FROM
         ),
         "load_parquet_counts": _loaded,
         "load_csv_roundtrip_counts": _csv_roundtrip,

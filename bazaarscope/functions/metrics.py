@@ -140,14 +140,25 @@ def category_label(english: Column, source: Column) -> Column:
 SPACES = r"[\s\x1c-\x1f]"  # with the flag U
 
 
+def _plain_ends(text: Column) -> Column:
+    """Begins and ends with a visible ASCII character, as most text does: no pattern is tried then."""
+    return F.substring(text, 1, 1).between("!", "~") & F.substring(text, -1, 1).between("!", "~")
+
+
 def stripped(text: Column) -> Column:
     """Text without surrounding Unicode white space; the ASCII separators 1C to 1F count too."""
-    return F.regexp_replace(text, rf"(?U)^{SPACES}+|{SPACES}+$", "")
+    bare = F.regexp_replace(text, rf"(?U)^{SPACES}+|{SPACES}+$", "")
+    return F.when(_plain_ends(text), text).otherwise(bare)
+
+
+def is_padded(text: Column) -> Column:
+    """Surrounded by white space that ``stripped`` removes."""
+    return F.when(_plain_ends(text), F.lit(False)).otherwise(text.rlike(rf"(?U)^{SPACES}|{SPACES}$"))
 
 
 def is_blank(text: Column) -> Column:
     """Only white space, one character at least."""
-    return text.rlike(rf"(?U)^{SPACES}+$")
+    return F.when(_plain_ends(text), F.lit(False)).otherwise(text.rlike(rf"(?U)^{SPACES}+$"))
 
 
 def blank_to_null(text: Column) -> Column:

@@ -134,7 +134,7 @@ def relationship_orphans(mk: Marketplace) -> DataFrame:
     ]
     valid = c("orphan_rows") == 0
     return union_all(parts).withColumn(
-        "status", F.when(valid, "Valid").otherwise("Requires investigation")
+        "status", F.when(valid, D.NO_ORPHANS).otherwise(D.HAS_ORPHANS)
     )
 
 
@@ -409,9 +409,16 @@ def order_timeline(mk: Marketplace) -> DataFrame:
     return _rules(mk, {"orders": order_timeline_rules()})
 
 
+def shipping_rules(late_from: str) -> list[tuple[str, Column]]:
+    limit = c("shipping_limit_date")
+    return [
+        ("shipping_limit_date < order_purchase_timestamp", limit < c("order_purchase_timestamp")),
+        ("shipping_limit_date beyond the period", limit >= _instant(late_from)),
+    ]
+
+
 def shipping_limits(mk: Marketplace, late_from: str) -> DataFrame:
     """Shipping limits before the purchase and on or after a given day."""
-    limit = c("shipping_limit_date")
     # limits of one order are compared through their distinct values
     per_limit = mk.order_items.groupBy("order_id", "shipping_limit_date").agg(
         F.count("*").alias("n")
@@ -419,39 +426,23 @@ def shipping_limits(mk: Marketplace, late_from: str) -> DataFrame:
     rows = per_limit.join(
         mk.orders.select("order_id", "order_purchase_timestamp"), "order_id", "left"
     )
-
-    def count(test: Column) -> Column:
-        return F.coalesce(F.sum(F.when(test, c("n"))), F.lit(0))
-
     return long_aggregate(rows, [
-        ({"table_name": F.lit("order_items"), "check": F.lit("shipping_limit_date < order_purchase_timestamp")},
-         {"affected_rows": count(limit < c("order_purchase_timestamp"))}),
-        ({"table_name": F.lit("order_items"),
-          "check": F.lit("shipping_limit_date beyond the period")},
-         {"affected_rows": count(limit >= _instant(late_from))}),
+        ({"table_name": F.lit("order_items"), "check": F.lit(label)},
+         {"affected_rows": F.coalesce(F.sum(F.when(test, c("n"))), F.lit(0))})
+        for label, test in shipping_rules(late_from)
     ])
 
 
-def review_timeline(mk: Marketplace) -> DataFrame:
+def review_rules() -> list[tuple[str, Column]]:
     """Survey before purchase, answer before survey, survey before it could be due.
 
     Calendar days are compared; a survey may go out at delivery or at the estimate.
     """
-    rows = mk.reviews.select(
-        "order_id", "review_creation_date", "review_answer_timestamp"
-    ).join(
-        mk.orders.select(
-            "order_id", "order_purchase_timestamp", "order_delivered_customer_date",
-            "order_estimated_delivery_date",
-        ),
-        "order_id",
-        "left",
-    )
     sent = F.to_date("review_creation_date")
     due = F.to_date(
         F.least("order_delivered_customer_date", "order_estimated_delivery_date")
     )
-    tests = [
+    return [
         ("review_creation_date < purchase day", sent < F.to_date("order_purchase_timestamp")),
         (
             "review_answer_timestamp < review_creation_date",
@@ -459,10 +450,24 @@ def review_timeline(mk: Marketplace) -> DataFrame:
         ),
         ("review_creation_date < day it was due", sent < due),
     ]
+
+
+def review_timeline(mk: Marketplace) -> DataFrame:
+    """Rows that break ``review_rules``."""
+    rows = mk.reviews.select(
+        "order_id", "review_creation_date", "review_answer_timestamp"
+    ).join(
+        mk.orders.select(
+            "order_id", "order_purchase_timestamp", "order_delivered_customer_date",
+            "order_estimated_delivery_date",
+        ),
+        "order_id",
+        "left",
+    )
     return long_aggregate(rows, [
         ({"table_name": F.lit("reviews"), "check": F.lit(label)},
          {"affected_rows": M.rows_where(test)})
-        for label, test in tests
+        for label, test in review_rules()
     ])
 
 
@@ -479,7 +484,7 @@ def text_fields(raw: Marketplace) -> DataFrame:
                     "missing_count": M.rows_where(c(name).isNull()),
                     "empty_string_count": M.rows_where(c(name) == ""),
                     "whitespace_only_count": M.rows_where(M.is_blank(c(name))),
-                    "padded_count": M.rows_where(c(name) != M.stripped(c(name))),
+                    "padded_count": M.rows_where(M.is_padded(c(name))),
                     "minimum_length": F.min(F.length(name)),
                     "maximum_length": F.max(F.length(name)),
                 },

@@ -1,24 +1,25 @@
-"""The validation register, its summary and the readiness gate; the audit findings."""
+"""The validation register, its summary and the readiness gate; the audit findings.
+
+All of them are arithmetic on the stored table of ``quality_counts``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarscope.functions import domain as D
 from bazaarscope.functions import metrics as M
-from bazaarscope.operators.keys import duplicate_profile
-from bazaarscope.operators.profile import long_aggregate, union_all
 from bazaarscope.plans import audit as A
 from bazaarscope.plans import cleaning as C
-from bazaarscope.sources.model import TABLES, Marketplace
+from bazaarscope.plans import quality_counts as Q
+from bazaarscope.sources.model import SCHEMAS, TABLES, Marketplace
 
 c = F.col
 
-PASSED, LIMITED, FAILED = "Passed", "Passed with limitation", "Failed"
-CRITICAL, WARNING = "Critical", "Warning"
 
 def _advice(table: str) -> tuple[str, str, str, str]:
     """Table, key columns, tables it looks up and tables that refer to it, from the keys."""
@@ -28,11 +29,6 @@ def _advice(table: str) -> tuple[str, str, str, str]:
     return table, ", ".join(keys) or "none", ", ".join(parents), ", ".join(children)
 
 
-def grouped(n: Column) -> Column:
-    """A count with thousands separators."""
-    return F.format_number(n, 0)
-
-
 def join_grains(mk: Marketplace) -> DataFrame:
     """Key, neighbours and current size of each table, and whether a join on one of its
     foreign keys alone can repeat rows of the other side."""
@@ -48,210 +44,189 @@ def join_grains(mk: Marketplace) -> DataFrame:
     )
 
 
-def _entry(
-    rows: DataFrame,
-    area: str,
-    table: Column,
-    check: Column,
-    ok: Column,
-    details: Column,
-    severity: str = CRITICAL,
-    otherwise: str = FAILED,
-) -> DataFrame:
-    return rows.select(
-        F.lit(area).alias("validation_area"),
-        table.alias("table_name"),
-        check.alias("check"),
-        F.lit(severity).alias("severity"),
-        F.when(ok, PASSED).otherwise(otherwise).alias("result"),
-        details.alias("details"),
-    )
-
-
-def _affected(rows: DataFrame, area: str, words: str, **kwargs) -> DataFrame:
-    """Entries from rows of table_name, check, affected_rows."""
-    n = c("affected_rows")
-    details = F.concat(grouped(n), F.lit(f" {words}"))
-    return _entry(rows, area, c("table_name"), c("check"), n == 0, details, **kwargs)
+# a count of the table: topic, item, statistic, and how often it is taken
+Term = tuple[str, str, str, int]
 
 
-def _reconciliation(raw: Marketplace, cleaned: Marketplace) -> list[DataFrame]:
-    counts = C.row_counts(raw, cleaned)
-    removed = duplicate_profile(C._geolocation_before_dedup(raw)).select(
-        "excess_duplicate_rows").scalar()
-    expected = c("raw_rows") - F.when(c("table_name") == "geolocation", removed).otherwise(0)
-    rows = counts.withColumn("expected", expected)
+@dataclass
+class Entry:
+    """A line of a report over the counts ``n`` and ``m``, each a sum of terms and a constant.
 
-    def found(want: Column, have: Column) -> Column:
-        return F.concat(F.lit("Expected "), grouped(want), F.lit("; found "), grouped(have))
+    ``words`` may name {n}, {m} and {pct}, n per cent of m.
+    """
 
-    name = c("table_name")
-    return [
-        _entry(rows, "Reconciliation", name, F.lit("Expected row count"),
-               c("expected") == c("cleaned_rows"), found(c("expected"), c("cleaned_rows"))),
-        _entry(counts, "Reconciliation", name, F.lit("Expected column count"),
-               c("raw_columns") == c("cleaned_columns"),
-               found(c("raw_columns"), c("cleaned_columns"))),
-    ]
+    area: str
+    table: str
+    check: str
+    words: str
+    n: Sequence[Term] | int
+    m: Sequence[Term] | int = 0
+    passes: str = "n = 0"
+    severity: str = D.CRITICAL
+    otherwise: str = D.FAILED
 
 
-def _schema(cleaned: Marketplace) -> list[DataFrame]:
-    types = A.column_types(cleaned).groupBy("table_name").agg(
-        F.count_if(~c("position_matches")).alias("misplaced"),
-        F.count_if(~F.coalesce("type_matches", F.lit(False))).alias("mistyped"),
-    )
-    name = c("table_name")
-    return [
-        _entry(types, "Schema", name, F.lit("Expected columns and order"), c("misplaced") == 0,
-               F.concat(grouped(c("misplaced")), F.lit(" columns missing or out of order"))),
-        _entry(types, "Data types", name, F.lit("Expected cleaned data types"),
-               c("mistyped") == 0,
-               F.concat(grouped(c("mistyped")), F.lit(" columns of another type"))),
-    ]
+def _limited(*args, **kwargs) -> Entry:
+    """An entry that is noted, not failed."""
+    return Entry(*args, severity=D.WARNING, otherwise=D.LIMITED, **kwargs)
 
 
-def _keys(cleaned: Marketplace) -> list[DataFrame]:
-    keys = A.key_checks(cleaned)
-    repeats = c("total_rows") - c("unique_combinations")
-    repeated = A.repeated_ids(cleaned)
-    duplicates = A.duplicates(cleaned)
-    return [
-        _entry(keys, "Key integrity", c("table_name"), F.lit("Key completeness and uniqueness"),
-               c("valid_key"),
-               F.concat(F.lit("Missing-key rows: "), grouped(c("missing_key_rows")),
-                        F.lit("; duplicate-key rows: "), grouped(repeats))),
-        _entry(repeated, "Key interpretation", c("table_name"),
-               F.concat(F.lit("Repeated "), c("identifier"), F.lit(" values")),
-               F.lit(False),
-               F.concat(grouped(c("repeated_rows")), F.lit(" rows share an identifier")),
-               severity=WARNING, otherwise=LIMITED),
-        _entry(duplicates, "Duplicate records", c("table_name"),
-               F.lit("No exact duplicate rows"), c("excess_duplicate_rows") == 0,
-               F.concat(grouped(c("excess_duplicate_rows")), F.lit(" exact duplicate rows"))),
-    ]
+def rows_of(topic: str, item: str = "*", factor: int = 1) -> Term:
+    return topic, item, "rows", factor
 
 
-def _relationships(cleaned: Marketplace) -> list[DataFrame]:
-    orphans = A.relationship_orphans(cleaned)
-    gaps = A.parent_coverage(cleaned)
-    return [
-        _entry(orphans, "Referential integrity", F.substring_index(c("relationship"), ".", 1),
-               c("relationship"), c("orphan_rows") == 0,
-               F.concat(grouped(c("orphan_rows")), F.lit(" orphan rows"))),
-        _entry(gaps, "Relationship coverage", F.substring_index(c("relationship"), "_", 1),
-               c("relationship"), c("childless_rows") == 0,
-               F.concat(grouped(c("childless_rows")), F.lit(" parent rows without a child record")),
-               severity=WARNING, otherwise=LIMITED),
-    ]
+def key_of(topic: str, statistic: str, slot: int = 0, factor: int = 1) -> Term:
+    return topic, str(slot), statistic, factor
 
 
-def _row_rules(cleaned: Marketplace) -> list[DataFrame]:
-    """Every rule on single rows of a table, in one pass over the table."""
-    parts = []
-    for table, df in cleaned.items():
-        entries = []
-
-        def add(area, check, n, words, severity=CRITICAL, otherwise=FAILED, to=entries):
-            labels = {
-                "validation_area": area, "check": check, "severity": severity,
-                "otherwise": otherwise, "words": words,
-            }
-            to.append(({k: F.lit(v) for k, v in labels.items()}, {"n": n}))
-
-        unexpected = F.lit(0)
-        for name in df.columns:
-            if name not in D.NULLABLE_COLUMNS.get(table, ()):
-                has_missing = M.rows_where(c(name).isNull()) > 0
-                unexpected = unexpected + has_missing.cast("int")
-        add("Missing values", "Missing values limited to approved columns",
-            unexpected.cast("bigint"), "unexpected columns with missing values")
-        for label, test in C.tidy_rules(table):
-            add("Transformation", label, M.rows_where(test), "violations")
-        area = "Categorical domain" if table == "reviews" else "Numerical domain"
-        for label, test in A.domain_rules().get(table, ()):
-            add(area, label, M.rows_where(test), "invalid rows")
-        if table == "orders":
-            for label, test in A.order_timeline_rules():
-                add("Temporal consistency", label, M.rows_where(test),
-                    "affected rows retained", WARNING, LIMITED)
-        parts.append(long_aggregate(df, entries).withColumn("table_name", F.lit(table)))
-    return [union_all(parts).select(
-        "validation_area",
-        "table_name",
-        "check",
-        "severity",
-        F.when(c("n") == 0, PASSED).otherwise(c("otherwise")).alias("result"),
-        F.concat(grouped(c("n")), F.lit(" "), c("words")).alias("details"),
-    )]
+def _sql(value: str | int) -> str:
+    if isinstance(value, int):
+        return f"{value}L"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _transformations(raw: Marketplace, cleaned: Marketplace) -> list[DataFrame]:
-    changes = C.change_summary(raw).filter(c("step").isin("timestamp", "whole_number"))
-    kept = c("missing_before") == c("missing_after")
-    copies = A.duplicates(cleaned).filter(c("table_name") == "geolocation").select(
-        "table_name",
-        F.lit("no exact duplicates").alias("check"),
-        c("excess_duplicate_rows").alias("violations"),
-    )
-    tidy = C.declared_as_cleaned(raw, cleaned).unionByName(copies)
-    return [
-        _entry(changes, "Transformation", c("table_name"),
-               F.concat(c("column_name"), F.lit(" converted")), kept,
-               F.concat(F.lit("Missing before: "), grouped(c("missing_before")),
-                        F.lit("; after: "), grouped(c("missing_after")))),
-        _entry(tidy, "Transformation", c("table_name"), c("check"), c("violations") == 0,
-               F.concat(grouped(c("violations")), F.lit(" violations"))),
-    ]
+def _values(spark, rows: list[tuple], names: str) -> DataFrame:
+    lines = ", ".join("(" + ", ".join(map(_sql, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {lines} AS v({names})")
 
 
-def _domains(cleaned: Marketplace, states: Sequence[str]) -> list[DataFrame]:
-    domains = cleaned.orders.sparkSession.sql(
-        "SELECT * FROM VALUES ('orders', 'order_status'), ('payments', 'payment_type')"
-        " AS v(table_name, column_name)"
+def _filled(counts: DataFrame, entries: list[Entry]) -> DataFrame:
+    """The entries with their counts ``n`` and ``m``; a count that is not there is 0."""
+    spark = counts.sparkSession
+    terms, lines = [], []
+    for i, e in enumerate(entries):
+        constant = [x if isinstance(x, int) else 0 for x in (e.n, e.m)]
+        lines.append((i, e.area, e.table, e.check, e.words, e.passes, e.severity, e.otherwise, *constant))
+        for side, found in (("n", e.n), ("m", e.m)):
+            if not isinstance(found, int):
+                terms += [(i, side, *term) for term in found]
+    wanted = _values(spark, terms, "entry, side, topic, item, statistic, factor")
+    sums = wanted.join(counts, ["topic", "item", "statistic"]).groupBy("entry").agg(*(
+        F.sum(F.when(c("side") == side, c("n") * c("factor"))).alias(f"{side}_sum") for side in ("n", "m")
+    ))
+    lines = _values(
+        spark, lines, "entry, area, table_name, check, words, passes, severity, otherwise, n_fixed, m_fixed"
     )
-    outside = A.domain_violations(cleaned).groupBy("table_name", "column_name").agg(
-        F.count("*").alias("unexpected")
+    return lines.join(sums, "entry", "left").select(
+        "area", "table_name", "check", "words", "passes", "severity", "otherwise",
+        *((F.coalesce(f"{side}_sum", F.lit(0)) + c(f"{side}_fixed")).alias(side) for side in ("n", "m")),
     )
-    rows = domains.join(outside, ["table_name", "column_name"], "left").na.fill(0, ["unexpected"])
-    codes = A.state_codes(cleaned, states)
-    invalid = c("missing_rows") + c("invalid_state_code_rows")
-    return [
-        _entry(rows, "Categorical domain", c("table_name"),
-               F.concat(c("column_name"), F.lit(" allowed values")), c("unexpected") == 0,
-               F.concat(grouped(c("unexpected")), F.lit(" unexpected values"))),
-        _entry(codes, "Categorical domain", c("table_name"),
-               F.concat(c("column_name"), F.lit(" uses valid state codes")), invalid == 0,
-               F.concat(grouped(invalid), F.lit(" invalid rows"))),
-    ]
-
-
-def _temporal(cleaned: Marketplace, shipping_limit_from: str) -> list[DataFrame]:
-    rows = union_all([
-        A.shipping_limits(cleaned, shipping_limit_from),
-        A.review_timeline(cleaned).filter(c("check") != "review_creation_date < day it was due"),
-    ])
-    return [_affected(rows, "Temporal consistency", "affected rows retained",
-                      severity=WARNING, otherwise=LIMITED)]
 
 
-def _coverage(cleaned: Marketplace) -> list[DataFrame]:
-    gaps = A.untranslated_categories(cleaned).agg(
-        F.count("*").alias("categories"),
-        F.coalesce(F.sum("products"), F.lit(0)).alias("products"),
-    )
-    zips = A.zip_coverage(cleaned)
-    return [
-        _entry(gaps, "Lookup coverage", F.lit("products"),
-               F.lit("Product-category translation coverage"), c("categories") == 0,
-               F.concat(grouped(c("categories")), F.lit(" categories and "),
-                        grouped(c("products")), F.lit(" product rows lack a translation")),
-               severity=WARNING, otherwise=LIMITED),
-        _entry(zips, "Geographic coverage", c("table_name"),
-               F.lit("ZIP-prefix coverage in geolocation"), c("unmatched_rows") == 0,
-               F.concat(grouped(c("unmatched_rows")), F.lit(" rows across "),
-                        grouped(c("unmatched_distinct_prefixes")), F.lit(" ZIP prefixes")),
-               severity=WARNING, otherwise=LIMITED),
+def _text() -> Column:
+    out = c("words")
+    for name, value in (("n", F.format_number("n", 0)), ("m", F.format_number("m", 0)),
+                        ("pct", F.coalesce(F.format_number(M.pct(c("n"), c("m")), 2), F.lit("")))):
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return out
+
+
+# -- the register ------------------------------------------------------------------------------
+def _table_entries(raw: Marketplace, cleaned: Marketplace, table: str) -> list[Entry]:
+    source = Q.raw_topic(table)
+    typed = f"typed copies of {source}"
+    kept = [rows_of(source)]
+    if table == "geolocation":  # cleaning keeps one of each
+        kept = [key_of(typed, "distinct")]
+    declared = [f.name for f in SCHEMAS[table].fields]
+    types = {f.name: f.dataType.simpleString() for f in cleaned[table].schema.fields}
+    misplaced = sum(cleaned[table].columns[i : i + 1] != [name] for i, name in enumerate(declared))
+    mistyped = sum(types.get(f.name) != f.dataType.simpleString() for f in SCHEMAS[table].fields)
+    entries = [
+        Entry("rows", table, "rows after cleaning", "expected {n}, found {m}", kept, [rows_of(table)], "n = m"),
+        Entry("columns", table, "number of columns", "expected {n}, found {m}",
+              len(raw[table].columns), len(cleaned[table].columns), "n = m"),
+        Entry("columns", table, "order of columns", "{n} out of place", misplaced),
+        Entry("columns", table, "types of columns", "{n} differ", mistyped),
+        Entry("keys", table, "distinct rows", "{n} copies",
+              [key_of(f"copies of {table}", "rows"), key_of(f"copies of {table}", "distinct", factor=-1)]),
     ]
+    optional = D.NULLABLE_COLUMNS.get(table, ())
+    for name in declared:
+        if name not in optional:
+            entries.append(Entry("nulls", table, f"{name} IS NOT NULL", "{n} rows", [rows_of(table, Q.null_rule(name))]))
+    for label, _ in C.tidy_rules(table):
+        entries.append(Entry("formats", table, label, "{n} rows", [rows_of(table, label)]))
+    for label, _ in A.domain_rules().get(table, ()):
+        entries.append(Entry("numbers", table, label, "{n} rows", [rows_of(table, label)]))
+    for field in SCHEMAS[table].fields:
+        if C._step(table, field) in ("timestamp", "whole_number"):
+            spelt = raw[table].columns[declared.index(field.name)]
+            before = rows_of(source, Q.null_rule(spelt))
+            after = [before, rows_of(source, Q.failed_rule(field.name))]
+            entries.append(Entry("conversion", table, f"{field.name} as {field.dataType.typeName()}",
+                                 "NULL before: {n}, after: {m}", [before], after, "n = m"))
+    if table in D.STATE_COLUMNS:
+        bad = [rows_of(table, "state code missing"), rows_of(table, "state code unknown")]
+        entries.append(Entry("domains", table, f"{D.STATE_COLUMNS[table]} is a state code", "{n} rows", bad))
+    if table in Q.DOMAINS:
+        column = Q.DOMAINS[table][0]
+        entries.append(Entry("domains", table, f"{column} in its domain", "{n} other values in {m} rows",
+                             [key_of(f"values of {column}", "distinct")], [key_of(f"values of {column}", "rows")]))
+    return entries
+
+
+def _key_terms(table: str) -> tuple[list[Term], list[Term]]:
+    """Rows with an incomplete key, and rows beyond the first of each key."""
+    keys = D.PRIMARY_KEYS[table]
+    topic = f"key of {table}" if len(keys) > 1 else Q.slot_of(table, keys[0])[0]
+    repeats = [rows_of(table), key_of(topic, "distinct", factor=-1)]
+    return [rows_of(table, Q.incomplete_rule(table))], repeats
+
+
+def _entries(raw: Marketplace, cleaned: Marketplace, shipping_limit_from: str) -> list[Entry]:
+    out = [e for table in TABLES for e in _table_entries(raw, cleaned, table)]
+    out.append(Entry("columns", "products", "raw names kept", "{n} of the misspelt names absent",
+                     sum(name not in raw.products.columns for name in D.RENAMED_COLUMNS)))
+    for table, keys in D.PRIMARY_KEYS.items():
+        incomplete, repeats = _key_terms(table)
+        out.append(Entry("keys", table, f"key ({', '.join(keys)})", "{n} incomplete, {m} repeated",
+                         incomplete, repeats, "n + m = 0"))
+    for table, name in Q.OWN_IDS.items():
+        out.append(_limited("keys", table, f"{name} repeats", "in {n} rows", [key_of(name, "repeated_rows")],
+                            passes="false"))
+    for child, key, parent, _ in D.FOREIGN_KEYS:
+        topic, slot = Q.slot_of(child, key)
+        out.append(Entry("links", child, f"{child}.{key} -> {parent}", "{n} rows without parent",
+                         [key_of(topic, "orphan_rows", slot)]))
+    for label, parent, _, child, key in D.PARENT_COVERAGE:
+        topic, slot = Q.slot_of(child, key)
+        out.append(_limited("coverage", parent, label, "{n} rows without child", [key_of(topic, "childless", slot)]))
+    for label, _ in A.order_timeline_rules():
+        out.append(_limited("time", "orders", label, "{n} rows", [rows_of("orders", label)]))
+    for label, _ in A.shipping_rules(shipping_limit_from):
+        out.append(_limited("time", "order_items", label, "{n} rows", [rows_of(Q.BESIDE_ORDERS, label)]))
+    for label, _ in A.review_rules()[:2]:
+        out.append(_limited("time", "reviews", label, "{n} rows", [rows_of(Q.BESIDE_ORDERS, label)]))
+    topic, slot = Q.slot_of("products", "product_category_name")
+    out.append(_limited("lookup", "products", "product_category_name in category_translation",
+                        "{n} categories with {m} products are not",
+                        [key_of(topic, "orphans", slot)], [key_of(topic, "orphan_rows", slot)]))
+    for table in ("customers", "sellers"):
+        column = D.ZIP_COLUMNS[table]
+        topic, slot = Q.slot_of(table, column)
+        missing = [key_of(topic, "orphan_rows", slot), rows_of(table, Q.null_rule(column))]
+        out.append(_limited("places", table, f"{column} in geolocation", "{n} rows with {m} prefixes are not",
+                            missing, [key_of(topic, "orphans", slot)]))
+    return out
+
+
+def register_of(
+    counts: DataFrame, raw: Marketplace, cleaned: Marketplace, shipping_limit_from: str = "2019-01-01"
+) -> DataFrame:
+    """The register from counts; of the tables only names and types are looked at."""
+    rows = _filled(counts, _entries(raw, cleaned, shipping_limit_from))
+    ok = F.lit(False)
+    for test in ("n = 0", "n = m", "n + m = 0"):
+        ok = F.when(c("passes") == test, F.expr(test)).otherwise(ok)
+    return rows.select(
+        c("area").alias("validation_area"),
+        "table_name",
+        "check",
+        "severity",
+        F.when(ok, D.PASSED).otherwise(c("otherwise")).alias("result"),
+        _text().alias("details"),
+    )
 
 
 def register(
@@ -260,23 +235,17 @@ def register(
     shipping_limit_from: str = "2019-01-01",
     states: Sequence[str] = D.STATE_CODES,
 ) -> DataFrame:
-    """All validation results in long form; about 150 rows whatever the data size."""
-    return union_all([
-        *_reconciliation(raw, cleaned),
-        *_schema(cleaned),
-        *_keys(cleaned),
-        *_relationships(cleaned),
-        *_row_rules(cleaned),
-        *_transformations(raw, cleaned),
-        *_domains(cleaned, states),
-        *_temporal(cleaned, shipping_limit_from),
-        *_coverage(cleaned),
-    ])
+    """All validation results in long form; some 200 rows whatever the data size.
+
+    The counts are made and stored first; readers of several reports do that once, with
+    ``quality_counts.store``, and use ``register_of`` and ``findings_of``.
+    """
+    return register_of(Q.counts(raw, cleaned, shipping_limit_from, states), raw, cleaned, shipping_limit_from)
 
 
 def in_report_order(entries: DataFrame) -> DataFrame:
     """Critical first, failures first."""
-    result = F.when(c("result") == FAILED, 0).when(c("result") == LIMITED, 1).otherwise(2)
+    result = F.when(c("result") == D.FAILED, 0).when(c("result") == D.LIMITED, 1).otherwise(2)
     return entries.orderBy("severity", result, "validation_area", "table_name", "check")
 
 
@@ -286,91 +255,86 @@ def summary(entries: DataFrame) -> DataFrame:
 
 def readiness(entries: DataFrame) -> DataFrame:
     """One row: ready unless a critical check failed."""
+    critical = c("severity") == D.CRITICAL
     row = entries.agg(
-        F.count_if(c("severity") == CRITICAL).alias("critical_checks"),
-        F.count_if((c("severity") == CRITICAL) & (c("result") == FAILED)).alias(
-            "critical_failures"),
-        F.count_if(c("result") == LIMITED).alias("documented_limitations"),
+        F.count_if(critical).alias("critical_checks"),
+        F.count_if(critical & (c("result") == D.FAILED)).alias("critical_failures"),
+        F.count_if(c("result") == D.LIMITED).alias("documented_limitations"),
     )
-    ready = F.when(c("critical_failures") == 0, "Ready with documented limitations")
-    return row.withColumn("database_readiness", ready.otherwise("Not ready"))
+    ready = F.when(c("critical_failures") == 0, D.READY)
+    return row.withColumn("database_readiness", ready.otherwise(D.NOT_READY))
 
 
 def require_ready(entries: DataFrame) -> None:
     """Raise with the failed critical checks; the register itself is small."""
-    failed = entries.filter((c("severity") == CRITICAL) & (c("result") == FAILED)).collect()
+    failed = entries.filter((c("severity") == D.CRITICAL) & (c("result") == D.FAILED)).collect()
     if failed:
         raise AssertionError([f"{r.table_name}: {r.check}: {r.details}" for r in failed])
 
 
 # -- findings of the audit ---------------------------------------------------------------------
-def findings(raw: Marketplace, cleaned: Marketplace, shipping_limit_from: str) -> DataFrame:
+def _findings(raw: Marketplace, shipping_limit_from: str) -> list[Entry]:
+    """``check`` holds the column the finding is about."""
+    out = []
+    for table in TABLES:
+        source = Q.raw_topic(table)
+        for name in raw[table].columns:
+            out.append(Entry("missing", table, name, "{n} of {m} values missing ({pct} %)",
+                             [rows_of(source, Q.null_rule(name))], [rows_of(source)]))
+            untidy = [rows_of(source, label) for label in Q.text_labels(name)]
+            out.append(Entry("text", table, name, "{n} empty, blank or padded values", untidy))
+        for field in SCHEMAS[table].fields:
+            if C._may_fail(table, field):
+                out.append(Entry("conversion", table, field.name, "{n} values do not convert",
+                                 [rows_of(source, Q.failed_rule(field.name))]))
+        copies = f"copies of {source}"
+        out.append(Entry("copies", table, "*", "{n} rows beyond one copy of each",
+                         [key_of(copies, "rows"), key_of(copies, "distinct", factor=-1)]))
+    for table, keys in D.PRIMARY_KEYS.items():
+        incomplete, repeats = _key_terms(table)
+        out.append(Entry("keys", table, ", ".join(keys), "{n} rows break the key", [*incomplete, *repeats]))
+    out.append(Entry("keys", "reviews", "review_id", "{n} rows share an identifier",
+                     [key_of("review_id", "repeated_rows")]))
+    for child, key, parent, _ in D.FOREIGN_KEYS:
+        topic, slot = Q.slot_of(child, key)
+        out.append(Entry("links", child, key, f"{{n}} rows without {parent}", [key_of(topic, "orphan_rows", slot)]))
+    for label, parent, _, child, key in D.PARENT_COVERAGE:
+        topic, slot = Q.slot_of(child, key)
+        out.append(Entry("coverage", parent, key, f"{{n}} {label}", [key_of(topic, "childless", slot)]))
+    for table, rules in A.audit_rules().items():
+        out += [Entry("numbers", table, label, "{n} rows", [rows_of(table, label)]) for label, _ in rules]
+    for table, names in D.OUTLIER_COLUMNS.items():
+        out += [Entry("outliers", table, name, "{n} rows outside 1.5 IQR, for review only",
+                      [(f"{table}.{name}", "*", "outliers", 1)]) for name in names]
+    timed = (
+        ("orders", "orders", A.order_timeline_rules()),
+        ("order_items", Q.BESIDE_ORDERS, A.shipping_rules(shipping_limit_from)),
+        ("reviews", Q.BESIDE_ORDERS, A.review_rules()),
+    )
+    for table, topic, rules in timed:
+        out += [Entry("time", table, label, "{n} rows", [rows_of(topic, label)]) for label, _ in rules]
+    for table, column in D.CITY_COLUMNS.items():
+        out.append(Entry("text", table, column, "{n} numeric-only values", [rows_of(table, "numeric city")]))
+    topic, slot = Q.slot_of("products", "product_category_name")
+    out.append(Entry("lookup", "products", "product_category_name", "{n} categories without translation",
+                     [key_of(topic, "orphans", slot)]))
+    out.append(Entry("domains", "payments", "payment_type", "{n} rows use not_defined",
+                     [rows_of("payments", "payment_type = not_defined")]))
+    return out
+
+
+def findings_of(counts: DataFrame, raw: Marketplace, shipping_limit_from: str) -> DataFrame:
     """What the audit of the raw data would have somebody look at.
 
     Text, gaps and conversions are judged on the raw tables; keys, numbers and time on
     their typed values.
     """
-
-    def finding(rows: DataFrame, area: str, table: Column, column: Column, text: Column):
-        return rows.select(
-            F.lit(area).alias("audit_area"),
-            table.alias("table_name"),
-            column.alias("column_name"),
-            text.alias("finding"),
-        )
-
-    table, column = c("table_name"), c("column_name")
-
-    def count(name: str, words: str) -> Column:
-        return F.concat(grouped(c(name)), F.lit(f" {words}"))
-
-    text_issues = c("empty_string_count") + c("whitespace_only_count") + c("padded_count")
-    timeline = union_all([
-        A.order_timeline(cleaned),
-        A.shipping_limits(cleaned, shipping_limit_from),
-        A.review_timeline(cleaned),
-    ]).filter(c("affected_rows") > 0)
-    check = F.concat(c("check"), F.lit(": "), grouped(c("affected_rows")), F.lit(" rows"))
-    missing = F.concat(
-        grouped(c("missing_count")), F.lit(" missing values ("),
-        F.format_number(c("missing_pct"), 2), F.lit("%)"),
+    rows = _filled(counts, _findings(raw, shipping_limit_from)).where(c("n") > 0)
+    return rows.select(
+        c("area").alias("audit_area"), "table_name", c("check").alias("column_name"), _text().alias("finding"),
+        c("n").alias("affected"),
     )
-    parts = [
-        finding(A.missing_values(raw), "Missing values", table, column, missing),
-        finding(A.duplicates(raw).filter(c("excess_duplicate_rows") > 0), "Duplicates", table,
-                F.lit("All columns"),
-                count("excess_duplicate_rows", "rows beyond one copy of each")),
-        finding(A.key_checks(cleaned).filter(~c("valid_key")), "Key integrity", table,
-                c("key_columns"), F.lit("not a complete and unique key")),
-        finding(A.repeated_ids(cleaned).filter(
-            (c("identifier") == "review_id") & (c("repeated_rows") > 0)),
-            "Key interpretation", table, c("identifier"),
-            count("repeated_rows", "rows share an identifier")),
-        finding(A.relationship_orphans(cleaned).filter(c("orphan_rows") > 0),
-                "Referential integrity", F.substring_index(c("relationship"), ".", 1),
-                c("relationship"), count("orphan_rows", "orphan rows")),
-        finding(A.parent_coverage(cleaned).filter(c("childless_rows") > 0),
-                "Relationship coverage", F.lit("Multiple"), c("relationship"),
-                count("childless_rows", "parent rows without a child record")),
-        finding(C.violations(raw).filter(c("failures") > 0), "Data types", table, column,
-                count("failures", "values do not convert")),
-        finding(A.numeric_rule_checks(cleaned).filter(c("affected_rows") > 0),
-                "Numerical validation", table, c("check"), count("affected_rows", "rows")),
-        finding(A.outliers(cleaned).filter(c("flagged_rows") > 0), "Statistical review", table,
-                column, count("flagged_rows", "rows outside 1.5 IQR, for review only")),
-        finding(timeline, "Date consistency", table, F.lit("See check"), check),
-        finding(A.text_fields(raw).filter(text_issues > 0), "Text quality", table, column,
-                F.concat(grouped(text_issues), F.lit(" empty, blank or padded values"))),
-        finding(A.numeric_city_names(cleaned).filter(c("numeric_only_rows") > 0),
-                "Text quality", table, column,
-                count("numeric_only_rows", "numeric-only city values")),
-        finding(A.lookup_coverage(cleaned).filter(
-            (c("affected_count") > 0) & c("check").startswith("Distinct")),
-            "Lookup coverage", F.lit("products"), F.lit("product_category_name"),
-            count("affected_count", "categories without translation")),
-        finding(cleaned.payments.agg(
-            M.rows_where(c("payment_type") == "not_defined").alias("n")).filter(c("n") > 0),
-            "Categorical validation", F.lit("payments"), F.lit("payment_type"),
-            count("n", "rows use not_defined")),
-    ]
-    return union_all(parts).withColumn("requires_investigation", F.lit("Yes"))
+
+
+def findings(raw: Marketplace, cleaned: Marketplace, shipping_limit_from: str) -> DataFrame:
+    return findings_of(Q.counts(raw, cleaned, shipping_limit_from), raw, shipping_limit_from)

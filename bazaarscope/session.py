@@ -36,6 +36,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         SparkSession.builder.master(f"local[{cores}]")
         .appName("bazaarscope")
         .config("spark.ui.enabled", "false")
+        # plans with very many rules per row compile to methods that the JVM would only interpret
+        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         # recording the call site of every column expression slows plan building

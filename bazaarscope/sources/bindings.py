@@ -195,6 +195,18 @@ class _Tables:
         return self.spark.read.schema(_FILES[name]).parquet(f"{self.folder}/{name}.parquet")
 
 
+def fingerprint(spark: SparkSession, folder: str) -> tuple:
+    """Names, lengths and times of the files that the tables are read from."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in _FILES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        for status in [fs.getFileStatus(path), *fs.listStatus(path)]:
+            out.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def bind(spark: SparkSession, folder: str) -> Marketplace:
     """The cleaned marketplace. Ids keep the integer type of the files."""
     t = _Tables(spark, folder)

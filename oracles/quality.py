@@ -91,6 +91,11 @@ WATCHED = {
     "products": ["product_weight_g", "product_length_cm", "product_height_cm",
                  "product_width_cm"],
 }
+OPTIONAL = {
+    "orders": ["order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date"],
+    "reviews": ["review_comment_title", "review_comment_message"],
+    "products": ["product_category_name", *NUMBERS["products"]],
+}
 STATES = "'AC','AL','AP','AM','BA','CE','DF','ES','GO','MA','MT','MS','MG','PA','PB','PR','PE'," \
          "'PI','RJ','RN','RS','RO','RR','SC','SP','SE','TO'"
 
@@ -683,81 +688,70 @@ def _entry(area, table, check, ok, details, source, severity="Critical", otherwi
 
 def register_rows() -> str:
     limited = {"severity": "Warning", "otherwise": "Passed with limitation"}
-    tables = union(f"SELECT '{t}' AS t, {len(cols)} AS w, (SELECT count(*) FROM {role}) AS k, "
-                   f"(SELECT count(*) FROM {raw_role(t)}) AS raw_k"
-                   for t, (role, cols) in COLUMNS.items())
-    parts = [
-        # geolocation is expected to lose exactly its duplicates
-        _entry("Reconciliation", "t", "'Expected row count'", "true",
-               f"'Expected ' || {_f('k')} || '; found ' || {_f('k')}", tables),
-        _entry("Reconciliation", "t", "'Expected column count'", "true",
-               f"'Expected ' || {_f('w')} || '; found ' || {_f('w')}", tables),
-        _entry("Schema", "t", "'Expected columns and order'", "true",
-               "'0 columns missing or out of order'", tables),
-        _entry("Data types", "t", "'Expected cleaned data types'", "true",
-               "'0 columns of another type'", tables),
-        _entry("Key integrity", "table_name", "'Key completeness and uniqueness'",
-               "missing_key_rows = 0 AND total_rows = unique_combinations",
-               f"'Missing-key rows: ' || {_f('missing_key_rows')} || '; duplicate-key rows: ' || "
-               f"{_f('total_rows - unique_combinations')}", _KEY_ROWS),
-        _entry("Key interpretation", "table_name", "'Repeated ' || identifier || ' values'",
-               "false", f"{_f('repeated_rows')} || ' rows share an identifier'", _REPEATS,
-               **limited),
-        _entry("Duplicate records", "table_name", "'No exact duplicate rows'",
-               "excess_duplicate_rows = 0",
-               f"{_f('excess_duplicate_rows')} || ' exact duplicate rows'", _DUP_ROWS),
-        _entry("Referential integrity", "split_part(relationship, '.', 1)", "relationship",
-               "orphan_rows = 0", f"{_f('orphan_rows')} || ' orphan rows'", _ORPHANS),
-        _entry("Relationship coverage", "split_part(relationship, '_', 1)", "relationship",
-               "childless_rows = 0",
-               f"{_f('childless_rows')} || ' parent rows without a child record'", _COVERAGE,
-               **limited),
-        _entry("Missing values", "t", "'Missing values limited to approved columns'", "true",
-               "'0 unexpected columns with missing values'", tables),
-    ]
+    parts = []
     for table, (role, columns) in COLUMNS.items():
+        k = f"(SELECT count(*) FROM {role})"
+        width = len(columns)
+        none = "SELECT 0 AS k"
+        dup = f"SELECT * FROM ({_DUP_ROWS}) WHERE table_name = '{table}'"
+        parts += [
+            # geolocation is expected to lose exactly its duplicates
+            _entry("rows", f"'{table}'", "'rows after cleaning'", "true",
+                   f"'expected ' || {_f(k)} || ', found ' || {_f(k)}", none),
+            _entry("columns", f"'{table}'", "'number of columns'", "true",
+                   f"'expected {width}, found {width}'", none),
+            _entry("columns", f"'{table}'", "'order of columns'", "true", "'0 out of place'", none),
+            _entry("columns", f"'{table}'", "'types of columns'", "true", "'0 differ'", none),
+            _entry("keys", "table_name", "'distinct rows'", "excess_duplicate_rows = 0",
+                   f"{_f('excess_duplicate_rows')} || ' copies'", dup),
+        ]
         for a, b in columns:
+            if b not in OPTIONAL.get(table, ()):
+                parts.append(_entry("nulls", f"'{table}'", f"'{b} IS NOT NULL'", "k = 0",
+                                    f"{_f('k')} || ' rows'",
+                                    f"SELECT count(*) FILTER ({a} IS NULL) AS k FROM {role}"))
             if a in TIMES or (table == "products" and b in NUMBERS["products"]):
-                n = f"(SELECT count(*) FILTER ({a} IS NULL) FROM {role})"
-                parts.append(_entry(
-                    "Transformation", f"'{table}'", f"'{b} converted'", "true",
-                    f"'Missing before: ' || {_f(n)} || '; after: ' || {_f(n)}", "SELECT 1"))
-        checks = [f"{b} is trimmed and not blank" for b in TEXT.get(table, [])]
-        checks += [f"{ZIPS[table]} has five digits"] if table in ZIPS else []
-        checks += ["declared names and types"]
-        checks += ["no exact duplicates"] if table == "geolocation" else []
-        checks += ["raw names kept"] if table == "products" else []
-        for check in checks:
-            parts.append(_entry("Transformation", f"'{table}'", f"'{check}'", "true",
-                                "'0 violations'", "SELECT 1"))
+                kind = "timestamp_ntz" if a in TIMES else "integer"
+                parts.append(_entry("conversion", f"'{table}'", f"'{b} as {kind}'", "true",
+                                    f"'NULL before: ' || {_f('k')} || ', after: ' || {_f('k')}",
+                                    f"SELECT count(*) FILTER ({a} IS NULL) AS k FROM {role}"))
+        tidy = [f"{b} is trimmed and not blank" for b in TEXT.get(table, [])]
+        tidy += [f"{ZIPS[table]} has five digits"] if table in ZIPS else []
+        parts += [_entry("formats", f"'{table}'", f"'{x}'", "true", "'0 rows'", none) for x in tidy]
     state_bad = "missing_rows + invalid_state_code_rows"
     parts += [
-        _entry("Categorical domain", "'orders'", "'order_status allowed values'", "true",
-               "'0 unexpected values'", "SELECT 1"),
-        _entry("Categorical domain", "'payments'", "'payment_type allowed values'", "true",
-               "'0 unexpected values'", "SELECT 1"),
-        _entry("Categorical domain", "table_name", "column_name || ' uses valid state codes'",
-               f"{state_bad} = 0", f"{_f(state_bad)} || ' invalid rows'", _STATE_ROWS),
-        _entry("Categorical domain", "table_name", '"check"', "affected_rows = 0",
-               f"{_f('affected_rows')} || ' invalid rows'",
-               f"SELECT * FROM ({_DOMAIN_RULES}) WHERE table_name = 'reviews'"),
-        _entry("Numerical domain", "table_name", '"check"', "affected_rows = 0",
-               f"{_f('affected_rows')} || ' invalid rows'",
-               f"SELECT * FROM ({_DOMAIN_RULES}) WHERE table_name <> 'reviews'"),
-        _entry("Temporal consistency", "table_name", '"check"', "affected_rows = 0",
-               f"{_f('affected_rows')} || ' affected rows retained'",
+        _entry("columns", "'products'", "'raw names kept'", "true",
+               "'0 of the misspelt names absent'", "SELECT 0"),
+        _entry("keys", "table_name", "'key (' || replace(key_columns, ' + ', ', ') || ')'",
+               "missing_key_rows = 0 AND total_rows = unique_combinations",
+               f"{_f('missing_key_rows')} || ' incomplete, ' || "
+               f"{_f('total_rows - unique_combinations')} || ' repeated'", _KEY_ROWS),
+        _entry("keys", "table_name", "identifier || ' repeats'", "false",
+               f"'in ' || {_f('repeated_rows')} || ' rows'", _REPEATS, **limited),
+        _entry("links", "split_part(relationship, '.', 1)", "relationship", "orphan_rows = 0",
+               f"{_f('orphan_rows')} || ' rows without parent'", _ORPHANS),
+        _entry("coverage", "split_part(relationship, '_', 1)", "relationship", "childless_rows = 0",
+               f"{_f('childless_rows')} || ' rows without child'", _COVERAGE, **limited),
+        _entry("domains", "'orders'", "'order_status in its domain'", "true",
+               "'0 other values in 0 rows'", "SELECT 0"),
+        _entry("domains", "'payments'", "'payment_type in its domain'", "true",
+               "'0 other values in 0 rows'", "SELECT 0"),
+        _entry("domains", "table_name", "column_name || ' is a state code'", f"{state_bad} = 0",
+               f"{_f(state_bad)} || ' rows'", _STATE_ROWS),
+        _entry("numbers", "table_name", '"check"', "affected_rows = 0",
+               f"{_f('affected_rows')} || ' rows'", _DOMAIN_RULES),
+        _entry("time", "table_name", '"check"', "affected_rows = 0",
+               f"{_f('affected_rows')} || ' rows'",
                f"{_ORDER_TIMELINE} UNION ALL {_SHIPPING} UNION ALL SELECT * FROM "
                f"({_REVIEW_TIMELINE}) WHERE \"check\" <> 'review_creation_date < day it was due'",
                **limited),
-        _entry("Lookup coverage", "'products'", "'Product-category translation coverage'",
-               "k = 0", f"{_f('k')} || ' categories and ' || {_f('p')} || "
-               "' product rows lack a translation'",
+        _entry("lookup", "'products'", "'product_category_name in category_translation'", "k = 0",
+               f"{_f('k')} || ' categories with ' || {_f('p')} || ' products are not'",
                f"SELECT count(DISTINCT source) AS k, count(*) AS p FROM m_products WHERE source "
                f"NOT IN (SELECT source FROM m_lookup)", **limited),
-        _entry("Geographic coverage", "table_name", "'ZIP-prefix coverage in geolocation'",
-               "unmatched_rows = 0",
-               f"{_f('unmatched_rows')} || ' rows across ' || "
-               f"{_f('unmatched_distinct_prefixes')} || ' ZIP prefixes'", _ZIP_ROWS, **limited),
+        _entry("places", "table_name", "column_name || ' in geolocation'", "unmatched_rows = 0",
+               f"{_f('unmatched_rows')} || ' rows with ' || "
+               f"{_f('unmatched_distinct_prefixes')} || ' prefixes are not'", _ZIP_ROWS, **limited),
     ]
     return union(parts)
 
@@ -775,55 +769,76 @@ FROM ({register_rows()})""")
 
 
 def findings() -> str:
-    def part(area, table, column, text, source, where):
+    def part(area, table, column, text, source, n):
         return (f"SELECT '{area}' AS audit_area, {table} AS table_name, {column} AS column_name, "
-                f"{text} AS finding, 'Yes' AS requires_investigation FROM ({source}) WHERE {where}")
+                f"{_f(n)} || {text} AS finding, {big(n)} AS affected FROM ({source}) WHERE {n} > 0")
 
     raw_missing = _missing(raw=True)
     for name in ("name", "description"):
         raw_missing = raw_missing.replace(f"'product_{name}_length'", f"'product_{name}_lenght'")
     bad = "empty_string_count + whitespace_only_count + padded_count"
+    child_of = union(f"SELECT '{label}' AS relationship, '{t}' AS t, '{key}' AS k" for label, t, key, _ in GAPS)
     return sql(union([
-        part("Missing values", "table_name", "column_name",
-             f"{_f('missing_count')} || ' missing values (' || printf('%.2f', missing_pct) || '%)'",
-             raw_missing, "true"),
-        part("Duplicates", "table_name", "'All columns'",
-             f"{_f('excess_duplicate_rows')} || ' rows beyond one copy of each'", _DUP_RAW,
-             "excess_duplicate_rows > 0"),
-        part("Key integrity", "table_name", "key_columns", "'not a complete and unique key'",
-             _KEY_ROWS, "missing_key_rows > 0 OR total_rows <> unique_combinations"),
-        part("Key interpretation", "table_name", "identifier",
-             f"{_f('repeated_rows')} || ' rows share an identifier'", _REPEATS,
-             "identifier = 'review_id' AND repeated_rows > 0"),
-        part("Referential integrity", "split_part(relationship, '.', 1)", "relationship",
-             f"{_f('orphan_rows')} || ' orphan rows'", _ORPHANS, "orphan_rows > 0"),
-        part("Relationship coverage", "'Multiple'", "relationship",
-             f"{_f('childless_rows')} || ' parent rows without a child record'", _COVERAGE,
-             "childless_rows > 0"),
-        part("Numerical validation", "table_name", '"check"',
-             f"{_f('affected_rows')} || ' rows'", _AUDIT_RULES, "affected_rows > 0"),
-        part("Statistical review", "table_name", "column_name",
-             f"{_f('flagged_rows')} || ' rows outside 1.5 IQR, for review only'", _OUTLIERS,
-             "flagged_rows > 0"),
-        part("Date consistency", "table_name", "'See check'",
-             f"\"check\" || ': ' || {_f('affected_rows')} || ' rows'",
+        part("missing", "table_name", "column_name",
+             f"' of ' || {_f('total_rows')} || ' values missing (' || printf('%.2f', missing_pct) || ' %)'",
+             raw_missing, "missing_count"),
+        part("copies", "table_name", "'*'", "' rows beyond one copy of each'", _DUP_RAW,
+             "excess_duplicate_rows"),
+        part("keys", "table_name", "replace(key_columns, ' + ', ', ')", "' rows break the key'",
+             _KEY_ROWS, "(missing_key_rows + total_rows - unique_combinations)"),
+        part("keys", "table_name", "identifier", "' rows share an identifier'",
+             f"SELECT * FROM ({_REPEATS}) WHERE identifier = 'review_id'", "repeated_rows"),
+        part("links", "split_part(relationship, '.', 1)",
+             "split_part(split_part(relationship, '.', 2), ' ', 1)",
+             "' rows without ' || split_part(relationship, '-> ', 2)", _ORPHANS, "orphan_rows"),
+        part("coverage", "t", "k", "' ' || relationship",
+             f"SELECT * FROM ({_COVERAGE}) JOIN ({child_of}) USING (relationship)",
+             "childless_rows"),
+        part("numbers", "table_name", '"check"', "' rows'", _AUDIT_RULES, "affected_rows"),
+        part("outliers", "table_name", "column_name", "' rows outside 1.5 IQR, for review only'",
+             _OUTLIERS, "flagged_rows"),
+        part("time", "table_name", '"check"', "' rows'",
              f"{_ORDER_TIMELINE} UNION ALL {_SHIPPING} UNION ALL {_REVIEW_TIMELINE}",
-             "affected_rows > 0"),
-        part("Text quality", "table_name", "column_name",
-             f"{_f(bad)} || ' empty, blank or padded values'", _TEXT_FIELDS, f"{bad} > 0"),
-        part("Text quality", "table_name", "column_name",
-             f"{_f('numeric_only_rows')} || ' numeric-only city values'", _CITIES,
-             "numeric_only_rows > 0"),
-        part("Lookup coverage", "'products'", "'product_category_name'",
-             f"{_f('k')} || ' categories without translation'",
+             "affected_rows"),
+        part("text", "table_name", "column_name", "' empty, blank or padded values'", _TEXT_FIELDS,
+             f"({bad})"),
+        part("text", "table_name", "column_name", "' numeric-only values'", _CITIES,
+             "numeric_only_rows"),
+        part("lookup", "'products'", "'product_category_name'", "' categories without translation'",
              "SELECT count(DISTINCT source) AS k FROM m_products WHERE source NOT IN "
-             "(SELECT source FROM m_lookup)", "k > 0"),
-        part("Categorical validation", "'payments'", "'payment_type'",
-             f"{_f('k')} || ' rows use not_defined'",
-             "SELECT count(*) AS k FROM m_payments WHERE method = 'not_defined'", "k > 0"),
+             "(SELECT source FROM m_lookup)", "k"),
+        part("domains", "'payments'", "'payment_type'", "' rows use not_defined'",
+             "SELECT count(*) AS k FROM m_payments WHERE method = 'not_defined'", "k"),
     ]))
 
 
+def quarantined() -> str:
+    """Rows that break a watched rule, by their number in the file; the raw text always converts."""
+    shipping = "shipping_limit_date beyond the period"
+    rules = {
+        "orders": [(x, x) for x in (
+            "order_approved_at < order_purchase_timestamp",
+            "order_delivered_carrier_date < order_purchase_timestamp",
+            "order_delivered_customer_date < order_purchase_timestamp",
+            "order_delivered_customer_date < order_delivered_carrier_date",
+            "order_estimated_delivery_date < order_purchase_timestamp")],
+        "order_items": [*((x, x) for x in ("order_item_id < 1", "price <= 0", "freight_value < 0")),
+                        (shipping, "shipping_limit_date >= '2001-01-01'")],
+        "payments": [(x, x) for x in (
+            "payment_sequential < 1", "payment_installments < 0", "payment_value < 0",
+            "payment_value <= 0", "payment_installments <= 0")],
+        "products": [(x, x) for x in (
+            "product_weight_g <= 0", "product_length_cm <= 0", "product_height_cm <= 0",
+            "product_width_cm <= 0")],
+    }
+    parts = []
+    for table, tests in rules.items():
+        labels = ", ".join(f"CASE WHEN {test} THEN '{label}' END" for label, test in tests)
+        parts.append(f"SELECT '{table}' AS table_name, source_row, concat_ws('; ', {labels}) AS rules FROM "
+                     f"(SELECT *, row_number() OVER () - 1 AS source_row FROM m_t_{table})")
+    return sql(f"SELECT * FROM ({union(parts)}) WHERE rules <> ''")
+
+
 SQL = {
     **{f"clean_{table}": sql(cleaned(table)) for table in COLUMNS},
     "cleaning_changes": change_summary(),
@@ -866,6 +881,7 @@ SQL = {
     "validation_register": REGISTER,
     "validation_summary": REGISTER_SUMMARY,
     "validation_readiness": READINESS,
+    "quarantine_rows": quarantined(),
     "load_parquet_counts": LOAD_COUNTS,
     "load_csv_roundtrip_counts": LOAD_COUNTS,
 }

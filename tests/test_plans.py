@@ -1,10 +1,14 @@
 """Shapes the physical plans must keep."""
 
 import re
+from collections import Counter
 
 import pytest
 
 import __spark_entry__ as entry_points
+from bazaarscope.plans import cleaning, quality_counts
+from bazaarscope.sources import bindings
+from bazaarscope.sources.model import Marketplace
 
 NAMES = [
     *entry_points._reports(), "fact_orders", "fact_order_categories", "fact_seller_orders",
@@ -100,3 +104,19 @@ def test_leading_rows_are_kept_per_task(spark, sf_dir, name):
     plan = plan_of(spark, name, sf_dir)
     assert "TakeOrderedAndProject" in plan or "LocalLimit" in plan
     assert "_bucket" not in plan
+
+
+def test_quality_counts_read_a_table_three_times_at_most(spark, sf_dir, tmp_path):
+    """Once as text, once cleaned, and orders, items and reviews once for rules beside the order."""
+    for table, df in bindings.bind_raw(spark, sf_dir).items():
+        df.write.parquet(str(tmp_path / table))
+    raw = Marketplace({t: spark.read.parquet(str(tmp_path / t)) for t in bindings.SCHEMAS})
+    found = quality_counts.tallied(raw, cleaning.clean(raw), bindings.SHIPPING_LIMIT_FROM)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = Counter(m.rsplit("/", 1)[1] for m in re.findall(r"FileScan parquet [^\n]*?Location: \w+\([^)]*\)\[([^\],]*)", plan))
+    assert set(scans) <= set(bindings.SCHEMAS) and len(scans) == 9
+    assert max(scans.values()) <= 3, scans
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
