@@ -16,7 +16,7 @@ from bazaarscope.plans import audit, categories, cleaning, customers, delivery
 from bazaarscope.plans import facts, load_checks, marketplace, measures, payments  # noqa: E402
 from bazaarscope.plans import quality_counts, quarantine, reconcile, register, sellers, star_checks  # noqa: E402
 from bazaarscope.session import scratch_path, tune  # noqa: E402
-from bazaarscope.sources import bindings, raw_csv, sink  # noqa: E402
+from bazaarscope.sources import bindings, raw_csv, sink, versions  # noqa: E402
 from bazaarscope.sources.bindings import PERIODS, SHIPPING_LIMIT_FROM  # noqa: E402
 from bazaarscope.sources.model import SCHEMAS, Marketplace  # noqa: E402
 from oracles import quality, reports, star  # noqa: E402
@@ -312,7 +312,7 @@ def _cleaned(table: str) -> Query:
 
 
 def _id_summary(mk: Marketplace) -> DataFrame:
-    return load_checks.with_surrogate_ids(mk).agg(
+    return versions.with_stable_ids(mk.geolocation, None, 0).agg(
         F.count("*").alias("rows"),
         F.count_distinct("geolocation_id").alias("distinct_ids"),
         F.min("geolocation_id").alias("first_id"),
@@ -399,10 +399,33 @@ LOAD_SECTIONS = {
     "unusual_values": load_checks.unusual_values,
     "temporal_anomalies": lambda mk: load_checks.temporal_anomalies(mk, SHIPPING_LIMIT_FROM),
     "categories": load_checks.categories,
-    "geolocation": load_checks.geolocation,
 }
 
 
+def _loaded_geolocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load all tables as a version and look at the ids that were stored."""
+    cleaned = cleaning.clean(bindings.bind_raw(tune(spark), sf_dir))
+    folder = scratch_path(spark, "versions")
+    versions.load(cleaned, spark, folder, "first")
+    mk = versions.read(spark, folder)
+    found = load_checks.geolocation(mk.replaced(geolocation=mk.geolocation.drop(versions.GEO_ID)), mk.geolocation)
+    return _iso(load_checks.judged(found, load_checks.PUBLISHED["geolocation"]))
+
+
+def _versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load, load again, and append all but the reviews below five: rows of each table by version."""
+    cleaned = cleaning.clean(bindings.bind_raw(tune(spark), sf_dir))
+    folder = scratch_path(spark, "versions")
+    versions.load(cleaned, spark, folder, "first")
+    versions.load(cleaned, spark, folder, "again")
+    versions.load(cleaned.replaced(reviews=cleaned.reviews.where("review_score = 5")), spark, folder, "more", append=True)
+    parts = []
+    for version in (1, versions.current(spark, folder)["version"]):
+        counts = audit.inventory(versions.read(spark, folder, version)).select("table_name", "rows")
+        parts.append(counts.withColumn("version", F.lit(version)))
+    return parts[0].unionByName(parts[1])
+
+
 def _load_section(name: str) -> Query:
     expected = load_checks.PUBLISHED.get(name)
     return _on_clean(lambda mk: load_checks.judged(LOAD_SECTIONS[name](mk), expected))
@@ -425,6 +448,8 @@ def queries() -> dict[str, Query]:
         **_measures(),
         **_quality(),
         **{f"load_check_{name}": _load_section(name) for name in LOAD_SECTIONS},
+        "load_check_geolocation": _loaded_geolocation,
+        "load_versions": _versioned,
         **_corpus(),
     }
 
@@ -439,7 +464,7 @@ def oracle_sql() -> dict[str, str]:
         **quality.SQL,
         **{
             f"load_check_{name}": quality.load_section(name, load_checks.PUBLISHED.get(name))
-            for name in LOAD_SECTIONS
+            for name in (*LOAD_SECTIONS, "geolocation")
         },
         **(corpus.oracle_sql() if corpus else {}),
         **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus and corpus_pipeline.ORACLE_SQL else {}),

