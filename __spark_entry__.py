@@ -24,7 +24,9 @@ from oracles import quality, reports, star  # noqa: E402
 try:  # the corpus operators and their pipeline are one removable part
     import corpus_pipeline
     from bazaarscope.llm import registry as corpus
-except ImportError:
+except ModuleNotFoundError as absent:
+    if absent.name not in ("corpus_pipeline", "bazaarscope.llm"):
+        raise  # an operator that cannot be imported is a fault, not a missing part
     corpus_pipeline = corpus = None
 
 Query = Callable[[SparkSession, str], DataFrame]

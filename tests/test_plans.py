@@ -99,6 +99,11 @@ def test_payments_are_counted_without_object_aggregates(spark, sf_dir, name):
     assert "ObjectHashAggregate" not in plan_of(spark, name, sf_dir)
 
 
+@pytest.mark.parametrize("name", ["measures_payments", "measures_payment_methods_all"])
+def test_paid_orders_are_counted_without_expanding_rows(spark, sf_dir, name):
+    assert "Expand" not in plan_of(spark, name, sf_dir)
+
+
 @pytest.mark.parametrize("name", ["top_products", "top_sellers"])
 def test_leading_rows_are_kept_per_task(spark, sf_dir, name):
     plan = plan_of(spark, name, sf_dir)
