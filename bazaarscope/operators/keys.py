@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bazaarscope.operators.profile import aliased_digest, collision_bounds, when_one_value
+
 _ID_BUCKETS = 4096
 
 
@@ -59,9 +61,10 @@ def childless_rows(
 
 
 def duplicate_profile(rows: DataFrame) -> DataFrame:
-    """One row: totals of groups of fully identical rows."""
-    per_row = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
-    n = F.col("_n")
+    """One row: totals of groups of fully identical rows, which travel as digests."""
+    digests = rows.select(*aliased_digest([F.col(name) for name in rows.columns]))
+    per_row = digests.groupBy("a", "b").agg(F.count("*").alias("n"), *collision_bounds())
+    n = when_one_value(F.col("n"))
     return per_row.agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("total_rows"),
         F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("rows_in_duplicate_groups"),

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaarscope.operators.tally import digest
+
 c = F.col
 
 
@@ -49,16 +51,37 @@ def values_long(
 def distinct_counts(rows: DataFrame) -> DataFrame:
     """column_name, non_null_count, null_count, unique_values of every column, exactly.
 
-    Equal values of a column meet on the map side first, so frequent values cost nothing.
+    Equal values of a column meet on the map side first, so frequent values cost nothing. Cells
+    travel as digests, however long they are.
     """
-    per_value = (
-        values_long(rows, rows.columns, "string")
-        .groupBy("column_name", "value")
-        .agg(F.count("*").alias("n"))
-    )
-    present = c("value").isNotNull()
-    return per_value.groupBy("column_name").agg(
-        F.coalesce(F.sum(F.when(present, c("n"))), F.lit(0)).alias("non_null_count"),
-        F.coalesce(F.sum(F.when(~present, c("n"))), F.lit(0)).alias("null_count"),
-        F.count("value").alias("unique_values"),
+    names = rows.columns
+    cells = [
+        F.struct(F.lit(i).alias("i"), *aliased_digest([c(name)]), c(name).isNotNull().alias("present"))
+        for i, name in enumerate(names)
+    ]
+    per_value = rows.select(F.inline(F.array(*cells))).groupBy("i", "a", "b").agg(
+        F.count("*").alias("n"), F.bool_or("present").alias("present"), *collision_bounds()
     )
+    n = when_one_value(c("n"))
+    column = F.element_at(F.array(*map(F.lit, names)), c("i") + 1).alias("column_name")
+    return per_value.groupBy("i").agg(
+        F.coalesce(F.sum(F.when(c("present"), n)), F.lit(0)).alias("non_null_count"),
+        F.coalesce(F.sum(F.when(~c("present"), n)), F.lit(0)).alias("null_count"),
+        F.count_if("present").alias("unique_values"),
+    ).select(column, "non_null_count", "null_count", "unique_values")
+
+
+def aliased_digest(columns: Sequence[Column]) -> list[Column]:
+    """128 bits of some cells, and 64 further ones that tell a collision of them."""
+    first, second = digest(columns)
+    return [first.alias("a"), second.alias("b"), F.xxhash64(F.lit(3), *columns).alias("check")]
+
+
+def collision_bounds() -> list[Column]:
+    return [F.min("check").alias("low"), F.max("check").alias("high")]
+
+
+def when_one_value(n: Column) -> Column:
+    """``n`` of a group of equal digests; different values behind one digest stop the job."""
+    collided = F.raise_error(F.lit("two values share a digest")).cast("bigint")
+    return F.when(c("low") == c("high"), n).otherwise(collided)

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazaarscope.operators import tally
+from bazaarscope.operators.keys import duplicate_profile
+from bazaarscope.operators.profile import distinct_counts, when_one_value
 from bazaarscope.operators.tally import Key, Source, Tally
 
 c = F.col
@@ -68,3 +70,16 @@ def test_no_rows_and_too_many_rules(spark):
     assert tally.counts(summary.cache()).collect() == []
     with pytest.raises(ValueError):
         tally.bits([(str(i), c("k") == i) for i in range(63)])
+
+
+def test_profiles_by_digest(spark):
+    """NULL, empty and shifted cells are different rows; equal ones are copies."""
+    rows = [("a", None), (None, "a"), ("", None), (None, None), (None, None), ("a", None), ("x" * 5000, "y")]
+    df = spark.createDataFrame(rows, "s string, t string")
+    found = duplicate_profile(df).first()
+    assert (found.total_rows, found.duplicate_groups, found.rows_in_duplicate_groups, found.excess_duplicate_rows) == (7, 2, 4, 2)
+    columns = {r.column_name: (r.non_null_count, r.null_count, r.unique_values) for r in distinct_counts(df).collect()}
+    assert columns == {"s": (4, 3, 3), "t": (2, 5, 2)}
+    collided = spark.createDataFrame([(1, 2, 3)], "low long, high long, n long").select(when_one_value(c("n")))
+    with pytest.raises(Exception, match="share a digest"):
+        collided.collect()
