@@ -12,20 +12,21 @@
    vectors to most of them for directionless ones.
 4. On a shelf the posting lists give the footrule distance of prefixes, where an absent pivot
    counts as place ``PREFIX``: it is a constant less twice the sum of ``PREFIX - max(place,
-   place')`` over shared pivots. The least ``RERANKED`` of the vectors in the files read, and all
-   that tie with the last of them, are reranked by exact distance, and each shelf answers a
-   query with its best.
+   place')`` over shared pivots. A vector is reranked by exact distance if its footrule is among
+   the least ``RERANKED`` of a sample of at most ``SAMPLE`` vectors: one cut for all shelves, so
+   a crowd of near copies is reranked as a whole where its queries look for it. Each shelf
+   answers a query with its best.
 5. The best of all shelves become ids: nearest first, ties to the smaller id.
 
 A shelf's task holds one shelf and streams its queries. The results per query are bounded by the
-shelves it visits. Nothing grows with the input in the driver or in a broadcast: pivots, lengths of
-``PIVOTS`` files and the probes' neighbours.
+shelves it visits. Nothing grows with the input in the driver or in a task's closure: pivots,
+lengths of ``PIVOTS`` files, the sample's prefixes and the probes' neighbours.
 
 Defined results: vectors that are null, all zero, of no component, or hold a null or non-finite
 component take no part, nor do rows without an id and vectors whose length is not the commonest
 (of equally common ones the greatest). Repeated rows are candidates of each other; each gives
-its own result. Fewer candidates than asked for are all returned, if their files are read: with
-fewer than ``10 * neighbours`` classes all files are.
+its own result. With fewer than ``SAMPLE`` classes all of the files read are reranked, and with fewer
+than ``10 * (neighbours + 1)`` all files are read, so that no candidate is missed.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from .words import mapped
 PIVOTS, PREFIX = 256, 64
 SHELF = 4096
 PROBES, COVERED = 64, 0.98
-RERANKED = 0.3
+RERANKED, SAMPLE = 0.35, 1024
 _BATCH = 256  # queries of one matrix
 
 _CODES = "key string, vector binary, prefix binary, ids array<long>, asks boolean"
@@ -199,6 +200,22 @@ def _routed(shelves: list[tuple[int, int]], depth: int):
     return work
 
 
+def _lists(prefixes: list[bytes], pivots: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Posting lists laid out by pivot: ``width`` - place of every vector, 0 where it is absent.
+    Beside them the nearest pivot of each vector."""
+    places = np.stack([np.frombuffer(p[: 2 * width], "<u2") for p in prefixes])
+    lists = np.zeros((pivots, len(prefixes)), np.uint8)
+    for place in range(width):
+        lists[places[:, place], np.arange(len(prefixes))] = width - place
+    return lists, places[:, 0].astype(np.int64)
+
+
+def _shared(lists: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+    """What shared pivots take off the footrule distance of a query to every vector, by two."""
+    own = np.arange(width, 0, -1, dtype=np.uint8)[:, None]
+    return np.minimum(lists[order[:width]], own).sum(0, dtype=np.int32)
+
+
 class _Shelf:
     """The vectors of one shelf with their posting lists."""
 
@@ -208,26 +225,14 @@ class _Shelf:
         self.ids = rows.column("ids").combine_chunks()
         self.low = np.array([x[0] for x in self.ids.to_pylist()], np.int64)
         self.x = _matrix(rows.column("vector").combine_chunks())
-        n, self.width = len(self.keys), min(PREFIX, pivots)
-        places = np.stack([np.frombuffer(p[: 2 * self.width], "<u2") for p in rows.column("prefix").to_pylist()])
-        self.files = places[:, 0].astype(np.int64)
-        # posting lists laid out by pivot: PREFIX - place of every vector, 0 where it is absent
-        self.lists = np.zeros((pivots, n), np.uint8)
-        for place in range(self.width):
-            self.lists[places[:, place], np.arange(n)] = self.width - place
-
-    def answer(self, query: np.ndarray, order: np.ndarray, depth: int, keep: int):
-        """Positions and exact distances of the best, found by footrule."""
+        self.width = min(PREFIX, pivots)
+        self.lists, self.files = _lists(rows.column("prefix").to_pylist(), pivots, self.width)
+
+    def answer(self, query: np.ndarray, order: np.ndarray, cut: int, depth: int, keep: int):
+        """Positions and exact distances of the best of those whose footrule passes the cut."""
         read = np.zeros(len(self.lists), bool)
         read[order[:depth]] = True
-        at = np.flatnonzero(read[self.files])
-        if not len(at):
-            return at, np.zeros(0)
-        own = np.arange(self.width, 0, -1, dtype=np.uint8)[:, None]
-        shared = np.minimum(self.lists[order[: self.width]], own).sum(0, dtype=np.int32)[at]
-        n = min(max(int(np.ceil(RERANKED * len(at))), 10 * keep), len(at))
-        cut = np.partition(shared, len(at) - n)[len(at) - n]
-        at = at[shared >= cut]
+        at = np.flatnonzero(read[self.files] & (_shared(self.lists, order, self.width) >= cut))
         d = np.sqrt(((self.x[at] - query) ** 2).sum(1))
         best = np.lexsort((self.low[at], d))[:keep]
         return at[best], d[best]
@@ -236,7 +241,10 @@ class _Shelf:
 _HITS = "query string, key string, d double, low long, ids array<long>"
 
 
-def _searched(pivots: int, depth: int, keep: int):
+def _searched(pivots: int, depth: int, keep: int, sample: list[bytes]):
+    width = min(PREFIX, pivots)
+    lists, _ = _lists(sample, pivots, width)
+    rank = max(int(len(sample) * (1 - RERANKED)), 0) if len(sample) >= SAMPLE else 0
     schema = pa.schema([("query", pa.string()), ("key", pa.string()), ("d", pa.float64()), ("low", pa.int64()),
                         ("ids", pa.list_(pa.int64()))])
 
@@ -244,7 +252,9 @@ def _searched(pivots: int, depth: int, keep: int):
         keys, at, ds = [], [], []
         x = _matrix(batch.column("vector"))
         for key, q, prefix in zip(batch.column("key").to_pylist(), x, batch.column("prefix").to_pylist()):
-            found, d = shelf.answer(q, np.frombuffer(prefix, "<u2"), depth, keep)
+            order = np.frombuffer(prefix, "<u2")
+            cut = np.partition(_shared(lists, order, width), rank)[rank] if rank else 0
+            found, d = shelf.answer(q, order, cut, depth, keep)
             keys += [key] * len(found)
             at.append(found)
             ds.append(d)
@@ -287,6 +297,8 @@ def nearest_classes(rows: DataFrame, asked: Column, neighbours: int) -> DataFram
     codes = stored(classes.mapInArrow(mapped(_coded(pivots)), _CODES), "codes")
     file = F.conv(F.hex(F.reverse(F.substring("prefix", 1, 2))), 16, 10).cast("int")
     lengths = {r[0]: r[1] for r in codes.groupBy(file.alias("file")).count().collect()}
+    some = codes.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select(F.substring("prefix", 1, 2 * PREFIX).alias("p"))
+    some = [bytes(r["p"]) for r in some.collect()]
     few = sum(lengths.values()) < 10 * keep
     depth = len(pivots) if few else _depth(codes, neighbours, len(pivots))
     shelves = _shelves(lengths, len(pivots))
@@ -295,7 +307,7 @@ def nearest_classes(rows: DataFrame, asked: Column, neighbours: int) -> DataFram
         "shelf int, kind int, key string, vector binary, prefix binary, ids array<long>",
     )
     routed = routed.repartition("shelf").sortWithinPartitions("shelf", "kind")
-    hits = routed.mapInArrow(_searched(len(pivots), depth, keep), _HITS)
+    hits = routed.mapInArrow(_searched(len(pivots), depth, keep, some), _HITS)
     # by distance, then least id: the first classes hold the first ids
     best = Window.partitionBy("query").orderBy("d", "low", "key")
     hits = hits.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= keep)
