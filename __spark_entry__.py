@@ -135,6 +135,7 @@ def _star() -> dict[str, Query]:
         "dim_customer_state": _on_clean(facts.dim_customer_state),
         "star_grain_checks": _on_star(star_checks.grain_checks),
         "star_link_checks": _on_star(star_checks.link_checks),
+        "star_integrity": _on_star(star_checks.integrity),
         "star_calendar_check": _on_star(star_checks.calendar_check),
         "star_cross_fact_check": _on_star(star_checks.cross_fact_check),
         "star_fact_reconciliation": _on_star(star_checks.fact_reconciliation),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarscope.functions import domain as D
@@ -251,30 +251,74 @@ def _aggregate(rows: DataFrame, fact: str, by: Sequence[str], parts: set[str]) -
         )
     if fact == "fact_payments":
         rows = _per_paid_order(rows, by)
+    return _totals(rows, fact, by, parts)
+
+
+def _totals(rows: DataFrame, fact: str, by: Sequence[str], parts: set[str]) -> DataFrame:
     available = _PARTS[fact]()
     return rows.groupBy(*by).agg(*[available[p].alias(p) for p in sorted(parts)])
 
 
+def _merged_paid_orders(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of ``_per_paid_order`` over a finer grouping, made one row per order again."""
+    return rows.groupBy(*by, "order_id").agg(
+        *[F.max(name).alias(name) for name in ("is_multi", "is_mixed")],
+        *[F.sum(name).alias(name) for name in ("records", "cents", "card", "card_multi", "card_cents")],
+    )
+
+
+_BOTH = ("_chosen", "_whole")
+
+
+def _with_whole(
+    rows: DataFrame, fact: str, by: Sequence[str], kept: Sequence[str], parts: set[str], base: set[str]
+) -> DataFrame:
+    """Parts of the selected rows per group of ``by``, and beside them ``all_<part>`` of all
+    rows per group of ``kept``, from one pass over the fact.
+
+    ``rows`` has a column ``_chosen``. Rows are first reduced to the finest grouping that both
+    contexts need; only what is left is given to each context it belongs to.
+    """
+    lifted = [column for column in by if column not in kept]
+    own = [c(column) for column in by]
+    above = [F.lit(None).alias(column) if column in lifted else c(column) for column in by]
+    if fact == "fact_payments":
+        fine = _per_paid_order(rows, [*by, "_chosen"])
+        values = [name for name in fine.columns if name not in (*by, "_chosen")]
+        selection = F.struct(F.lit(False).alias("_whole"), *own)
+        whole = F.struct(F.lit(True).alias("_whole"), *above)
+        contexts = F.array_compact(F.array(F.when(c("_chosen"), selection), whole))
+        spread = fine.select(F.explode(contexts).alias("_context"), *values)
+        spread = spread.select("_context.*", *values)
+        grouped = _totals(_merged_paid_orders(spread, ["_whole", *by]), fact, ["_whole", *by], parts | base)
+        grouped = grouped.withColumn("_chosen", ~c("_whole"))
+        of_whole = {b: F.max(F.when(c("_whole"), c(b))) for b in base}
+    else:
+        # the parts of a base are sums, so those of the whole are sums of those of its groups
+        grouped = _totals(rows, fact, [*by, "_chosen"], parts | base)
+        of_whole = {b: F.sum(b) for b in base}
+    groups = Window.partitionBy(*kept)
+    beside = grouped.select("*", *[value.over(groups).alias(f"all_{b}") for b, value in of_whole.items()])
+    return beside.where("_chosen").drop(*_BOTH)
+
+
 # dimensions whose selection share measures lift in their denominator
 _LIFTED_DIMENSIONS = {"dim_category"}
 
 
-def _reached(
-    rows: DataFrame, star: Star, fact: str, dimensions: Mapping[str, Column], lifted: bool
-) -> DataFrame:
-    """Fact rows whose members pass the filters of the dimensions linked to this fact.
+def _members(
+    star: Star, fact: str, dimensions: Mapping[str, Column], lifted: bool
+) -> list[tuple[str, DataFrame]]:
+    """Fact keys and the members that pass the filters of the dimensions linked to this fact.
 
     A filter on a dimension without a link to the fact does not reach it.
     """
     stored = "fact_orders" if fact == "persons" else fact
-    for linked, key, dimension, member in LINKS:
-        if linked == stored and dimension in dimensions:
-            if (dimension in _LIFTED_DIMENSIONS) == lifted:
-                members = star[dimension].filter(dimensions[dimension]).select(
-                    c(member).alias("_member")
-                )
-                rows = rows.join(members, c(key) == c("_member"), "left_semi")
-    return rows
+    return [
+        (key, star[dimension].filter(dimensions[dimension]).select(c(member).alias("_member")))
+        for linked, key, dimension, member in LINKS
+        if linked == stored and dimension in dimensions and (dimension in _LIFTED_DIMENSIONS) == lifted
+    ]
 
 
 def evaluate(
@@ -300,26 +344,30 @@ def evaluate(
     if where is not None:
         context = context.filter(where)
     filters = dimensions or {}
-    context = _reached(context, star, fact, filters, lifted=False)
-    selected = context if only is None else context.filter(only)
-    selected = _reached(selected, star, fact, filters, lifted=True)
+    for key, members in _members(star, fact, filters, lifted=False):
+        context = context.join(members, c(key) == c("_member"), "left_semi")
+    chosen_members = _members(star, fact, filters, lifted=True)
     parts = {p for m in chosen.values() for p in m.parts}
-    result = _aggregate(selected, fact, by, parts)
-    for lifted in {m.lifted for m in chosen.values() if m.lifted}:
-        base = {p for m in chosen.values() if m.lifted == lifted for p in m.base}
-        kept = [column for column in by if column not in _LIFTED_WITH[lifted]]
-        whole = _aggregate(context, fact, kept, base).select(
-            *[c(k).alias(f"_k_{k}") for k in kept], *[c(b).alias(f"all_{b}") for b in base]
-        )
-        if kept:
-            same = None
-            for k in kept:
-                test = c(k).eqNullSafe(c(f"_k_{k}"))
-                same = test if same is None else same & test
-            result = result.join(whole, same, "left")
-        else:
-            for b in base:
-                result = result.withColumn(f"all_{b}", whole.select(f"all_{b}").scalar())
+    lifted = {m.lifted for m in chosen.values() if m.lifted}
+    if lifted and by:
+        (lifted_column,) = lifted
+        base = {p for m in chosen.values() for p in m.base}
+        kept = [column for column in by if column not in _LIFTED_WITH[lifted_column]]
+        test = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+        for i, (key, members) in enumerate(chosen_members):
+            # members are a key of their dimension, so no row is doubled
+            known = members.distinct().withColumnRenamed("_member", f"_member_{i}")
+            context = context.join(known, c(key) == c(f"_member_{i}"), "left")
+            test = test & c(f"_member_{i}").isNotNull()
+        result = _with_whole(context.withColumn("_chosen", test), fact, by, kept, parts, base)
+    else:
+        selected = context if only is None else context.filter(only)
+        for key, members in chosen_members:
+            selected = selected.join(members, c(key) == c("_member"), "left_semi")
+        result = _aggregate(selected, fact, by, parts)
+        for b in {p for m in chosen.values() for p in m.base}:
+            whole = _aggregate(context, fact, (), {b})
+            result = result.withColumn(f"all_{b}", whole.scalar())
     values = [
         m.value(*[c(p) for p in m.parts], *[c(f"all_{b}") for b in m.base]).alias(name)
         for name, m in chosen.items()
@@ -370,7 +418,8 @@ def category_matched(star: Star, periods: Periods) -> DataFrame:
     share_old, share_new = (
         F.coalesce(c(f"category_marketplace_share_{y}"), F.lit(0.0)) for y in (before, after)
     )
-    totals = evaluate_totals(star, periods)
+    # one row per category, so the window holds no more than these
+    change = F.sum(new - old).over(Window.partitionBy())
     return rows.select(
         *by,
         M.rounded(old).alias(f"item_sales_value_{before}"),
@@ -380,19 +429,10 @@ def category_matched(star: Star, periods: Periods) -> DataFrame:
         M.rounded(100 * share_old).alias(f"marketplace_share_{before}_pct"),
         M.rounded(100 * share_new).alias(f"marketplace_share_{after}_pct"),
         M.rounded(100 * (share_new - share_old)).alias("share_change_pp"),
-        M.pct(new - old, totals).alias("growth_contribution_pct"),
+        M.pct(new - old, change).alias("growth_contribution_pct"),
     )
 
 
-def evaluate_totals(star: Star, periods: Periods) -> Column:
-    """Change of all category sales between the matched years, as a scalar."""
-    before, after = periods.years
-    rows = matched(star, ["category_item_sales_value"], periods)
-    new = F.coalesce(c(f"category_item_sales_value_{after}"), F.lit(0))
-    old = F.coalesce(c(f"category_item_sales_value_{before}"), F.lit(0))
-    return rows.select((new - old).alias("change")).scalar()
-
-
 def sliced(
     rows: DataFrame, key: str, dimension: DataFrame, dimension_key: str, where: Column
 ) -> DataFrame:

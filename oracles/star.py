@@ -379,3 +379,15 @@ SQL["measures_reviews_in_month"] = _reviews_where("bought >= '1996-03-01' AND bo
 SQL["measures_reviews_in_year"] = _reviews_where("year(bought) = 1996")
 SQL["measures_reviews_in_state"] = _reviews_where("state IN ('NATION_3', 'NATION_7')")
 SQL["measures_reviews_isolated"] = _reviews_where("true")
+
+
+SQL["star_integrity"] = sql(
+    "SELECT *, if(faults = 0, 'PASS', 'FAIL') AS status FROM (" + union([
+        *(f"SELECT 'grain' AS \"check\", '{name} ({', '.join(labels)})' AS subject, "
+          f"count(*) - count(DISTINCT ({', '.join(keys)})) "
+          f"+ count(*) FILTER (({' OR '.join(k + ' IS NULL' for k in keys)})) AS faults FROM {role}"
+          for name, (role, keys, labels) in _GRAIN_SOURCES.items()),
+        *(f"SELECT 'link', '{fact}.{key} -> {target}', count(*) FROM {role} "
+          f"WHERE {column} IS NOT NULL AND {column} NOT IN ({members})"
+          for fact, key, target, role, column, members in _LINKS),
+    ]) + ")")

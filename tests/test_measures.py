@@ -84,6 +84,34 @@ def test_category_share_ignores_the_category_filter_only(star):
     assert shares["__unknown__"]["category_marketplace_share"] == 0.0
 
 
+def test_shares_inside_groups_and_beside_the_lifted_selection(star):
+    """The whole of a share follows the grouping but not the selection, for sums and for orders."""
+    year = F.year("order_purchase_date").alias("year")
+    rows = star["fact_payments"].withColumn("year", year)
+    usage = ms.evaluate(
+        Star({"fact_payments": rows}),
+        ["orders_using_payment_method", "payment_method_order_usage_rate", "payment_value_share"],
+        ["year", "payment_type"], only=F.col("payment_type").isin("voucher", "boleto"),
+    )
+    found = {r.payment_type: r.asDict() for r in usage.collect()}
+    assert set(found) == {"voucher", "boleto"}
+    # o2 pays by card and voucher: one of three orders, 10 of 100
+    assert found["voucher"]["orders_using_payment_method"] == 1
+    assert found["voucher"]["payment_method_order_usage_rate"] == pytest.approx(1 / 3)
+    assert found["voucher"]["payment_value_share"] == pytest.approx(0.1)
+    rows = star["fact_order_categories"].withColumn("year", F.year("order_purchase_date"))
+    shares = ms.evaluate(
+        Star({"fact_order_categories": rows, "dim_category": star["dim_category"]}),
+        ["category_item_sales_value", "category_marketplace_share"], ["year"],
+        dimensions={"dim_category": F.col("category_key") == "b"},
+    )
+    assert {r.year: r.category_marketplace_share for r in shares.collect()} == {
+        2017: pytest.approx(0.3), 2018: 1.0,
+    }
+    none = ms.evaluate(star, ["payment_value_share"], ["payment_type"], only=F.lit(False))
+    assert none.collect() == []
+
+
 def test_ratio_of_nothing_is_null(star):
     row = one(ms.evaluate(star, ["completion_rate", "late_delivery_rate"],
                           where=F.col("order_status") == "none"))
@@ -139,6 +167,22 @@ def test_star_is_consistent_and_survives_publication(spark, star, tmp_path):
     assert totals[("fact_seller_orders", "completed_relationships")] == 4
 
 
+def test_integrity_counts_repeated_incomplete_and_unlinked_keys(spark, star):
+    sellers = star["fact_seller_orders"]
+    broken = sellers.unionByName(sellers.where("order_id = 'o1'")).unionByName(
+        sellers.where("order_id = 'o2'").withColumn("seller_id", F.lit(None).cast("string"))
+    ).unionByName(sellers.where("order_id = 'o3'").withColumn("seller_id", F.lit("s9")))
+    tables = {name: star[name] for name in facts.GRAINS}
+    empty = star["fact_payments"].limit(0)
+    found = star_checks.integrity(Star({**tables, "fact_seller_orders": broken, "fact_payments": empty}))
+    faults = {r.subject: r.faults for r in found.collect()}
+    assert faults.pop("fact_seller_orders (order_id, seller_id)") == 2
+    assert faults.pop("fact_seller_orders.seller_id -> dim_seller.seller_id") == 1
+    assert set(faults.values()) == {0} and len(faults) == 13
+    grain = by(star_checks.grain_checks(Star({**tables, "fact_payments": empty})), "dataset")
+    assert grain["fact_payments"]["total_rows"] == 0 and grain["fact_payments"]["status"] == "PASS"
+
+
 def test_cross_fact_check_sees_a_fact_that_lost_rows(spark, sf_dir):
     star = facts.Star.of(bindings.bind(spark, sf_dir), bindings.PERIODS)
     names = ("fact_orders", "fact_order_categories", "fact_seller_orders")

@@ -13,7 +13,7 @@ from bazaarscope.sources.model import Marketplace
 NAMES = [
     *entry_points._reports(), "fact_orders", "fact_order_categories", "fact_seller_orders",
     "fact_payments", *entry_points._measures(), "audit_numeric_profile", "audit_cardinality",
-    "star_link_checks",
+    "star_link_checks", "star_grain_checks", "star_integrity",
 ]
 
 
@@ -104,6 +104,29 @@ def test_paid_orders_are_counted_without_expanding_rows(spark, sf_dir, name):
     assert "Expand" not in plan_of(spark, name, sf_dir)
 
 
+def test_shares_and_their_wholes_come_from_one_pass_over_the_fact(spark, sf_dir):
+    """A share reads no more files than its fact."""
+    for name, fact in (
+        ("measures_payment_methods", "fact_payments"),
+        ("measures_payment_methods_all", "fact_payments"),
+        ("measures_categories", "fact_order_categories"),
+        ("measures_category_matched", "fact_order_categories"),
+    ):
+        scans = [plan_of(spark, x, sf_dir).count("FileScan") for x in (name, fact)]
+        assert scans[0] <= scans[1], (name, scans)
+
+
+@pytest.mark.parametrize("name", ["star_link_checks", "star_grain_checks", "star_integrity"])
+def test_star_checks_read_every_table_once(spark, sf_dir, name):
+    whole = sum(
+        plan_of(spark, table, sf_dir).count("FileScan")
+        for table in entry_points.facts.GRAINS
+    )
+    plan = plan_of(spark, name, sf_dir)
+    assert plan.count("FileScan") <= whole
+    assert "Expand" not in plan
+
+
 @pytest.mark.parametrize("name", ["top_products", "top_sellers"])
 def test_leading_rows_are_kept_per_task(spark, sf_dir, name):
     plan = plan_of(spark, name, sf_dir)
