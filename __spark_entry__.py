@@ -13,13 +13,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from bazaarscope.functions.metrics import rounded  # noqa: E402
 from bazaarscope.plans import audit, categories, cleaning, customers, delivery  # noqa: E402
-from bazaarscope.plans import facts, load_checks, marketplace, measures, payments  # noqa: E402
+from bazaarscope.plans import facts, load_checks, marketplace, measure_checks, measures, payments  # noqa: E402
 from bazaarscope.plans import quality_counts, quarantine, reconcile, register, sellers, star_checks  # noqa: E402
 from bazaarscope.session import scratch_path, tune  # noqa: E402
 from bazaarscope.sources import bindings, raw_csv, sink, versions  # noqa: E402
 from bazaarscope.sources.bindings import PERIODS, SHIPPING_LIMIT_FROM  # noqa: E402
 from bazaarscope.sources.model import SCHEMAS, Marketplace  # noqa: E402
-from oracles import quality, reports, star  # noqa: E402
+from oracles import measure_checks as expected_measures, quality, reports, star  # noqa: E402
 
 try:  # the corpus operators and their pipeline are one removable part
     import corpus_pipeline
@@ -283,9 +283,18 @@ def _measures() -> dict[str, Query]:
             ["completed_unique_customers", "observed_repeat_customers"], PERIODS,
         ),
         "measures_category_matched": _on_star(measures.category_matched, PERIODS),
+        "measure_reconciliation": _measure_reconciliation,
     }
 
 
+def _measure_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publish the star, so that every fact is built once, and hold its measures against the reports."""
+    mk = bindings.bind(tune(spark), sf_dir)
+    folder = scratch_path(spark, "star")
+    facts.Star.of(mk, PERIODS).publish(folder)
+    return measure_checks.reconciliation(mk, facts.Star.read(spark, folder), PERIODS)
+
+
 # folders of counts made in this application, by folder and state of the files they were made of
 _STORED_COUNTS: dict[tuple, str] = {}
 
@@ -463,6 +472,7 @@ def oracle_sql() -> dict[str, str]:
         **reports.SQL,
         "metric_reconciliation": reports.reconciliation(reconcile.PUBLISHED),
         **star.SQL,
+        "measure_reconciliation": expected_measures.RECONCILIATION,
         "star_fact_reconciliation": star.fact_reconciliation(star_checks.PUBLISHED_TOTALS),
         **quality.SQL,
         **{

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazaarscope.functions.periods import PUBLISHED
-from bazaarscope.plans import facts, star_checks
+from bazaarscope.plans import facts, measure_checks, star_checks
 from bazaarscope.plans import measures as ms
 from bazaarscope.plans.facts import Star
 from bazaarscope.sources import bindings
@@ -190,3 +190,20 @@ def test_cross_fact_check_sees_a_fact_that_lost_rows(spark, sf_dir):
     assert {r.status for r in star_checks.cross_fact_check(facts.Star(whole)).collect()} == {"PASS"}
     whole["fact_seller_orders"] = star["fact_seller_orders"].filter("seller_item_count > 1")
     assert "FAIL" in {r.status for r in star_checks.cross_fact_check(facts.Star(whole)).collect()}
+
+
+def test_measures_agree_with_the_reports_unless_a_fact_lost_rows(spark, sf_dir, tmp_path):
+    mk = bindings.bind(spark, sf_dir)
+    chosen = [x for x in measure_checks.COMPARISONS if x.area in ("sellers", "payment method")]
+    star = facts.Star.of(mk, bindings.PERIODS)
+    rows = measure_checks.reconciliation(mk, star, bindings.PERIODS, chosen).collect()
+    assert {r.status for r in rows} == {"PASS"} and len(rows) == 4 + 4 * 3
+    lost = facts.Star({
+        "fact_seller_orders": star["fact_seller_orders"].where("seller_item_count > 1"),
+        "fact_payments": star["fact_payments"].where("payment_type <> 'voucher'"),
+    })
+    rows = measure_checks.reconciliation(mk, lost, bindings.PERIODS, chosen).collect()
+    failed = {(r.area, r.member) for r in rows if r.status == "FAIL"}
+    assert ("sellers", "all") in failed and ("payment method", "voucher") in failed
+    missing = [r for r in rows if r.member == "voucher"]
+    assert {r.measure_value for r in missing} == {0.0} and {r.status for r in missing} == {"FAIL"}
