@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from bazaarscope.functions.metrics import rounded  # noqa: E402
+from bazaarscope.operators.profile import union_all  # noqa: E402
 from bazaarscope.plans import audit, categories, cleaning, customers, delivery  # noqa: E402
 from bazaarscope.plans import facts, load_checks, marketplace, measure_checks, measures, payments  # noqa: E402
-from bazaarscope.plans import quality_counts, quarantine, reconcile, register, sellers, star_checks  # noqa: E402
+from bazaarscope.plans import quality_counts, quarantine, reconcile, refresh, register, sellers, star_checks  # noqa: E402
 from bazaarscope.session import scratch_path, tune  # noqa: E402
 from bazaarscope.sources import bindings, raw_csv, sink, versions  # noqa: E402
 from bazaarscope.sources.bindings import PERIODS, SHIPPING_LIMIT_FROM  # noqa: E402
@@ -135,6 +136,7 @@ def _star() -> dict[str, Query]:
         "dim_customer_state": _on_clean(facts.dim_customer_state),
         "star_grain_checks": _on_star(star_checks.grain_checks),
         "star_link_checks": _on_star(star_checks.link_checks),
+        "fact_refresh": _refreshed,
         "star_integrity": _on_star(star_checks.integrity),
         "star_calendar_check": _on_star(star_checks.calendar_check),
         "star_cross_fact_check": _on_star(star_checks.cross_fact_check),
@@ -295,6 +297,28 @@ def _measure_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_checks.reconciliation(mk, facts.Star.read(spark, folder), PERIODS)
 
 
+LATE_FROM = "1998-01-01"
+
+
+def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build the star without the orders of the last year, refresh it with them; every fact by month,
+    with the load its rows come from."""
+    mk = bindings.bind(tune(spark), sf_dir)
+    folder = scratch_path(spark, "star")
+    late = F.col(facts.PURCHASE) >= F.lit(LATE_FROM).cast("timestamp_ntz")
+    before = mk.replaced(orders=mk.orders.where(~late))
+    refresh.refresh(None, before, PERIODS, spark, folder, "first")
+    manifest = refresh.refresh(before, mk, PERIODS, spark, folder, "late")
+    star, parts = refresh.read(spark, folder), []
+    for name in refresh.FACTS:
+        month = F.date_format("order_purchase_date", "yyyy-MM").alias("purchase_month")
+        source = {m: path.split("/")[1] for m, path in manifest["months"][name].items()}
+        loads = F.create_map(*[F.lit(x) for pair in source.items() for x in pair])
+        rows = star[name].groupBy(month).agg(F.count("*").alias("rows"))
+        parts.append(rows.select(F.lit(name).alias("fact"), "*", loads[F.col("purchase_month")].alias("load")))
+    return union_all(parts)
+
+
 # folders of counts made in this application, by folder and state of the files they were made of
 _STORED_COUNTS: dict[tuple, str] = {}
 

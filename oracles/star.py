@@ -391,3 +391,8 @@ SQL["star_integrity"] = sql(
           f"WHERE {column} IS NOT NULL AND {column} NOT IN ({members})"
           for fact, key, target, role, column, members in _LINKS),
     ]) + ")")
+
+SQL["fact_refresh"] = sql(union(
+    f"""SELECT '{name}' AS fact, strftime(bought, '%Y-%m') AS purchase_month, count(*) AS "rows",
+      if(strftime(bought, '%Y-%m') >= '1998-01', 'late', 'first') AS load FROM {role} GROUP BY ALL"""
+    for name, (role, _, _) in list(_GRAIN_SOURCES.items())[:4]))
