@@ -271,11 +271,12 @@ def _sampled(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Field | None:
     """Fit on at most ``per_label`` documents of each label, the first by a hash of the id; the
-    bounded sample of ids is broadcast. None without documents of both labels."""
+    bounded sample of ids is broadcast. A document with several labels counts as 0 if any of them
+    is. None without documents of both labels."""
     known = labels.where("doc_id is not null and quality is not null")
     known = known.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("int").alias("label")
-    ).dropDuplicates(["doc_id"])
+    ).groupBy("doc_id").agg(F.min("label").alias("label"))
     draw = F.xxhash64("doc_id")
     parts = [known.where(F.col("label") == x).orderBy(draw, "doc_id").limit(per_label) for x in (0, 1)]
     sample = texts(docs).join(F.broadcast(parts[0].unionByName(parts[1])), "doc_id")
