@@ -218,6 +218,15 @@ def _svm(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size: int
     return total
 
 
+_DRAWS = 1 << 62
+
+
+def draws_taken(n: int, per_language: int) -> int:
+    """How many of ``_DRAWS`` hash values draw a row, so that about ``per_language`` of ``n`` rows are
+    drawn; never 0 below 1.8e21 rows."""
+    return min(_DRAWS, per_language * _DRAWS // n)
+
+
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     per_language: int = PER_LANGUAGE, families: dict[str, tuple[str, ...]] = FAMILIES,
@@ -232,9 +241,10 @@ def fit(
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
     if not counts:
         return Model([], {}, [], np.zeros((SLOTS, 0), np.float32))
-    draw = F.pmod(F.xxhash64(docs[id_col]), F.lit(1_000_000))
+    draw = F.shiftrightunsigned(F.xxhash64(docs[id_col]), 2)
     rate = F.create_map(*[
-        F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000, per_language * 1_000_000 // n))
+        x for k, n in counts.items()
+        for x in (F.lit(k), F.lit(draws_taken(n, per_language)).cast("long"))
     ])
     sample = known.where(draw < rate[docs[lang_col]]).select(
         docs[lang_col].cast("string").alias("lang"), docs[text_col].alias("text"),

@@ -3,6 +3,7 @@
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bazaarscope.llm import bpe, class_lm, decontaminate, exact_dedup, language_id, line_dedup
@@ -107,6 +108,28 @@ def test_language_edges(spark, docs, empty):
     assert language_id.predict(empty, model).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 400, 401, 500_000_000, 10**12, 10**18])
+def test_language_sample_is_bounded_and_never_empty_at_any_size(n):
+    share = language_id.draws_taken(n, 400) / (1 << 62)
+    assert share * n == pytest.approx(min(n, 400), rel=0.01)
+
+
+def test_language_sample_follows_the_rate(spark, monkeypatch):
+    rows = frame(spark, [(i, "the and of it" if i % 2 else "und der die das") for i in range(2000)])
+    labelled = rows.withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("de"))
+    seen = []
+    monkeypatch.setattr(language_id, "fit_claim", lambda labels, _: seen.extend(labels))
+    language_id.fit(labelled, per_language=100)
+    # binomial with mean 100: six standard deviations
+    assert all(40 < seen.count(x) < 160 for x in ("en", "de"))
+
+
+def test_contradicting_labels_count_as_bad(spark, docs):
+    whole = spark.createDataFrame([(i, q) for i in (1, 2, 5) for q in (0, 1)], "doc_id long, quality int")
+    for order in ("quality", "-quality"):
+        assert quality.fit(docs, whole.orderBy(F.expr(order))) is None  # no document is left with label 1
+
+
 def test_decontamination_edges(spark, docs, empty):
     items = [(1, PASSAGE), (2, None), (None, "x"), (3, ""), (4, "one two"), (5, PASSAGE.upper())]
     bench = spark.createDataFrame(items, "item_id long, text string")
