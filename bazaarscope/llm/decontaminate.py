@@ -1,12 +1,11 @@
-"""Benchmark decontamination by SimHash of item-sized windows.
-
-Documents are scanned map-only. Windows of as many shingles as an item has (sizes in steps of an
-eighth, so their number grows with the logarithm of the item length) get a 64-bit SimHash by
-running sums. Fingerprints and items meet in a multi-index of four 16-bit blocks: within Hamming
-distance 15 some block differs in at most three bits, so its table of near values misses nothing
-within the radius. Candidates are verified by exact weighted Jaccard of the shingle multisets.
-A document of fewer shingles than an item has no window of its size; it is held against the items
-of which it holds one of a quarter of the shingles, exactly, with windows clipped at its edges.
+"""Benchmark decontamination by every item-sized window, held against the item exactly.
+
+Documents are scanned map-only. A window at the similarity holds one shingle of the item's prefix
+at least, the quarter of its shingles that the fewest items of the block have; so an index of the
+prefixes leads from a document's shingles to the items it can hold, and misses none. For such a
+pair the weighted Jaccard of the shingle multisets is taken at every start of a window of the
+item's size, those clipped at the document's edges included, by running sums. A document of fewer
+shingles than an item is covered by its clipped windows.
 The benchmark is sent to the tasks in blocks of bounded size, each against all documents.
 """
 
@@ -15,7 +14,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,138 +25,75 @@ from .words import Chunk, chunks, mapped
 
 WIDTH = 5
 PERCENT = 75
-RADIUS = 15
-BLOCKS = 4
 BLOCK_ITEMS = 1024  # items sent to the tasks at once
 BLOCK_BYTES = 4 << 20  # and bytes of their texts, unless one item has more
-_STEP = 1.125
 _FOLDED = "__folded"
 
 
-def size_class(n: int) -> int:
-    """The largest window size that is not above ``n``."""
-    size = 1
-    while (larger := max(size + 1, int(size * _STEP))) <= n:
-        size = larger
-    return size
-
-
-def running_bits(ids: np.ndarray, size: int) -> np.ndarray:
-    """Running sums of each bit; they wrap, but differences over ``size`` ids stay exact."""
-    kind = np.uint8 if size < 256 else np.uint32
-    bits = np.unpackbits(ids.view(np.uint8).reshape(-1, 8), axis=1)
-    sums = np.zeros((len(ids) + 1, 64), kind)
-    np.cumsum(bits, axis=0, dtype=kind, out=sums[1:])
-    return sums
-
-
-def prints_of(sums: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
-    """SimHash of ``size`` shingles from each start on: every bit by majority."""
-    if len(starts) + size == len(sums):  # every start: slices instead of gathering
-        ones = sums[size:] - sums[:-size]
-    else:
-        ones = sums[starts + size] - sums[starts]
-    return np.packbits(ones > size // 2, axis=1).view(np.uint64).ravel()
-
-
-def window_starts(document: np.ndarray, size: int, stride: int) -> np.ndarray:
-    """Starts of windows inside one document, every ``stride`` from its beginning, and its last."""
-    n = len(document) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    starts = np.flatnonzero(document[:n] == document[size - 1 :])
-    if stride > 1:
-        place = starts - np.searchsorted(document, document[starts])
-        last = np.append(document[starts[1:]] != document[starts[:-1]], True)
-        starts = starts[(place % stride == 0) | last]
-    return starts
+@dataclass
+class Item:
+    """The multiset of an item's shingles."""
 
+    width: int  # words of a shingle
+    ids: np.ndarray  # distinct shingles, ascending
+    counts: np.ndarray
 
-def near_values(value: int, bits: int = 16, distance: int = RADIUS // BLOCKS) -> np.ndarray:
-    flips = [0]
-    for k in range(1, distance + 1):
-        flips += [sum(1 << b for b in chosen) for chosen in combinations(range(bits), k)]
-    return np.array(flips, np.int64) ^ value
+    @property
+    def size(self) -> int:
+        return int(self.counts.sum())
 
 
 @dataclass
-class SizeIndex:
-    """Fingerprints of the items of one window size and the tables of near block values."""
+class Prefixes:
+    """Items by each shingle of their prefix: those of ``keys[k]`` are ``items[first[k]:first[k + 1]]``."""
 
-    width: int
-    size: int
-    prints: np.ndarray
-    items: np.ndarray  # position of the item in the block
-    shifts: np.ndarray  # where in the item the fingerprint's window starts
-    tables: np.ndarray
+    keys: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
 
-    @property
-    def stride(self) -> int:
-        return max(1, self.size // 16)
-
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Window and fingerprint positions within the radius."""
-        parts = prints.view(np.uint16).reshape(-1, BLOCKS)
-        near = self.tables[0][parts[:, 0]]
-        for b in range(1, BLOCKS):
-            near = near | self.tables[b][parts[:, b]]
-        at = np.flatnonzero(near)
-        probe, windows, found = prints[at], [], []
-        for k, own in enumerate(self.prints):
-            hit = np.flatnonzero(np.bitwise_count(probe ^ own) <= RADIUS)
-            windows.append(at[hit])
-            found.append(np.full(len(hit), k))
-        return np.concatenate(windows), np.concatenate(found)
+    def met(self, ids: np.ndarray, document: np.ndarray) -> np.ndarray:
+        """Distinct pairs of document and item that share a shingle of the item's prefix."""
+        place = np.minimum(np.searchsorted(self.keys, ids), len(self.keys) - 1)
+        at = np.flatnonzero(self.keys[place] == ids)
+        hits = np.unique(np.stack([document[at], place[at]], axis=1), axis=0)
+        n = self.first[hits[:, 1] + 1] - self.first[hits[:, 1]]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        items = self.items[np.repeat(self.first[hits[:, 1]], n) + inside]
+        return np.unique(np.stack([np.repeat(hits[:, 0], n), items], axis=1), axis=0)
 
 
 @dataclass
 class Block:
     item_ids: list[int]
-    shingles: list[Counter]
-    indexes: list[SizeIndex]
-    widths: list[int]  # words of a shingle, by item
-    rarest: dict[tuple[int, int], list[int]]  # items by width and each shingle of their prefix
+    items: list[Item]
+    prefixes: dict[int, Prefixes]  # by width
 
 
 def index_items(rows: list[tuple[int, str]]) -> Block:
-    """The multi-index of some benchmark items; items without words match nothing."""
-    ids, multisets, groups, widths, rarest = [], [], {}, [], {}
+    """The prefix index of some benchmark items; items without words match nothing."""
+    ids, items = [], []
     for item, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")):
         for chunk in chunks(pa.array([text or ""], pa.string())):
-            words = len(chunk.ids)
-            if not words:
-                continue
-            width = min(WIDTH, words)
-            _, own = chunk.shingles(width)
-            size = size_class(len(own))
-            ids.append(item)
-            multisets.append(Counter(own.tolist()))
-            widths.append(width)
-            for x in _prefix(multisets[-1]):
-                rarest.setdefault((width, x), []).append(len(ids) - 1)
-            group = groups.setdefault((width, size), [])
-            for shift in sorted({0, len(own) - size}):
-                part = own[shift : shift + size]
-                mark = prints_of(running_bits(part, size), size, np.zeros(1, np.int64))[0]
-                group.append((mark, len(ids) - 1, shift))
-    indexes = []
-    for (width, size), entries in sorted(groups.items()):
-        prints = np.array([e[0] for e in entries], np.uint64)
-        tables = np.zeros((BLOCKS, 1 << 16), bool)
-        for row in prints.view(np.uint16).reshape(-1, BLOCKS):
-            for b in range(BLOCKS):
-                tables[b][near_values(int(row[b]))] = True
-        indexes.append(SizeIndex(width, size, prints, np.array([e[1] for e in entries]),
-                                 np.array([e[2] for e in entries]), tables))
-    return Block(ids, multisets, indexes, widths, rarest)
-
-
-def _prefix(item: Counter) -> list[int]:
+            if len(chunk.ids):
+                width = min(WIDTH, len(chunk.ids))
+                ids.append(item)
+                items.append(Item(width, *np.unique(chunk.shingles(width)[1], return_counts=True)))
+    prefixes = {}
+    for width in sorted({x.width for x in items}):
+        own = [k for k, x in enumerate(items) if x.width == width]
+        spread = Counter(x for k in own for x in items[k].ids.tolist())
+        entries = sorted((x, k) for k in own for x in _prefix(items[k], spread))
+        keys, first = np.unique(np.array([x for x, _ in entries], np.uint64), return_index=True)
+        prefixes[width] = Prefixes(keys, np.append(first, len(entries)), np.array([k for _, k in entries]))
+    return Block(ids, items, prefixes)
+
+
+def _prefix(item: Item, spread: Counter) -> list[int]:
     """Shingles of which any multiset at the similarity holds one: it may lack a quarter of the
-    item's shingles at most, and these are more."""
-    spare = sum(item.values()) * (100 - PERCENT) // 100
+    item's shingles at most, and these are more. Those that few items have come first."""
+    spare = item.size * (100 - PERCENT) // 100
     out = []
-    for x, n in sorted(item.items()):
+    for x, n in sorted(zip(item.ids.tolist(), item.counts.tolist()), key=lambda e: (spread[e[0]], e[0])):
         out.append(x)
         spare -= n
         if spare < 0:
@@ -166,78 +101,44 @@ def _prefix(item: Counter) -> list[int]:
     return out
 
 
-def _similarity(window: np.ndarray, item: Counter) -> float:
-    own = Counter(window.tolist())
-    both = sum(min(n, item[x]) for x, n in own.items() if x in item)
-    return both / (len(window) + sum(item.values()) - both)
+def _best_window(document: np.ndarray, item: Item) -> float:
+    """Greatest similarity of all windows of the item's size, clipped at the document's edges;
+    0 if it has too few of the item's shingles.
+
+    The j-th occurrence of a shingle that the item has c times counts in the windows that hold it
+    and do not hold the (j-c)-th.
+    """
+    size, n = item.size, len(document)
+    place = np.minimum(np.searchsorted(item.ids, document), len(item.ids) - 1)
+    at = np.flatnonzero(item.ids[place] == document)
+    if 100 * len(at) < PERCENT * size:
+        return 0.0
+    at = at[np.argsort(place[at], kind="stable")]
+    kind = place[at]
+    before = np.arange(len(at)) - item.counts[kind]
+    same = (before >= 0) & (kind[before] == kind)
+    low = np.maximum(at - size, np.where(same, at[before], -size)) + 1
+    steps = np.zeros(n + size, np.int64)  # of starts from 1 - size on
+    np.add.at(steps, low + size - 1, 1)
+    np.add.at(steps, at + size, -1)
+    both = np.cumsum(steps)[:-1]
+    starts = np.arange(1 - size, n)
+    length = np.minimum(starts + size, n) - np.maximum(starts, 0)
+    return float((both / (length + size - both)).max())
 
 
 def matches(chunk: Chunk, block: Block) -> dict[tuple[int, int], float]:
     """Similarity of the best window by (document of the chunk, item of the block)."""
     best: dict[tuple[int, int], float] = {}
-    for width in sorted({x.width for x in block.indexes}):
+    for width, prefixes in block.prefixes.items():
         at, ids = chunk.shingles(width)
-        if not len(ids):
-            continue
         document = chunk.document_of_words()[at]
-        _short_documents(ids, document, width, block, best)
-        own = [x for x in block.indexes if x.width == width]
-        sums = running_bits(ids, max(x.size for x in own))
-        for index in own:
-            starts = window_starts(document, index.size, index.stride)
-            windows, found = index.candidates(prints_of(sums, index.size, starts))
-            seen = set()
-            for w, k in zip(starts[windows].tolist(), found.tolist()):
-                item, d = int(index.items[k]), int(document[w])
-                n = sum(block.shingles[item].values())
-                low, high = np.searchsorted(document, [d, d + 1])
-                for begin in range(w - int(index.shifts[k]) - index.stride, w - int(index.shifts[k]) + index.stride + 1):
-                    if (begin, item) in seen or best.get((d, item)) == 1.0:
-                        continue
-                    seen.add((begin, item))
-                    window = ids[max(begin, low) : min(begin + n, high)]
-                    value = _similarity(window, block.shingles[item])
-                    if 100 * value >= PERCENT and value > best.get((d, item), 0):
-                        best[d, item] = value
-    return best
-
-
-def _clipped(document: np.ndarray, item: Counter) -> float:
-    """Similarity of the best window of the item's size over a shorter document: clipped at an
-    edge, it is the whole document, or a part up to its end or from its beginning."""
-    size, best = sum(item.values()), 0.0
-    for part in (document, document[::-1]):
-        own: Counter = Counter()
-        both = 0
-        for n, x in enumerate(part.tolist(), 1):
-            own[x] += 1
-            both += own[x] <= item[x]
-            best = max(best, both / (n + size - both))
-    return best
-
-
-def _short_documents(
-    ids: np.ndarray, document: np.ndarray, width: int, block: Block, best: dict
-) -> None:
-    """Adds to ``best`` the documents with fewer shingles than the item, which have no window of
-    its size. A shingle of the item's prefix leads to it, so none at the similarity is missed."""
-    sizes = [sum(x.values()) for x in block.shingles]
-    largest = max((n for n, w in zip(sizes, block.widths) if w == width), default=0)
-    keys = np.array(sorted(x for w, x in block.rarest if w == width), np.uint64)
-    counts = np.bincount(document)
-    at = np.flatnonzero(counts[document] < largest)
-    if not len(at) or not len(keys):
-        return
-    place = np.minimum(np.searchsorted(keys, ids[at]), len(keys) - 1)
-    at = at[keys[place] == ids[at]]
-    met = {(d, item) for d, x in zip(document[at].tolist(), ids[at].tolist())
-           for item in block.rarest[width, x]}
-    for d, item in met:
-        if PERCENT * sizes[item] <= 100 * counts[d] < 100 * sizes[item]:
+        for d, item in prefixes.met(ids, document).tolist():
             low, high = np.searchsorted(document, [d, d + 1])
-            value = _clipped(ids[low:high], block.shingles[item])
-            if 100 * value >= PERCENT and value > best.get((d, item), 0):
+            value = _best_window(ids[low:high], block.items[item])
+            if 100 * value >= PERCENT:
                 best[d, item] = value
+    return best
 
 
 def blocks_of(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
