@@ -67,7 +67,10 @@ def _typed(table: str, rows: DataFrame, watch: Sequence[Rule]) -> DataFrame:
     names = [f.name for f in SCHEMAS[table].fields]
     flat = rows.select("file", "row", "cells", "cells.*")
     typed = flat.select("file", "row", "cells", *(C._parsed(table, f).alias(f.name) for f in SCHEMAS[table].fields))
-    return typed.select("file", "row", "cells", *names, bits([*_conversion_rules(table), *watch]).alias("broken"))
+    met = typed.select("file", "row", "cells", *names, bits([*_conversion_rules(table), *watch]).alias("met"))
+    # a filter on a generated column stays above it; pushed below the conversions, it would
+    # convert every cell again for each rule that looks at it
+    return met.select("file", "row", "cells", *names, F.explode(F.array("met")).alias("broken"))
 
 
 def _addressed(raw: Marketplace, table: str, row_index: bool) -> DataFrame:
