@@ -60,3 +60,8 @@ def test_a_cell_is_converted_once(spark):
     found = cells.repartition(1).select(cleaning._strict("orders", field))
     assert _plan(found).count("gettimestamp(") == 1
     assert sorted(str(r[0]) for r in found.collect()) == ["2020-02-29 01:02:03", "None"]
+
+
+def test_merged_partitions_stay_small(spark):
+    spark.range(1).count()
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
