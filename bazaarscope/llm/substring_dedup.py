@@ -129,12 +129,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((p, d))  # equal neighbours compress in the shuffle
         h, d, p = h[order], d[order], p[order]
         key = mixed(of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + low.astype(np.uint64))
+        # the two columns that differ from the row before stand side by side, the others repeat it:
+        # the shuffle's compression then writes a row as these two alone
         yield pa.RecordBatch.from_arrays(
-            [pa.array(signed(np.append(h, key))), pa.array(np.append(d, of)),
-             pa.array(np.append(p, low).astype(np.int32)),
-             pa.array(np.append(p, high).astype(np.int32)),
+            [pa.array(signed(np.append(h, key))), pa.array(np.append(p, low).astype(np.int32)),
+             pa.array(np.append(d, of)),
+             pa.array(np.append(np.zeros(len(h), np.int32), (high - low).astype(np.int32))),
              pa.array(np.append(np.zeros(len(h), bool), np.ones(len(low), bool)))],
-            names=["h", "doc_id", "low", "high", "settled"],
+            names=["h", "low", "doc_id", "more", "settled"],
         )
 
 
@@ -159,12 +161,13 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     hits = blocks.join(shared, "h").groupBy("doc_id").agg(F.collect_set("at").alias("hits"))
     # a left join of all rows, as the result needs: the texts are shuffled once for both
     windows = rows.join(hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(
-        _windows, "h long, doc_id long, low int, high int, settled boolean"
+        _windows, "h long, low int, doc_id long, more int, settled boolean"
     )
     # one row per window and batch, so a passage of very many documents stays a small partition
     first = F.min("doc_id").over(Window.partitionBy("h"))
     covered = windows.withColumn("first", first).where("settled or first < doc_id")
-    return covered.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    run = F.struct("low", (F.col("low") + F.col("more")).alias("high"))
+    return covered.groupBy("doc_id").agg(F.collect_list(run).alias("spans"))
 
 
 def _cleaned(batch: pa.RecordBatch, with_text: bool) -> Iterator[pa.RecordBatch]:
