@@ -6,8 +6,8 @@ shares one of 48 bands with probability 1 - 8e-5, at 0.8 with 1 - 5e-7, and text
 a passage rarely do. That holds for large sets: minimum and maximum of one permutation are not
 independent in small ones, and 3 of 4 shingles are missed with 1.6e-3, 6 of 8 with 3e-4. Equal sets are one node from the start. Links
 are confirmed in two steps: every node of a bucket against the bucket's centre, then only pairs of
-one bucket that still lie in different components. The second step never expands a group of
-copies, as these are one component by then.
+one bucket that still lie in different components and whose sketches may be a link's. The second
+step never expands a group of copies, as these are one component by then.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepared, stored, texts
-from .linking import linked, shared_buckets
+from .linking import SKETCH, linked, shared_buckets
 from .words import Chunk, chunks, mapped, mixed, ranged, signed
 
 WIDTH = 5
@@ -79,6 +79,14 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return keys
 
 
+def sketches(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The exclusive or of one bit per shingle, a row of words for each set."""
+    n, width = len(bounds) - 1, 64 * len(SKETCH)
+    at = np.repeat(np.arange(n), np.diff(bounds)) * width + (ids % np.uint64(width)).astype(np.int64)
+    odd = np.bincount(at, minlength=n * width) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, width), axis=1).view(np.int64)
+
+
 def _signed_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for chunk in chunks(batch.column("text"), fold=True):
         ids, bounds = shingle_sets(chunk)
@@ -90,18 +98,20 @@ def _signed_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             marks[0, full] = np.add.reduceat(mixed(ids), starts)
             marks[1, full] = np.add.reduceat(mixed(ids ^ np.uint64(0x5851F42D4C957F2D)), starts)
         keys = band_keys(signatures(ids, bounds))
+        sketch = sketches(ids, bounds)
         bands = np.zeros(chunk.count + 1, np.int32)
         np.cumsum(full * keys.shape[1], out=bands[1:])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").slice(chunk.rows.start, chunk.count), pa.array(n, pa.int64()),
              pa.array(signed(marks[0])), pa.array(signed(marks[1])),
-             pa.ListArray.from_arrays(pa.array(bands), pa.array(signed(keys.ravel())))],
-            names=["doc_id", "n_shingles", "s1", "s2", "bands"],
+             pa.ListArray.from_arrays(pa.array(bands), pa.array(signed(keys.ravel()))),
+             *(pa.array(sketch[:, i]) for i in range(len(SKETCH)))],
+            names=["doc_id", "n_shingles", "s1", "s2", "bands", *SKETCH],
         )
 
 
-def _confirm(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    linked = np.zeros(batch.num_rows, bool)
+def _common(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    both = np.zeros(batch.num_rows, np.int64)
     sides = [iter(chunks(batch.column(c), fold=True)) for c in ("text_a", "text_b")]
     held: list = [None, None]
     for i in range(batch.num_rows):
@@ -113,22 +123,21 @@ def _confirm(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             chunk, ids, bounds = held[side]
             at = i - chunk.rows.start
             sets.append(ids[bounds[at] : bounds[at + 1]])
-        small, large = sorted(sets, key=len)
-        if len(small) and 100 * len(small) >= PERCENT * len(large):
-            both = len(np.intersect1d(small, large, assume_unique=True))
-            linked[i] = 100 * both >= PERCENT * (len(small) + len(large) - both)
-    rows = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"])
-    yield rows.filter(pa.array(linked))
+        both[i] = len(np.intersect1d(*sets, assume_unique=True))
+    names = ["a", "b", "na", "nb"]
+    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(both)], names=[*names, "both"])
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets are similar enough. Only texts of paired nodes move."""
+def shared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs ``(a, b, na, nb)`` with ``both``, the size of the intersection of their full sets. Only
+    texts of paired nodes move."""
     nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     wanted = rows.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     first = wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     second = wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(first, "b").join(second, "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(mapped(_confirm), "a long, b long")
+    both = both.select("a", "b", "na", "nb", "text_a", "text_b")
+    return both.mapInArrow(mapped(_common), "a long, b long, na long, nb long, both long")
 
 
 def _rare_keys(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -175,6 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prepared(docs.sparkSession)
     rows = texts(docs, id_col, text_col).where("doc_id is not null")
     kind = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
+    kind += "".join(f", {w} long" for w in SKETCH)
     signed_rows = stored(rows.mapInArrow(mapped(_signed_rows), kind), "signatures")
 
     sets = signed_rows.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
@@ -186,19 +196,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = stored(nodes.groupBy("node").agg(F.max("n").alias("n")), "sizes")
     banded = shared_buckets(nodes.select("node", F.explode("bands").alias("key")))
 
-    def possible(pairs: DataFrame) -> DataFrame:
-        small, large = F.least("na", "nb"), F.greatest("na", "nb")
-        sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-        sized = sized.join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        return sized.where(100 * small >= PERCENT * large).select("a", "b")
-
+    sketched = signed_rows.select(F.col("doc_id").alias("node"), *SKETCH)
     final = linked(
-        banded, possible, lambda pairs: confirmed(pairs, rows), lambda crowd: _rarest(crowd, rows)
+        banded, sizes, PERCENT, lambda pairs: shared(pairs, rows),
+        lambda nodes: sketched.join(nodes, "node", "left_semi").dropDuplicates(["node"]),
+        lambda crowd: _rarest(crowd, rows),
     )
     labelled = sets.join(final, "node", "left").select(
         "s1", "s2", F.coalesce("root", "node").alias("component_id")
     )
-    named = signed_rows.drop("bands").join(labelled, ["s1", "s2"], "left").select(
+    named = signed_rows.drop("bands", *SKETCH).join(labelled, ["s1", "s2"], "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
