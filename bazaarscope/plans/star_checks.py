@@ -42,7 +42,7 @@ def _sources(star: Star, grains: bool, links: bool) -> list[Source]:
                 keys.append(Key(_link_label(*link), [c(dimension_key)], 0, skip_null=True))
             elif name == fact:
                 keys.append(Key(_link_label(*link), [c(fact_key)], 1, skip_null=True))
-        found.append(Source(name, star[name], rules, keys))
+        found.append(Source(name, star[name], rules, keys, few=True))
     return found
 
 
